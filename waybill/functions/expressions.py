@@ -41,8 +41,8 @@ def total_cost(base: Column | str, *extras: Column | str) -> Column:
     return total.cast("decimal(10,2)")
 
 
-def net_profit(revenue: Column | str, costs: Column | str) -> Column:
-    return (_col(revenue) - _col(costs)).cast("decimal(12,2)")
+def net_profit(revenue: Column | str, costs: Column | str, kind: str = "decimal(12,2)") -> Column:
+    return (_col(revenue) - _col(costs)).cast(kind)
 
 
 def _micros(ts: Column) -> Column:

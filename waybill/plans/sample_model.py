@@ -117,6 +117,21 @@ def shipment_events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_type").alias("description"), F.col("ts").alias("event_datetime"))
 
 
+def routes(spark: SparkSession, folder: str) -> DataFrame:
+    """Routes from parts; their values break every route rule now and then."""
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+        F.concat(F.lit("RT"), F.col("p_partkey").cast("string")).alias("code"),
+        F.col("p_size").cast("bigint").alias("origin_hub_id"),
+        (F.col("p_partkey") % 50 + 1).alias("destination_hub_id"),
+        (F.col("p_retailprice") - 900).cast("decimal(10,2)").alias("distance_km"),
+        (F.col("p_size") - 1).alias("estimated_duration_minutes"),
+        F.col("p_size").alias("priority"),
+        chosen("p_type", {"ECONOMY": "ground", "STANDARD": "air", "PROMO": "rail"},
+               F.lower("p_type")).alias("route_type"),
+        F.lit("active").alias("status"))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Shipments as flat documents with the six document statuses; from orders alone."""
     key = F.col("o_orderkey").cast("string")
@@ -131,7 +146,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("sender_name"),
         F.concat(F.lit("Receiver "), key).alias("receiver_name"),
         F.col("o_orderpriority").alias("package_details"),
-        (F.col("o_totalprice") / 1000).cast("decimal(10,2)").alias("weight"),
+        (F.col("o_totalprice").cast("decimal(12,2)") * F.lit("0.001").cast("decimal(4,3)"))
+        .cast("decimal(10,2)").alias("weight"),
         chosen("o_orderpriority", {"1-URGENT": "overnight", "2-HIGH": "express"},
                F.lit("standard")).alias("service_type"),
         F.when(delivered & (F.col("o_orderpriority") == "5-LOW"), "failed").when(delivered, "delivered")

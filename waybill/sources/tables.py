@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,16 +35,18 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def write_entity(df: DataFrame, table: str, path: str, format: str = "parquet",
-                 created: Column | str | None = None, mode: str = "errorifexists") -> None:
-    """Write a table, laid out by creation day when ``created`` is given.
+                 created: str | None = None, key: str = "id", mode: str = "errorifexists") -> None:
+    """Write a table, laid out in folders by creation day when ``created`` names that column.
 
-    Every task writes its rows straight into the day folders. Rows are not gathered by day first,
-    so a day that holds a third of all rows is written by as many tasks as any other rows.
+    Rows are ranged on day *and* key first: a task then holds few days, which keeps the files few,
+    and a day with a large part of all rows is spread over many tasks.
     """
     out = conform(df, table)
-    if created is None:
-        out.write.format(format).mode(mode).save(path)
-        return
-    created = F.col(created) if isinstance(created, str) else created
-    (out.withColumn(PARTITION_COLUMN, F.to_date(created))
-        .write.format(format).mode(mode).partitionBy(PARTITION_COLUMN).save(path))
+    if created is not None:
+        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = (out.withColumn(PARTITION_COLUMN, F.to_date(created))
+               .repartitionByRange(count, PARTITION_COLUMN, key))
+    writer = out.write.format(format).mode(mode)
+    if created is not None:
+        writer = writer.partitionBy(PARTITION_COLUMN)
+    writer.save(path)
