@@ -51,14 +51,17 @@ def _micros(ts: Column) -> Column:
 
 def duration_seconds(started: Column | str, completed: Column | str) -> Column:
     """Whole seconds between two times, rounded half away from zero."""
-    micros = (_micros(_col(completed)) - _micros(_col(started))).cast("decimal(20,0)")
-    return F.round(micros / F.lit(1_000_000), 0).cast("int")
+    micros = _micros(_col(completed)) - _micros(_col(started))
+    second = F.lit(1_000_000)
+    away = F.call_function("div", F.abs(micros) + F.lit(500_000), second)
+    return (F.signum(micros).cast("int") * away).cast("int")
 
 
 def elapsed_days(started: Column | str, completed: Column | str) -> Column:
     """Whole days between two times, rounded down also when negative."""
     micros = _micros(_col(completed)) - _micros(_col(started))
-    return F.floor(micros / F.lit(86_400_000_000).cast("decimal(12,0)")).cast("bigint")
+    day = F.lit(86_400_000_000)
+    return F.call_function("div", micros - F.pmod(micros, day), day)
 
 
 # --- delivery estimate -------------------------------------------------------------------------
@@ -111,17 +114,19 @@ def stable_uuid(*parts: Column | str) -> Column:
 
     A random one would change when a lost executor's task is run again.
     """
-    digest = F.md5(F.concat_ws("|", *[_col(p).cast("string") for p in parts]))
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(digest, start, size) for start, size in cuts])
+    text = F.md5(F.concat_ws("|", *[_col(p).cast("string") for p in parts]))
+    for place in (9, 14, 19, 24):
+        text = F.overlay(text, F.lit("-"), place, 0)
+    return text
 
 
 # --- tracking numbers --------------------------------------------------------------------------
 
 def tracking_base(created: Column | str) -> Column:
-    """Prefix, day and the last four digits of the epoch second."""
+    """Prefix, day and the last four digits of the epoch second, rounded to the nearest."""
     created = _col(created)
-    second = (F.floor(_micros(created) / F.lit(1_000_000).cast("decimal(12,0)")) % 10_000)
+    second = F.pmod(F.unix_seconds((created + F.expr("interval '0.5' second")).cast("timestamp")),
+                    F.lit(10_000))
     return F.concat(F.lit(fixed.TRACKING_PREFIX), F.date_format(created, "yyyyMMdd"),
                     F.lpad(second.cast("string"), 4, "0"))
 

@@ -16,8 +16,11 @@ from waybill import fixed
 from waybill.functions import expressions as X
 from waybill.operators.lookup import lookup, taken_keys
 from waybill.operators.ordered import ROWS_PER_TASK, along
-from waybill.operators.quality import BROKEN, validate_hubs, validate_shipments, validate_users
+from waybill.operators.quality import (
+    BROKEN, shipment_rules, split, validate, validate_hubs, validate_users,
+)
 from waybill.operators.tracking import assign_tracking
+from waybill.session import checkpointed
 from waybill.sources.documents import PRESENT
 
 EXPLICIT_NULL = "explicit_null"
@@ -53,7 +56,8 @@ def create_shipments(payloads: DataFrame, existing: DataFrame, as_of: Column, ba
                 "hub_id": "string", "pickup_date": "timestamp_ntz"}
     filled = _with_absent(payloads, optional).withColumn(
         "service_type", _absent_default(payloads, "service_type", F.lit(fixed.DEFAULT_SERVICE)))
-    valid, rejects = validate_shipments(filled)
+    # Counting, ranking and numbering below go over the batch several times: parse and check it once.
+    valid, rejects = split(checkpointed(validate(filled, shipment_rules(filled))))
     rows = valid.withColumns({
         "id": X.stable_uuid(F.lit(batch), "ordinal"),
         "weight": F.col("weight").cast("decimal(10,2)"),

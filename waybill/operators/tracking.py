@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill import fixed
@@ -14,9 +14,9 @@ _PLAIN = _BASE + 3
 
 
 def _used_numbers(existing: DataFrame, bases: DataFrame, column: str) -> DataFrame:
-    """Per base: the free counters in order, and how many overflow numbers are taken.
+    """Per base the counters in use (``_used``, ascending) and the next overflow number.
 
-    Counters are three digits and every set is of distinct ones, so a row holds at most 1000.
+    Counters are three digits and the list is of distinct ones, so it holds at most 1000.
     """
     counter = F.substring(column, _BASE + 1, 3)
     overflow = F.substring(column, _PLAIN + 1, 20)
@@ -25,9 +25,22 @@ def _used_numbers(existing: DataFrame, bases: DataFrame, column: str) -> DataFra
                                F.when(F.length(column) > _PLAIN, overflow).alias("_overflow"))
                .where(F.coalesce("_counter", "_overflow").rlike("^[0-9]+$"))
                .join(bases, "_base", "left_semi"))
-    return numbers.groupBy("_base").agg(
-        F.collect_set(F.col("_counter").cast("int")).alias("_used"),
-        F.max(F.col("_overflow").cast("bigint")).alias("_last_overflow"))
+    # Reduced to distinct counters first, so that a base many rows share is small when collected.
+    distinct = numbers.groupBy("_base", F.col("_counter").cast("int").alias("_counter")).agg(
+        F.max(F.col("_overflow").cast("bigint")).alias("_overflow"))
+    return distinct.groupBy("_base").agg(
+        F.array_sort(F.collect_list("_counter")).alias("_used"),
+        F.coalesce(F.max("_overflow") + 1, F.lit(0)).alias("_next_overflow"))
+
+
+def _nth_free(position: Column, used: Column) -> Column:
+    """The counter that stands at ``position`` (from 0) among those not in ``used``.
+
+    The used counter at place i has ``used[i] - i`` free ones before it; every one with no more
+    than ``position`` of them pushes the answer up by one.
+    """
+    free_before = F.transform(used, lambda counter, place: counter - place)
+    return position + F.size(F.filter(free_before, lambda free: free <= position))
 
 
 def assign_tracking(new: DataFrame, existing: DataFrame, created: str = "created_at",
@@ -42,24 +55,14 @@ def assign_tracking(new: DataFrame, existing: DataFrame, created: str = "created
     order = order or ["ordinal"]
     based = new.withColumn("_base", tracking_base(created))
     ranked = along(based, ["_base"], order, rows_per_task=rows_per_task)
-    # The counters in use come from the existing rows; bases are few next to them.
-    used = _used_numbers(existing, based.select("_base").distinct(), name)
-    all_counters = F.sequence(F.lit(0), F.lit(fixed.TRACKING_COUNTERS - 1))
-    free = used.select(
-        "_base",
-        F.array_except(all_counters, F.coalesce("_used", F.array().cast("array<int>"))).alias("_free"),
-        F.coalesce(F.col("_last_overflow") + 1, F.lit(0)).alias("_next_overflow"))
-    joined = ranked.join(free, "_base", "left")
-    # A base nobody used yet has all counters free: the k-th row takes counter k - 1.
-    free_count = F.coalesce(F.size("_free"), F.lit(fixed.TRACKING_COUNTERS))
-    plain = F.when(F.col("_free").isNull(), (F.col("position") - 1).cast("int")).otherwise(
-        F.get("_free", (F.col("position") - 1).cast("int")))
-    suffix = F.col("position") - 1 - free_count + F.coalesce("_next_overflow", F.lit(0))
-    suffix = suffix.cast("string")
-    number = F.when(
-        F.col("position") <= free_count,
-        F.concat("_base", F.lpad(plain.cast("string"), 3, "0")),
-    ).otherwise(F.concat("_base", F.lit(str(fixed.TRACKING_COUNTERS - 1)),
-                         F.lpad(suffix, F.greatest(F.lit(3), F.length(suffix)), "0")))
-    helpers = ["_base", "_free", "_next_overflow", "position"]
-    return joined.withColumn(name, number).drop(*helpers)
+    taken = _used_numbers(existing, based.select("_base").distinct(), name)
+    joined = ranked.join(taken, "_base", "left")
+    used = F.coalesce("_used", F.array().cast("array<int>"))
+    place = F.col("position") - 1
+    free_count = F.lit(fixed.TRACKING_COUNTERS) - F.size(used)
+    plain = _nth_free(place.cast("int"), used).cast("string")
+    suffix = (place - free_count + F.coalesce("_next_overflow", F.lit(0))).cast("string")
+    number = F.when(place < free_count, F.concat("_base", F.lpad(plain, 3, "0"))).otherwise(
+        F.concat("_base", F.lit(str(fixed.TRACKING_COUNTERS - 1)),
+                 F.lpad(suffix, F.greatest(F.lit(3), F.length(suffix)), "0")))
+    return joined.withColumn(name, number).drop("_base", "_used", "_next_overflow", "position")

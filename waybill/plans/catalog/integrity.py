@@ -48,7 +48,7 @@ def phone_valid(spark, folder):
 
 
 @query("tracking_number", """
-select event_id, 'BC' || strftime(ts, '%Y%m%d') || lpad(cast((epoch_us(ts) // 1000000) % 10000 as varchar), 4, '0')
+select event_id, 'BC' || strftime(ts, '%Y%m%d') || lpad(cast(((epoch_us(ts) + 500000) // 1000000) % 10000 as varchar), 4, '0')
   || lpad(cast(user_id % 1000 as varchar), 3, '0') tracking_number
 from events""")
 def tracking_number(spark, folder):

@@ -33,22 +33,23 @@ def read_payloads(source: DataFrame | str, schema: T.StructType, spark: SparkSes
         source = spark.read.text(source).withColumnRenamed("value", column)
     wanted = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     others = [c for c in source.columns if c != column]
-    parsed = source.withColumn("_doc", F.from_json(
-        column, wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    broken = F.col("_doc").isNull() | F.col(f"_doc.{CORRUPT}").isNotNull()
-    present = F.transform(F.json_object_keys(F.col(column)), _snake_text)
+    # Parsed by a generator, whose output filters cannot be pushed below: a filter that could be
+    # would parse the document again for every field it looks at.
+    parsed = source.select("*", F.explode(F.array(F.struct(
+        F.from_json(column, wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("doc"),
+        F.json_object_keys(F.col(column)).alias("present"),
+    ))).alias("_parsed"))
+    broken = F.col("_parsed.doc").isNull() | F.col(f"_parsed.doc.{CORRUPT}").isNotNull()
     rows = parsed.where(~broken).select(
         *others,
-        *[F.col(f"_doc.{f.name}").alias(to_snake(f.name)) for f in schema.fields],
-        present.alias(PRESENT))
+        *[F.col(f"_parsed.doc.{f.name}").alias(to_snake(f.name)) for f in schema.fields],
+        F.array_compact(F.array(*[
+            F.when(F.array_contains("_parsed.present", f.name), F.lit(to_snake(f.name)))
+            for f in schema.fields])).alias(PRESENT))
     malformed = parsed.where(broken).select(*others, column)
     return rows, malformed
 
 
-def _snake_text(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, "([A-Z])", "_$1"))
-
-
 def parse_json_column(column: Column | str, ddl: str, spark: SparkSession,
                       current: T.DataType | None = None) -> Column:
     """A document column as typed values; bad or missing JSON becomes the empty value.
