@@ -43,13 +43,15 @@ def read_payloads(source: DataFrame | str, schema: T.StructType, spark: SparkSes
     rows = parsed.where(~broken).select(
         *others,
         *[F.col(f"_parsed.doc.{f.name}").alias(to_snake(f.name)) for f in schema.fields],
-        F.array_compact(F.array(*[
-            F.when(F.array_contains("_parsed.present", f.name), F.lit(to_snake(f.name)))
-            for f in schema.fields])).alias(PRESENT))
+        F.transform("_parsed.present", _snake_text).alias(PRESENT))
     malformed = parsed.where(broken).select(*others, column)
     return rows, malformed
 
 
+def _snake_text(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, "([A-Z])", "_$1"))
+
+
 def parse_json_column(column: Column | str, ddl: str, spark: SparkSession,
                       current: T.DataType | None = None) -> Column:
     """A document column as typed values; bad or missing JSON becomes the empty value.

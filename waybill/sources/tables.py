@@ -47,6 +47,8 @@ def write_entity(df: DataFrame, table: str, path: str, format: str = "parquet",
         out = (out.withColumn(PARTITION_COLUMN, F.to_date(created))
                .repartitionByRange(count, PARTITION_COLUMN, key))
     writer = out.write.format(format).mode(mode)
+    if format == "csv":
+        writer = writer.option("header", True)
     if created is not None:
         writer = writer.partitionBy(PARTITION_COLUMN)
     writer.save(path)
