@@ -78,3 +78,12 @@ def test_filters_reach_the_scan(spark, folder):
 
 def test_as_of_is_a_timestamp_literal(spark):
     assert spark.range(1).select(X.timestamp("2024-01-01").alias("t")).schema["t"].dataType.simpleString() == "timestamp_ntz"
+
+
+def test_views_in_sql(spark, folder):
+    from waybill.plans import sample_model as M
+    R.register_views(M.shipments(spark, folder), M.hubs(spark, folder), M.users(spark, folder), M.SHIPMENTS_AS_OF)
+    row = spark.sql("""select count(*) shipments, count(origin_hub_name) named from shipment_summary""").first()
+    assert 0 < row["named"] <= row["shipments"]
+    assert spark.sql("select max(total_shipments) from hub_performance").first()[0] > 0
+    assert spark.sql("select count(*) from daily_summary").first()[0] > 0

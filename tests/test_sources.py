@@ -10,11 +10,12 @@ from waybill import fixed
 from waybill.functions import expressions as X
 from waybill.operators import projections as P
 from waybill.operators import schema_ops as S
+from waybill.operators.lookup import filter_recent
 from waybill.schemas import required_columns, schema_of
 from waybill.session import fresh_folder
 from waybill.sources import documents as D
 from waybill.sources import jdbc
-from waybill.sources.tables import read_entity, write_entity
+from waybill.sources.tables import read_entity, read_tables, write_entity
 
 
 @pytest.mark.parametrize("table", list(fixed.TABLES))
@@ -53,6 +54,16 @@ def test_partitioned_entity_prunes(spark):
     assert day.count() == 33 and day.select(F.max("created_date")).first()[0] == date(2024, 1, 2)
     plan = day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_date" in plan
+    recent = filter_recent(back, "created_at", "2024-01-03 08:00:00", 1)
+    assert recent.count() == 66
+    assert "(created_date" in recent._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+
+
+def test_read_tables(spark, tmp_path):
+    S.empty_table(spark, "hubs").write.parquet(str(tmp_path / "hubs"))
+    S.empty_table(spark, "shipments").write.parquet(str(tmp_path / "shipments"))
+    tables = read_tables(spark, str(tmp_path), ["hubs", "shipments"])
+    assert {n: df.count() for n, df in tables.items()} == {"hubs": 0, "shipments": 0}
 
 
 def test_jdbc_options():

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import expressions as X
 from waybill.operators import changes as C
+from waybill.operators.schema_ops import empty_table
 from waybill.operators.hub_load import hub_load_fold, status_changes
 from waybill.plans import sample_model as M
 from waybill.session import fresh_folder
@@ -73,6 +74,14 @@ def test_late_events_are_marked(spark):
                      (3, None, "lost", True), (5, "delivered", None, False)]
 
 
+def test_event_source(spark):
+    out = fresh_folder(spark, "test-source")
+    empty_table(spark, "shipment_events").write.parquet(f"{out}/in")
+    stream = E.event_source(spark, f"{out}/in")
+    E.stream_current_status(stream, f"{out}/rows", f"{out}/checkpoint")
+    assert stream.isStreaming and "event_datetime" in stream.columns
+
+
 def test_upsert_equals_batch(spark, folder, sliced):
     _, stream = sliced
     kinds = F.when(F.col("status") == "in_transit", F.array(F.lit("status"))).otherwise(F.array().cast("array<string>"))

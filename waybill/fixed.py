@@ -5,7 +5,8 @@ they have to be exactly these for results to be right, so they are stated plainl
 """
 
 # ---------------------------------------------------------------------------------------------
-# Tables: columns, types and declared NOT NULL. JSON documents are kept as text at rest.
+# Tables: columns, types and declared NOT NULL. JSON documents and times of day are kept as text at
+# rest, which every source and sink takes.
 # ---------------------------------------------------------------------------------------------
 TABLES = {
     "users": """
@@ -49,8 +50,8 @@ TABLES = {
         base_cost DECIMAL(10,2) NOT NULL, fuel_surcharge DECIMAL(10,2),
         insurance_cost DECIMAL(10,2), additional_fees DECIMAL(10,2), total_cost DECIMAL(10,2),
         currency STRING, status STRING, priority STRING, pickup_date DATE,
-        pickup_time_start TIME, pickup_time_end TIME, estimated_delivery_date DATE,
-        estimated_delivery_time TIME, actual_pickup_datetime TIMESTAMP_NTZ,
+        pickup_time_start STRING, pickup_time_end STRING, estimated_delivery_date DATE,
+        estimated_delivery_time STRING, actual_pickup_datetime TIMESTAMP_NTZ,
         actual_delivery_datetime TIMESTAMP_NTZ, assigned_route_id BIGINT,
         assigned_driver_id BIGINT, assigned_vehicle STRING, created_by_id BIGINT NOT NULL,
         updated_by_id BIGINT, notes STRING, tags STRING, metadata STRING,

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waybill.functions.expressions import timestamp
+from waybill.sources.tables import PARTITION_COLUMN
 
 
 # --- filters -----------------------------------------------------------------------------------
@@ -21,12 +22,17 @@ def filter_recent(df: DataFrame, column: str, as_of: str, days: int,
                   whole_days: bool = True) -> DataFrame:
     """Rows from ``days`` before ``as_of`` on, counted from midnight or from the exact time.
 
-    The bound folds to one literal, which reaches the parquet scan.
+    The bound folds to one literal, which reaches the parquet scan. Where the table lies in folders
+    by creation day, older folders are not even listed.
     """
     end = timestamp(as_of)
     if whole_days:
         end = F.to_date(end).cast("timestamp_ntz")
-    return df.where(F.col(column) >= end - F.make_dt_interval(F.lit(days)))
+    bound = end - F.make_dt_interval(F.lit(days))
+    recent = df.where(F.col(column) >= bound)
+    if column == "created_at" and PARTITION_COLUMN in df.columns:
+        recent = recent.where(F.col(PARTITION_COLUMN) >= F.to_date(bound))
+    return recent
 
 
 def filter_delivered_complete(df: DataFrame, pickup: str = "pickup_date",

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from waybill.session import checkpointed
 
 ROWS_PER_TASK = 2_000_000
+# Ends of ranges are one row each and are broadcast: this bounds them.
+MOST_RANGES = 100_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest key; counts are combined before the shuffle."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Row count of the largest key and of all; counts are combined before the shuffle."""
+    counts = df.groupBy(*keys).count()
+    row = counts.agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
+    return row["largest"] or 0, row["total"] or 0
 
 
 def along(df: DataFrame, keys: list[str], order: list[str], value: str | None = None,
@@ -33,8 +36,12 @@ def along(df: DataFrame, keys: list[str], order: list[str], value: str | None =
     ``previous`` is ``value`` of the row before, ``latest`` the last non-NULL ``value`` up to and
     including the row. ``order`` must tell all rows of a key apart.
     """
-    if largest_group(df, keys) <= rows_per_task:
+    largest, total = group_sizes(df, keys)
+    if largest <= rows_per_task:
         return df.withColumns(_window_columns(W.partitionBy(*keys).orderBy(*order), value))
+    if ranges is None:
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(max(usual, -(-total // rows_per_task)), MOST_RANGES)
     return _along_ranges(df, keys, order, value, ranges)
 
 
@@ -48,9 +55,8 @@ def _window_columns(window, value: str | None) -> dict[str, Column]:
 
 
 def _along_ranges(df: DataFrame, keys: list[str], order: list[str], value: str | None,
-                  ranges: int | None) -> DataFrame:
-    count = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(count, *keys, *order)
+                  ranges: int) -> DataFrame:
+    ranged = (df.repartitionByRange(ranges, *keys, *order)
                 .withColumn("_range", F.spark_partition_id()))
     inside = ranged.withColumns(_window_columns(
         W.partitionBy("_range", *keys).orderBy(*order), value))
@@ -72,7 +78,7 @@ def _along_ranges(df: DataFrame, keys: list[str], order: list[str], value: str |
         carry += [F.col("known").alias("_known"), F.col("end.c2").alias("_last")]
     ends = ends.select("_range", F.lag(F.struct(*carry)).over(W.orderBy("_range")).alias("_carry"))
 
-    # ``ends`` has one row per range, so its size is bounded by the number of partitions.
+    # ``ends`` has one row per range, MOST_RANGES at most, so it is small whatever the data.
     joined = inside.join(F.broadcast(ends), "_range", "left")
     goes_on = F.coalesce(F.struct(*keys).eqNullSafe(F.col("_carry._key")), F.lit(False))
     columns = {"position": F.col("position")

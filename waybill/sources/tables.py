@@ -28,6 +28,12 @@ def read_entity(spark: SparkSession, table: str, path: str, format: str = "parqu
     return reader.load(path)
 
 
+def read_tables(spark: SparkSession, folder: str, tables: list[str],
+                format: str = "parquet") -> dict[str, DataFrame]:
+    """Several tables, each in a sub-folder of its name."""
+    return {name: read_entity(spark, name, f"{folder}/{name}", format) for name in tables}
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Cast the columns a table declares to their declared types, in declared order."""
     declared = [f for f in schema_of(table).fields if f.name in df.columns]
@@ -43,9 +49,8 @@ def write_entity(df: DataFrame, table: str, path: str, format: str = "parquet",
     """
     out = conform(df, table)
     if created is not None:
-        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         out = (out.withColumn(PARTITION_COLUMN, F.to_date(created))
-               .repartitionByRange(count, PARTITION_COLUMN, key))
+               .repartitionByRange(PARTITION_COLUMN, key))
     writer = out.write.format(format).mode(mode)
     if format == "csv":
         writer = writer.option("header", True)

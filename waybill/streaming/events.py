@@ -17,9 +17,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from waybill.operators.changes import EXPLICIT_NULL, apply_patches
 from waybill.operators.hub_load import apply_composed, compose_steps, load_steps, step_functions
 from waybill.operators.quality import patch_rules, split, validate
+from waybill.schemas import schema_of
 from waybill.streaming.store import epoch_folder, epoch_writer, read_epochs, write_epoch
 
 
+def event_source(spark: SparkSession, path: str, format: str = "parquet",
+                 files_per_batch: int = 1000) -> DataFrame:
+    """Shipment events as they arrive as files, with their declared schema."""
+    return (spark.readStream.schema(schema_of("shipment_events")).format(format)
+            .option("maxFilesPerTrigger", files_per_batch).load(path))
+
+
 def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Process everything there is and stop."""
     query = (stream.writeStream.outputMode(mode).foreachBatch(each_batch)
@@ -102,6 +110,15 @@ def status_change_stream(events: DataFrame) -> DataFrame:
         _track, _CHANGES, _LAST, "update", GroupStateTimeout.NoTimeout)
 
 
+def _between(shipments: DataFrame, changes: DataFrame) -> DataFrame:
+    """The shipments a batch can touch: its id bounds reach the scan, which skips the rest of a
+    table written in id order instead of reading all of it in every batch."""
+    low, high = changes.agg(F.min("shipment_id"), F.max("shipment_id")).first()
+    if low is None:
+        return shipments.where("false")
+    return shipments.where(F.col("id").between(low, high))
+
+
 def stream_hub_load(events: DataFrame, shipments: DataFrame, hubs: DataFrame, folder: str,
                     checkpoint: str) -> StreamingQuery:
     """Hub loads after each epoch below ``folder/load``, changes below ``folder/changes``.
@@ -116,7 +133,7 @@ def stream_hub_load(events: DataFrame, shipments: DataFrame, hubs: DataFrame, fo
         write_epoch(batch, f"{folder}/changes", epoch)
         changes = spark.read.parquet(epoch_folder(f"{folder}/changes", epoch)).where("not late")
         before = spark.read.parquet(epoch_folder(f"{folder}/load", epoch - 1))
-        steps = load_steps(changes, shipments, order=("at", "id"))
+        steps = load_steps(changes, _between(shipments, changes), order=("at", "id"))
         after = apply_composed(before, compose_steps(step_functions(steps, before)))
         load = F.col("new_load").cast(before.schema["current_load"].dataType)
         write_epoch(after.withColumn("current_load", load).select(*before.columns),
