@@ -57,7 +57,8 @@ def create_shipments(payloads: DataFrame, existing: DataFrame, as_of: Column, ba
     filled = _with_absent(payloads, optional).withColumn(
         "service_type", _absent_default(payloads, "service_type", F.lit(fixed.DEFAULT_SERVICE)))
     # Counting, ranking and numbering below go over the batch several times: parse and check it once.
-    valid, rejects = split(checkpointed(validate(filled, shipment_rules(filled))))
+    checked = validate(filled, shipment_rules(filled)).withColumn("created_at", as_of)
+    valid, rejects = split(checkpointed(checked))
     rows = valid.withColumns({
         "id": X.stable_uuid(F.lit(batch), "ordinal"),
         "weight": F.col("weight").cast("decimal(10,2)"),
@@ -66,11 +67,10 @@ def create_shipments(payloads: DataFrame, existing: DataFrame, as_of: Column, ba
         "estimated_delivery": X.eta("service_type", "pickup_date", as_of, days),
         "actual_delivery": F.lit(None).cast("timestamp_ntz"),
         "events": X.initial_event(X.stable_uuid(F.lit(batch), "ordinal", F.lit("created")), as_of),
-        "created_at": as_of,
         "updated_at": as_of,
     })
     rows = assign_tracking(rows, existing, rows_per_task=rows_per_task)
-    return rows.drop(PRESENT), rejects
+    return rows.drop(PRESENT), rejects.drop("created_at")
 
 
 def create_hubs(payloads: DataFrame, as_of: Column, batch: str) -> tuple[DataFrame, DataFrame]:

@@ -56,18 +56,20 @@ def taken_keys(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> D
 def lookup(keys: DataFrame, rows: DataFrame, by: list[str], key: str = "key") -> DataFrame:
     """For each distinct key, the row that has it in one of the ``by`` columns.
 
-    A match in an earlier column wins. One equi-join per column: joining on a disjunction would
-    compare every key with every row.
+    A match in an earlier column wins. Each row offers the values of its ``by`` columns to one
+    equi-join, so the table is read once and, with few keys, not shuffled; a join on a disjunction
+    would compare every key with every row.
     """
-    open_keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    found = []
-    for column in by:
-        matches = open_keys.join(rows, F.col(key) == F.col(column))
-        found.append(matches)
-        if column != by[-1]:
-            matched = rows.select(F.col(column).alias(key)).join(open_keys, key)
-            open_keys = open_keys.join(matched, key, "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    wanted = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    if len(by) == 1:
+        return wanted.join(rows, F.col(key) == F.col(by[0]))
+    kind = keys.schema[key].dataType
+    offers = [F.struct(F.lit(i).alias("place"), F.col(c).cast(kind).alias("value")) for i, c in enumerate(by)]
+    offered = (rows.select(F.explode(F.array(*offers)).alias("_offer"), F.struct(*rows.columns).alias("_row"))
+               .where("_offer.value is not null")
+               .select(F.col("_offer.value").alias(key), F.col("_offer.place").alias("_place"), "_row"))
+    return (offered.join(wanted, key).groupBy(key).agg(F.min_by("_row", "_place").alias("_row"))
+            .select(key, "_row.*"))
 
 
 def lookup_shipment(keys: DataFrame, shipments: DataFrame) -> DataFrame:
