@@ -68,7 +68,7 @@ def test_late_events_are_marked(spark):
         ).coalesce(1).write.mode("append").parquet(f"{out}/in")
     stream = spark.readStream.schema("id bigint, shipment_id bigint, status string, event_datetime timestamp_ntz").option(
         "maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    E.run_available(E.status_change_stream(stream), lambda b, e: b.write.mode("overwrite").parquet(f"{out}/out/epoch={e}"), f"{out}/checkpoint")
+    E.run(E.status_change_stream(stream), lambda b, e: b.write.mode("overwrite").parquet(f"{out}/out/epoch={e}"), f"{out}/checkpoint")
     found = sorted((r["id"], r["old_status"], r["status"], r["late"]) for r in spark.read.parquet(f"{out}/out").collect())
     assert found == [(1, None, "created", False), (2, "created", "delivered", False),
                      (3, None, "lost", True), (5, "delivered", None, False)]
@@ -96,3 +96,14 @@ def test_upsert_equals_batch(spark, folder, sliced):
     merged = E.read_upserted(base, out, as_of)
     wanted = patches(sliced[0]).where("status = 'in_transit'")
     same(merged, C.apply_patches(base, wanted, as_of)[0])
+
+
+def test_a_stream_can_go_on(spark, sliced):
+    _, stream = sliced
+    out = fresh_folder(spark, "test-on")
+    query = E.stream_daily_counts(stream, f"{out}/rows", f"{out}/checkpoint", every="1 second")
+    try:
+        query.processAllAvailable()
+        assert query.isActive and read_epochs(spark, f"{out}/rows").count() > 0
+    finally:
+        query.stop()

@@ -28,10 +28,14 @@ def event_source(spark: SparkSession, path: str, format: str = "parquet",
             .option("maxFilesPerTrigger", files_per_batch).load(path))
 
 
-def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Process everything there is and stop."""
-    query = (stream.writeStream.outputMode(mode).foreachBatch(each_batch)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def run(stream: DataFrame, each_batch, checkpoint: str, mode: str = "update",
+        every: str | None = None) -> StreamingQuery:
+    """Process everything there is and stop; with ``every`` (as "1 minute") go on doing so."""
+    writer = (stream.writeStream.outputMode(mode).foreachBatch(each_batch)
+              .option("checkpointLocation", checkpoint))
+    if every is not None:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
@@ -46,9 +50,10 @@ def current_status(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("status") == "delivered", F.col("event_datetime"))).alias("actual_delivery"))
 
 
-def stream_current_status(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def stream_current_status(events: DataFrame, folder: str, checkpoint: str,
+                          every: str | None = None) -> StreamingQuery:
     """Every epoch writes the shipments it touched; read with ``store.latest_by_key``."""
-    return run_available(current_status(events), epoch_writer(folder), checkpoint)
+    return run(current_status(events), epoch_writer(folder), checkpoint, every=every)
 
 
 # --- daily counts ------------------------------------------------------------------------------
@@ -62,8 +67,8 @@ def daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def stream_daily_counts(events: DataFrame, folder: str, checkpoint: str,
-                        lateness: str = "1 day") -> StreamingQuery:
-    return run_available(daily_counts(events, lateness), epoch_writer(folder), checkpoint)
+                        lateness: str = "1 day", every: str | None = None) -> StreamingQuery:
+    return run(daily_counts(events, lateness), epoch_writer(folder), checkpoint, every=every)
 
 
 # --- hub load ----------------------------------------------------------------------------------
@@ -120,7 +125,7 @@ def _between(shipments: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def stream_hub_load(events: DataFrame, shipments: DataFrame, hubs: DataFrame, folder: str,
-                    checkpoint: str) -> StreamingQuery:
+                    checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Hub loads after each epoch below ``folder/load``, changes below ``folder/changes``.
 
     Each epoch composes its own steps (see ``hub_load``) and applies them to the loads the epoch
@@ -139,7 +144,7 @@ def stream_hub_load(events: DataFrame, shipments: DataFrame, hubs: DataFrame, fo
         write_epoch(after.withColumn("current_load", load).select(*before.columns),
                     f"{folder}/load", epoch)
 
-    return run_available(status_change_stream(events), fold, checkpoint)
+    return run(status_change_stream(events), fold, checkpoint, every=every)
 
 
 def read_hub_load(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +155,8 @@ def read_hub_load(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- upsert ------------------------------------------------------------------------------------
 
-def stream_upsert(patches: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def stream_upsert(patches: DataFrame, folder: str, checkpoint: str,
+                  every: str | None = None) -> StreamingQuery:
     """Validate patches as they come and keep them per epoch: rewriting the stored table in every
     batch would cost the whole table each time. ``read_upserted`` merges them when read, and its
     result written anew is the next base."""
@@ -158,7 +164,7 @@ def stream_upsert(patches: DataFrame, folder: str, checkpoint: str) -> Streaming
     def keep(batch: DataFrame, epoch: int) -> None:
         write_epoch(validate(batch, patch_rules(batch)), f"{folder}/patches", epoch)
 
-    return run_available(patches, keep, checkpoint, mode="append")
+    return run(patches, keep, checkpoint, mode="append", every=every)
 
 
 def read_upserted(base: DataFrame, folder: str, as_of: Column, key: str = "id", seq: str = "seq",
