@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from waybill.session import checkpointed
 
-ROWS_PER_TASK = 2_000_000
+ROWS_PER_TASK = 1_000_000
 # Ends of ranges are one row each and are broadcast: this bounds them.
 MOST_RANGES = 100_000
 

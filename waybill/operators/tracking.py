@@ -48,14 +48,17 @@ def assign_tracking(new: DataFrame, existing: DataFrame, created: str = "created
                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Give every new row a tracking number that no other row, new or existing, has.
 
-    Rows created in the same second share a base; in ``order`` they take the free three-digit
+    Rows created in the same second share a base; in ``order`` (columns without NULLs) they take the free three-digit
     counters of that base. Once those run out, numbers go on with a running suffix behind the last
     counter.
     """
     order = order or ["ordinal"]
-    based = new.withColumn("_base", tracking_base(created))
-    ranked = along(based, ["_base"], order, rows_per_task=rows_per_task)
-    taken = _used_numbers(existing, based.select("_base").distinct(), name)
+    based = new.drop(name).withColumn("_base", tracking_base(created))
+    # All rows of a batch often share one base, so only what ranking needs is ranked; the numbers
+    # are then joined to the rows by their place in the order, which no two rows share.
+    slim = based.select("_base", *order)
+    ranked = along(slim, ["_base"], order, rows_per_task=rows_per_task)
+    taken = _used_numbers(existing, slim.select("_base").distinct(), name)
     joined = ranked.join(taken, "_base", "left")
     used = F.coalesce("_used", F.array().cast("array<int>"))
     place = F.col("position") - 1
@@ -65,4 +68,5 @@ def assign_tracking(new: DataFrame, existing: DataFrame, created: str = "created
     number = F.when(place < free_count, F.concat("_base", F.lpad(plain, 3, "0"))).otherwise(
         F.concat("_base", F.lit(str(fixed.TRACKING_COUNTERS - 1)),
                  F.lpad(suffix, F.greatest(F.lit(3), F.length(suffix)), "0")))
-    return joined.withColumn(name, number).drop("_base", "_used", "_next_overflow", "position")
+    numbers = joined.select("_base", *order, number.alias(name))
+    return based.join(numbers, ["_base", *order], "left").drop("_base")
