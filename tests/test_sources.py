@@ -92,13 +92,13 @@ def test_payload_of_the_wrong_type_is_malformed(spark):
 
 def test_json_columns(spark):
     rows = spark.createDataFrame([('{"length":1}', '["a"]'), ("nonsense", "nonsense"), (None, None)], "d string, t string")
-    parsed = rows.select(D.parse_json_column("d", "struct<length: double>", spark).alias("d"),
-                         D.parse_json_column("t", "array<string>", spark).alias("t"),
-                         D.parse_json_column("d", "map<string,string>", spark).alias("m"))
+    parsed = rows.select(D.parse_json_column("d", "struct<length: double>").alias("d"),
+                         D.parse_json_column("t", "array<string>").alias("t"),
+                         D.parse_json_column("d", "map<string,string>").alias("m"))
     assert [(r["d"]["length"], r["t"], r["m"]) for r in parsed.collect()] == [
         (1.0, ["a"], {"length": "1"}), (None, [], {}), (None, [], {})]
     typed = rows.select(F.array(F.lit("x")).alias("t"))
-    kept = typed.select(D.parse_json_column("t", "array<string>", spark, typed.schema["t"].dataType).alias("t"))
+    kept = typed.select(D.parse_json_column("t", "array<string>", typed.schema["t"].dataType).alias("t"))
     assert kept.first()["t"] == ["x"]
 
 

@@ -59,6 +59,19 @@ def test_hub_load(spark, folder, sliced):
     same(E.read_hub_load(spark, out).select("id", "current_load"), batch)
 
 
+def test_hub_load_goes_on_after_a_restart(spark, folder):
+    events, shipments, hubs = M.shipment_events(spark, folder), M.shipments(spark, folder), M.hubs(spark, folder)
+    out = fresh_folder(spark, "test-restart")
+    for half in (0, 1):
+        part = events.where((F.dayofmonth("event_datetime") > 15).cast("int") == half)
+        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{out}/in")
+        E.stream_hub_load(stream, shipments, hubs, out, f"{out}/checkpoint")
+    batch = hub_load_fold(hubs, shipments, status_changes(events)).select(
+        "id", F.col("new_load").cast("int").alias("current_load"))
+    same(E.read_hub_load(spark, out).select("id", "current_load"), batch)
+
+
 def test_late_events_are_marked(spark):
     out = fresh_folder(spark, "test-late")
     for n, rows in enumerate([[(1, 7, "created", "2024-01-02"), (2, 7, "delivered", "2024-01-03")],

@@ -38,24 +38,18 @@ def apply_defaults(df: DataFrame, table: str, as_of: Column, fill_nulls: bool =
 
 def generated_columns(df: DataFrame, table: str) -> DataFrame:
     """(Re)compute the stored generated columns of a table."""
-    makers = {
-        "hubs": ("utilization_percentage", lambda: X.hub_utilization("current_load", "capacity")),
-        "shipments": None,
-        "daily_analytics": ("net_profit", lambda: X.net_profit("total_revenue", "total_costs")),
-        "process_activities": (
-            "duration_seconds", lambda: X.duration_seconds("started_at", "completed_at")),
-    }
-    if table == "shipments":
-        return df.withColumns({
+    derived = {
+        "hubs": {"utilization_percentage": X.hub_utilization("current_load", "capacity")},
+        "shipments": {
             "volume_m3": X.volume_m3("dimensions_length_cm", "dimensions_width_cm",
                                      "dimensions_height_cm"),
             "total_cost": X.total_cost("base_cost", "fuel_surcharge", "insurance_cost",
                                        "additional_fees"),
-        })
-    if makers.get(table) is None:
-        return df
-    name, make = makers[table]
-    return df.withColumn(name, make())
+        },
+        "daily_analytics": {"net_profit": X.net_profit("total_revenue", "total_costs")},
+        "process_activities": {"duration_seconds": X.duration_seconds("started_at", "completed_at")},
+    }.get(table)
+    return df.withColumns(derived) if derived else df
 
 
 def evolve_schema(df: DataFrame, add: Mapping[str, str], retype: Mapping[str, str] | None = None,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-ETA_DAYS = "case {service} when 'overnight' then 1 when 'express' then 2 else 3 end"
-
 MODEL = """
 lines as (
   select l_orderkey, min(l_suppkey) origin_hub_id, max(l_suppkey) destination_hub_id,

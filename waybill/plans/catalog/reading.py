@@ -79,8 +79,8 @@ def json_columns(spark, folder):
         "event_id",
         F.when(kind == "error", F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("props"),
         F.when(kind == "error", "[1,").when(kind != "view", F.lit('["a", "b"]')).alias("tags"))
-    props = D.parse_json_column("props", "struct<k: bigint>", spark)
-    tags = D.parse_json_column("tags", "array<string>", spark)
+    props = D.parse_json_column("props", "struct<k: bigint>")
+    tags = D.parse_json_column("tags", "array<string>")
     return rows.select("event_id", props["k"].alias("k"), F.size(tags).cast("bigint").alias("n_tags"),
                        D.serialise_column(props).alias("text"))
 

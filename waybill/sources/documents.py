@@ -52,8 +52,7 @@ def _snake_text(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "([A-Z])", "_$1"))
 
 
-def parse_json_column(column: Column | str, ddl: str, spark: SparkSession,
-                      current: T.DataType | None = None) -> Column:
+def parse_json_column(column: Column | str, ddl: str, current: T.DataType | None = None) -> Column:
     """A document column as typed values; bad or missing JSON becomes the empty value.
 
     Pass the column's ``current`` type when it may already be an object: it is then only cast.
