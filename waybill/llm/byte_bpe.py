@@ -33,13 +33,13 @@ from pyspark.sql import types as T
 
 from waybill.llm.arrow import replaced, texts
 
-BYTES_AT_ONCE = 3_000_000
+BYTES_AT_ONCE = 2_000_000
 #: Matches remembered by a worker before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Bytes of a window of a long word, and its overlap with the next.
 WINDOW, OVERLAP = 160, 48
 #: Rows that one recursive query may make in all.
-ROWS = 4_000_000
+ROWS = 2_000_000
 
 # A position holds its token, the token behind it and where that one is. ``packed`` holds rank, place and next place.
 _CONTRACT = """
@@ -72,23 +72,18 @@ group by row
 """
 
 
-class Bpe:
-    def __init__(self, ranks: str, pattern: str):
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+class _Engine:
+    """An engine of one thread and bounded memory, with tables given from outside."""
+
+    def __init__(self):
         import duckdb
 
-        with open(ranks, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.size = {i: len(t) for t, i in self.ranks.items()}
-        self.known = {t: np.array([i], "<u4").tobytes() for t, i in self.ranks.items()}
-        self.split = _splitter(pattern)
-        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.engine = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
-        merges = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items()
-                  for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self._table("merge", first=[m[0] for m in merges], second=[m[1] for m in merges],
-                    id=[m[2] for m in merges])
-        self._table("vocabulary", id=list(self.ranks.values()), piece=[t.hex() for t in self.ranks])
-        self.match: dict[str, bytes] = {}  # a match of the pattern to its ids
+        self.engine = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
 
     def _table(self, name: str, **columns):
         given = pa.table({c: v if isinstance(v, np.ndarray) or isinstance(v[0], str) else pa.array(v, pa.int32())
@@ -97,6 +92,21 @@ class Bpe:
         self.engine.execute(f"create or replace temp table {name} as select * from given")
         self.engine.unregister("given")
 
+
+class Encoder(_Engine):
+    def __init__(self, path: str, pattern: str):
+        super().__init__()
+        ranks = _ranks(path)
+        self.size = {i: len(t) for t, i in ranks.items()}
+        self.known = {t: np.array([i], "<u4").tobytes() for t, i in ranks.items()}
+        self.split = _splitter(pattern)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        merges = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items()
+                  for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        self._table("merge", first=[m[0] for m in merges], second=[m[1] for m in merges],
+                    id=[m[2] for m in merges])
+        self.match: dict[str, bytes] = {}  # a match of the pattern to its ids
+
     def _contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of words, by recursive queries of bounded size."""
         out: list[bytes] = []
@@ -165,6 +175,13 @@ class Bpe:
         known.update(zip(new, self.encode_words([m.encode() for m in new])))
         return [b"".join([known[m] for m in found]) for found in matches]
 
+
+class Decoder(_Engine):
+    def __init__(self, path: str):
+        super().__init__()
+        ranks = _ranks(path)
+        self._table("vocabulary", id=list(ranks.values()), piece=[t.hex() for t in ranks])
+
     def decode(self, rows: list[bytes]) -> list[bytes]:
         length = np.array([len(r) // 4 for r in rows], np.int64)
         place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
@@ -204,10 +221,9 @@ def _splitter(pattern: str):
     return lambda text: (usual if text.isascii() or same(text) else exactly)(text)
 
 
-@lru_cache(maxsize=1)
-def _bpe(ranks: str, pattern: str) -> Bpe:
-    """Kept by a worker from task to task."""
-    return Bpe(ranks, pattern)
+#: Kept by a worker from task to task.
+_encoder = lru_cache(maxsize=1)(Encoder)
+_decoder = lru_cache(maxsize=1)(Decoder)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids",
@@ -216,9 +232,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
     keep = [c for c in docs.columns if c not in (text, ids, n_tokens)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(ranks, pattern)
+        encoder = _encoder(ranks, pattern)
         for batch, rows in texts(batches, BYTES_AT_ONCE, text):
-            found = bpe.encode([r.decode() for r in rows])
+            found = encoder.encode([r.decode() for r in rows])
             yield replaced(batch, keep, **{n_tokens: pa.array([len(i) // 4 for i in found], pa.int64()),
                                            ids: pa.array(found, pa.binary())})
 
@@ -228,14 +244,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
     return rows.mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, ranks: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, ranks: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes that the ids stand for in place of the ids."""
     keep = [c for c in tokens.columns if c not in (ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(ranks, pattern)
+        decoder = _decoder(ranks)
         for batch, rows in texts(batches, BYTES_AT_ONCE, ids):
-            yield replaced(batch, keep, **{decoded: pa.array(bpe.decode(rows), pa.binary())})
+            yield replaced(batch, keep, **{decoded: pa.array(decoder.decode(rows), pa.binary())})
 
     rows = tokens.select(*keep, ids)
     schema = T.StructType([f for f in rows.schema if f.name != ids] + [T.StructField(decoded, T.BinaryType())])
@@ -246,6 +262,6 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", t
     """Encode, then decode the ids: key, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     tokens = encode(rows, ranks, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
-    back = decode(tokens, ranks, pattern)
+    back = decode(tokens, ranks)
     return back.select(F.col("key").alias(key), "n_tokens", "ids_sha256",
                        F.sha2("decoded", 256).alias("decoded_sha256"))
