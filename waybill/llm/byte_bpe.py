@@ -221,9 +221,15 @@ def _splitter(pattern: str):
     return lambda text: (usual if text.isascii() or same(text) else exactly)(text)
 
 
-#: Kept by a worker from task to task.
-_encoder = lru_cache(maxsize=1)(Encoder)
-_decoder = lru_cache(maxsize=1)(Decoder)
+@lru_cache(maxsize=1)
+def _encoder(ranks: str, pattern: str) -> Encoder:
+    """Kept by a worker from task to task."""
+    return Encoder(ranks, pattern)
+
+
+@lru_cache(maxsize=1)
+def _decoder(ranks: str) -> Decoder:
+    return Decoder(ranks)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import byte_bpe, chat, fertility, mixing, near_copies, token_counts, token_files, topk, urls
+from waybill.llm import byte_bpe, chat, fertility, hidden_markov, mixing, near_copies, token_counts, token_files, topk, urls
 from waybill.llm.frames import read
 from waybill.session import fresh_folder
 
@@ -50,14 +50,13 @@ def op2_byte_bpe(spark, folder):
 
 
 END_ID = 1
-SHARDS = 24
 
 
 @query("op3_token_files")
 def op3_token_files(spark, folder):
     out = fresh_folder(spark, "token-files")
     directory, files = token_files.write_token_files(
-        read(spark, folder, "documents"), out, vocabulary("word_bpe_49k.json"), END_ID, SHARDS)
+        read(spark, folder, "documents"), out, vocabulary("word_bpe_49k.json"), END_ID)
     keys = directory.select("key", "copy")
     found = token_files.read_ids(token_files.find(keys, out, files), out, 2)
     starts = token_files.shard_starts(directory)
@@ -88,6 +87,11 @@ def op4_perspectives(spark, folder):
     return pages.select("conv_id", "speaker", "page", "n_turns", "n_target_turns", "text")
 
 
+@query("op5_hidden_markov")
+def op5_hidden_markov(spark, folder):
+    return hidden_markov.score_texts(read(spark, folder, "documents"))
+
+
 @query("op6_fertility")
 def op6_fertility(spark, folder):
     return fertility.judge_quality(read(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))

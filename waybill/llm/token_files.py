@@ -264,10 +264,12 @@ def _write_index(folder: str):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, shards: int, key: str = "doc_id",
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, shards: int | None = None, key: str = "doc_id",
                       text: str = "text") -> tuple[DataFrame, int]:
     """Write shards and indexes; the directory (key, copy, shard, offset, n_tokens, start), and the number of
-    index files. The directory is a table written along the way, of narrow rows."""
+    index files. The directory is a table written along the way, of narrow rows. There are as many shards as the session
+    has shuffle partitions, unless given."""
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     # Ties are ranged by text, so different texts of one key don't meet in one shard.
     order = [F.col("key").asc_nulls_last(), F.xxhash64("text")]
