@@ -34,8 +34,8 @@ from waybill.llm.shingles import word_hashes
 
 STATES, CLASSES, PASSES, SEED = 8, 4096, 5, 11
 STRETCH = 512
-BLOCK_BYTES = 4_000_000
-WORDS_PER_RANGE = 2_000_000
+BLOCK_BYTES = 6_000_000
+WORDS_PER_RANGE = 500_000
 SMOOTH = 0.1
 #: Stands for the end; no word holds a space.
 _END = b" "
@@ -225,7 +225,7 @@ def counted_blocks(docs: DataFrame, key: str, text: str, held_out) -> tuple[Data
         f"block bigint, keys array<{kind}>, learned binary, lengths binary, tokens binary, hashes binary, counts binary, "
         "words bigint")))
     entries = blocks.agg(F.sum("words")).first()[0] or 0
-    ranges = max(1, -(-entries // WORDS_PER_RANGE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(1, -(-entries // WORDS_PER_RANGE))
     totals = checkpointed(
         blocks.select("block", "hashes", "counts")
         .mapInArrow(_cut(ranges), "part bigint, block bigint, hashes binary, counts binary")
