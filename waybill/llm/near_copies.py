@@ -5,9 +5,9 @@
 3. In each bucket the members are compared with its pivot, the member that shares most buckets with most
    others: the original of a group of copies is like all of them while they may be less like one another. A pair is first
    estimated by the signatures, then verified exactly on the texts.
-4. Linked nodes make components. What is left in a bucket outside the pivot's component is compared with the
-   members in other components. So each pair that shares a bucket has been compared or is in one component already:
-   the classes are those that comparing all pairs of all buckets would give, without making all pairs of a group.
+4. Linked nodes make components. Members of a bucket that are left outside the pivot's component are compared with those in
+   other components, in tiles inside the tasks. So each pair that shares a bucket has been compared or is in one component
+   already: the classes are those that comparing all pairs of all buckets would give, and only links leave a task.
 
 Similarity is the probability Jaccard of the shingles, weighted 1 + ln(count); for texts that don't repeat themselves
 this is the plain Jaccard. With 32 bands of 6 a pair at 0.8 shares a bucket with probability 0.9999.
@@ -37,6 +37,8 @@ THRESHOLD = 0.8
 #: Pairs estimated below are not verified: four standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = 0.68
 BYTES_AT_ONCE = 4_000_000
+#: Members of a tile, on average.
+TILE = 200
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,24 +168,108 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _links(placed.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), nodes, found)
     roots = components(links)
 
-    # The rest: members outside the pivot's component, against members of other components.
-    root_of = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    at_root = (placed.join(root_of, F.col("node") == F.col("_n"), "left")
-               .select("bucket", "node", "pivot", F.coalesce("_r", "node").alias("root"))
-               .join(root_of, F.col("pivot") == F.col("_n"), "left")
-               .select("bucket", "node", "root", (F.col("root") != F.coalesce("_r", "pivot")).alias("outside"),
-                       (F.col("node") == F.col("pivot")).alias("is_pivot")))
-    at_root = checkpointed(at_root)
-    outside = at_root.where("outside").select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    others = at_root.where("not is_pivot").select("bucket", F.col("node").alias("b"), F.col("root").alias("b_root"),
-                                                  F.col("outside").alias("b_outside"))
-    rest = (outside.join(others, "bucket").where("a_root <> b_root and (a < b or not b_outside)").select("a", "b"))
-    more = _links(rest, nodes, found)
+    root_of = checkpointed(roots.select(F.col("node").alias("_n"), F.col("root").alias("_r")))
+    groups = (placed.select("node", "pivot").distinct()
+              .join(root_of, F.col("node") == F.col("_n"), "left")
+              .select("node", "pivot", F.coalesce("_r", "node").alias("root"))
+              .join(root_of, F.col("pivot") == F.col("_n"), "left")
+              .select(F.coalesce("_r", "pivot").alias("group"), "node", "root").distinct())
+    more = _rest(groups, nodes, found)
     if not more.isEmpty():
         roots = components(links.union(more))
     return nodes, roots
 
 
+def _rest(groups: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between components that the pivots didn't show.
+
+    A group (``group``, ``node``, ``root``) has the members of all buckets whose pivot is in one component, so all pairs that
+    share a bucket are in some group. Members outside the pivot's component are compared with all members in other components,
+    in tiles: first by signatures, then, for members that are estimated to be near any, by their texts.
+    """
+    outside = F.col("root") != F.col("group")
+    groups = checkpointed(groups.join(groups.where(outside).select("group").distinct(), "group", "left_semi"))
+    signed = groups.join(nodes.select(F.col("node").alias("_n"), "sign"), F.col("node") == F.col("_n")).drop("_n")
+    near = _tiles(signed, ["node", "root", "sign"]).mapInArrow(_near, "group binary, node binary").distinct()
+    near = checkpointed(signed.join(near, ["group", "node"]))
+    texts_of = found.select(F.col("node").alias("_n"), "text")
+    written = near.join(texts_of, F.col("node") == F.col("_n")).drop("_n")
+    return checkpointed(_tiles(written, ["node", "root", "sign", "text"]).mapInArrow(_compare, "a binary, b binary"))
+
+
+def _tiles(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of tiles of each group: ``left`` has members outside the group's component, ``right`` any."""
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiled = members.join(sizes, "group").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    packed = F.collect_list(F.struct(*columns))
+    right = tiled.groupBy("group", "tile").agg(packed.alias("right"))
+    left = (tiled.where("root <> group").groupBy("group", "tiles", F.col("tile").alias("left_tile"))
+            .agg(packed.alias("left"))
+            .withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A pair of tiles is much work and few bytes: keep the tasks apart.
+    return (left.join(right, ["group", "tile"]).repartition(parts, "group", "tile", "left_tile")
+            .select("group", "left", "right"))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]):
+    """For each pair of tiles: the group, the members, and the places of pairs that may be near copies."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = (batch.column(c)[i].as_py() for c in ("left", "right"))
+            group = batch.column("group")[i].as_py()
+            signs = [np.stack([np.frombuffer(m["sign"], "<u2") for m in side]) for side in (left, right)]
+            for k, member in enumerate(left):
+                alike = (signs[1] == signs[0][k]).mean(axis=1) >= LEAST_ESTIMATE
+                # A pair of two outside members comes up twice.
+                at = [j for j in np.flatnonzero(alike) if right[j]["root"] != member["root"]
+                      and (right[j]["root"] == group or member["node"] < right[j]["node"])]
+                if at:
+                    yield group, member, [right[j] for j in at]
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members that are estimated to be near another."""
+    seen: set[tuple[bytes, bytes]] = set()
+    for group, member, others in _candidates(batches):
+        seen.update((group, m["node"]) for m in (member, *others))
+        if len(seen) > 20_000:
+            yield _pairs(list(seen), "group", "node")
+            seen.clear()
+    yield _pairs(list(seen), "group", "node")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of members to other components, one for each pair of components that a task sees."""
+    held: dict[bytes, tuple] = {}
+    joined: set[tuple[bytes, bytes]] = set()
+    links = []
+
+    def cut(member):
+        if member["node"] not in held:
+            if len(held) > 2 * TILE:
+                held.clear()
+            held[member["node"]] = shingles.shingles([(member["text"] or "").encode()])[1:]
+        return held[member["node"]]
+
+    for _, member, others in _candidates(batches):
+        own = cut(member)
+        for other in others:
+            pair = (member["root"], other["root"])
+            if pair not in joined and shingles.similarity(*own, *cut(other)) >= THRESHOLD:
+                if len(joined) < 100_000:  # only saves repeated links
+                    joined.add(pair)
+                links.append((member["node"], other["node"]))
+        if len(links) > 20_000:
+            yield _pairs(links, "a", "b")
+            links = []
+    yield _pairs(links, "a", "b")
+
+
+def _pairs(rows: list[tuple[bytes, bytes]], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=list(names))
+
+
 def _chosen(nodes: DataFrame, roots: DataFrame, key: str = "key") -> DataFrame:
     """Each node with its class: node, class_key, chosen (the node whose text stays), size."""
     placed = nodes.select("node", "key", "copies").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
