@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 
+_kept: dict[tuple, Any] = {}
+
+
+def kept(make: Callable, *arguments) -> Any:
+    """``make(*arguments)``, kept by a worker from task to task: the last one asked for, so that the memories of different
+    operators don't add up."""
+    key = (make, *arguments)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make(*arguments)
+    return _kept[key]
+
 
 def texts(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most ``most`` bytes of text (or one row), each with its texts as UTF-8; NULL is empty."""

@@ -23,7 +23,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waybill.llm.arrow import replaced, texts
+from waybill.llm.arrow import kept, replaced, texts
 
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1_000_000
 #: Matches remembered by a worker before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bytes of a window of a long word, and its overlap with the next.
 WINDOW, OVERLAP = 160, 48
 #: Rows that one recursive query may make in all.
-ROWS = 2_000_000
+ROWS = 400_000
 
 # A position holds its token, the token behind it and where that one is. ``packed`` holds rank, place and next place.
 _CONTRACT = """
@@ -83,7 +82,7 @@ class _Engine:
     def __init__(self):
         import duckdb
 
-        self.engine = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.engine = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
 
     def _table(self, name: str, **columns):
         given = pa.table({c: v if isinstance(v, np.ndarray) or isinstance(v[0], str) else pa.array(v, pa.int32())
@@ -221,24 +220,13 @@ def _splitter(pattern: str):
     return lambda text: (usual if text.isascii() or same(text) else exactly)(text)
 
 
-@lru_cache(maxsize=1)
-def _encoder(ranks: str, pattern: str) -> Encoder:
-    """Kept by a worker from task to task."""
-    return Encoder(ranks, pattern)
-
-
-@lru_cache(maxsize=1)
-def _decoder(ranks: str) -> Decoder:
-    return Decoder(ranks)
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids",
            n_tokens: str = "n_tokens") -> DataFrame:
     """``docs`` with the ids of the text in place of the text, and their number."""
     keep = [c for c in docs.columns if c not in (text, ids, n_tokens)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks, pattern)
+        encoder = kept(Encoder, ranks, pattern)
         for batch, rows in texts(batches, BYTES_AT_ONCE, text):
             found = encoder.encode([r.decode() for r in rows])
             yield replaced(batch, keep, **{n_tokens: pa.array([len(i) // 4 for i in found], pa.int64()),
@@ -255,7 +243,7 @@ def decode(tokens: DataFrame, ranks: str, ids: str = "ids", decoded: str = "deco
     keep = [c for c in tokens.columns if c not in (ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _decoder(ranks)
+        decoder = kept(Decoder, ranks)
         for batch, rows in texts(batches, BYTES_AT_ONCE, ids):
             yield replaced(batch, keep, **{decoded: pa.array(decoder.decode(rows), pa.binary())})
 

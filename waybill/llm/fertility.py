@@ -20,17 +20,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.arrow import replaced, texts
+from waybill.llm.arrow import kept, replaced, texts
 
 BYTES_AT_ONCE = 4_000_000
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 FULL = 512
@@ -66,7 +65,7 @@ def _script(word: str) -> int:
     return len(SCRIPTS) - 1
 
 
-class _Words:
+class Words:
     """Pieces of the words met so far."""
 
     def __init__(self, model: str):
@@ -100,12 +99,6 @@ class _Words:
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
-@lru_cache(maxsize=1)
-def _words(model: str) -> _Words:
-    """Kept by a worker from task to task."""
-    return _Words(model)
-
-
 def _repeated(numbers: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """Words per text that lie in a window found twice or more in the text."""
     last = len(numbers) - WINDOW + 1
@@ -133,7 +126,7 @@ def _repeated(numbers: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text[np.cumsum(covered[:-1]) > 0], minlength=n)
 
 
-def measure(rows: list[bytes], words: _Words, bands: dict[str, Band]) -> dict[str, np.ndarray]:
+def measure(rows: list[bytes], words: Words, bands: dict[str, Band]) -> dict[str, np.ndarray]:
     """All counts, measures and verdicts of some texts."""
     split = [r.split() for r in rows]
     n_words = np.fromiter(map(len, split), np.int64, len(rows))
@@ -197,7 +190,7 @@ def judge_quality(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in texts(batches, BYTES_AT_ONCE):
-            found = measure(some, _words(model), bands)
+            found = measure(some, kept(Words, model), bands)
             yield replaced(batch, ["key"], **{c: pa.array(found[c]) for c in _COLUMNS})
 
     schema = f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())
@@ -208,6 +201,6 @@ def filter_quality(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS,
     """The documents that are kept, with all their columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in texts(batches, BYTES_AT_ONCE, text):
-            yield batch.filter(pa.array(measure(some, _words(model), bands)["kept"]))
+            yield batch.filter(pa.array(measure(some, kept(Words, model), bands)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -39,6 +39,7 @@ LEAST_ESTIMATE = 0.68
 BYTES_AT_ONCE = 4_000_000
 #: Members of a tile, on average.
 TILE = 200
+SALTS = 32
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,10 @@ def _rest(groups: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
 def _tiles(members: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs of tiles of each group: ``left`` has members outside the group's component, ``right`` any."""
     sizes = members.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = members.join(sizes, "group").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # A group may hold a third of all members: deal it over salts.
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tiled = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["group", "salt"])
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     packed = F.collect_list(F.struct(*columns))
     right = tiled.groupBy("group", "tile").agg(packed.alias("right"))
     left = (tiled.where("root <> group").groupBy("group", "tiles", F.col("tile").alias("left_tile"))

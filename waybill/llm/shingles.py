@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
+from waybill.llm.arrow import kept
+
 #: Words of a shingle. A shorter text with words has one shingle, all its words.
 WORDS = 5
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -19,16 +19,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _known() -> dict[bytes, int]:
-    """Hashes of words, kept by a worker from task to task."""
-    return {}
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    known = _known()
+    known = kept(dict)
     new = set(words).difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()

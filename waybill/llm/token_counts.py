@@ -8,28 +8,25 @@ other than the key and the text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.arrow import replaced, texts
+from waybill.llm.arrow import kept, replaced, texts
 from waybill.llm.transducer import Transducer, Vocabulary
 
 CHUNK = 1024
 BYTES_AT_ONCE = 4_000_000
 
 
-@lru_cache(maxsize=1)
 def _transducer(model: str) -> Transducer:
-    """Kept by a worker from task to task."""
     return Transducer(Vocabulary(model))
 
 
 def _counter(model: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = _transducer(model)
+        transducer = kept(_transducer, model)
         for batch, rows in texts(batches, BYTES_AT_ONCE):
             yield replaced(batch, ["key"], n_bytes=pa.array([len(r) for r in rows], pa.int64()),
                            n_tokens=pa.array(transducer.count(rows, chunk), pa.int64()))

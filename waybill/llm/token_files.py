@@ -28,14 +28,13 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.arrow import texts
+from waybill.llm.arrow import kept, texts
 from waybill.llm.chat import positions
 from waybill.llm.frames import checkpointed
 
@@ -75,8 +74,11 @@ class WordTokenizer:
     _mark = re.compile(rb"(?<=[a-z0-9])[.,;:!?](?![^\x20\x09-\x0d])")
 
     def __init__(self, path: str):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.code, self.dtype = ("H", "<u2") if self.tokenizer.get_vocab_size() <= 65536 else ("I", "<u4")
         self.known: dict[bytes, bytes] = {}
@@ -95,15 +97,6 @@ class WordTokenizer:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str) -> WordTokenizer:
-    """Kept by a worker from task to task."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokenizer(path)
-
-
 # -- the hash -------------------------------------------------------------------------------------
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -209,7 +202,7 @@ def _write_shards(tokenizer: str, folder: str, end: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        words = _tokenizer(tokenizer)
+        words = kept(WordTokenizer, tokenizer)
         keys, lengths = [], []
         last = np.array([end], words.dtype).tobytes()
 
