@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from typing import Any
 
 import pyarrow as pa
@@ -15,7 +18,11 @@ def kept(make: Callable, *arguments) -> Any:
     operators don't add up."""
     key = (make, *arguments)
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            with suppress(AttributeError):  # only glibc has it: give freed memory back
+                ctypes.CDLL(None).malloc_trim(0)
         _kept[key] = make(*arguments)
     return _kept[key]
 

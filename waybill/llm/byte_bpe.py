@@ -252,10 +252,24 @@ def decode(tokens: DataFrame, ranks: str, ids: str = "ids", decoded: str = "deco
     return rows.mapInArrow(run, schema)
 
 
+def _both(ranks: str, pattern: str) -> tuple[Encoder, Decoder]:
+    return Encoder(ranks, pattern), Decoder(ranks)
+
+
 def round_trip(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, then decode the ids: key, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
+    """Encode, then decode the ids: key, n_tokens and the SHA-256 of the ids and of the decoded bytes.
+
+    ``encode`` and ``decode`` in one pass, so that a task needs one worker.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = kept(_both, ranks, pattern)
+        for batch, rows in texts(batches, BYTES_AT_ONCE):
+            ids = encoder.encode([r.decode() for r in rows])
+            yield replaced(batch, ["key"], n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()),
+                           ids=pa.array(ids, pa.binary()), decoded=pa.array(decoder.decode(ids), pa.binary()))
+
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    tokens = encode(rows, ranks, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
-    back = decode(tokens, ranks)
-    return back.select(F.col("key").alias(key), "n_tokens", "ids_sha256",
+    kind = rows.schema["key"].dataType.simpleString()
+    both = rows.mapInArrow(run, f"key {kind}, n_tokens bigint, ids binary, decoded binary")
+    return both.select(F.col("key").alias(key), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
