@@ -2,8 +2,6 @@
 
 Every query is run once to warm up and then ``BENCH_RUNS`` times (3); the median counts. Results go
 to the ``noop`` sink, so all rows are computed and none is collected.
-``hub_performance_by_disjunction`` is the report joined as its view words it, next to the rewrite;
-it is run once and not part of the total.
 """
 
 from __future__ import annotations
@@ -14,8 +12,7 @@ import statistics
 import sys
 import time
 
-from waybill.plans import catalog, reports
-from waybill.plans import sample_model as M
+from waybill.plans import catalog
 from waybill.session import build_session
 
 HEADLINE = [
@@ -28,11 +25,6 @@ HEADLINE = [
 ]
 
 
-def naive_hub_performance(spark, folder):
-    return reports.hub_performance_by_disjunction(
-        M.hubs(spark, folder), M.shipments(spark, folder), M.SHIPMENTS_AS_OF)
-
-
 def seconds(run, spark, folder) -> float:
     start = time.perf_counter()
     run(spark, folder).write.format("noop").mode("overwrite").save()
@@ -55,8 +47,6 @@ def main(names: list[str]) -> None:
         took[name] = round(statistics.median(seconds(run, spark, folder) for _ in range(runs)), 3)
         print(f"{name}: {took[name]}", file=sys.stderr)
     total = round(sum(took.values()), 3)
-    if not names:  # once is enough to compare with
-        took["hub_performance_by_disjunction"] = round(seconds(naive_hub_performance, spark, folder), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
                       "queries": took, "sf": os.path.basename(folder.rstrip("/"))}))
 

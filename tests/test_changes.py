@@ -77,7 +77,7 @@ def test_create_shipments(spark, table):
     broken = {r["ordinal"]: r[BROKEN] for r in rejects.collect()}
     assert broken[2] == ["sender_name_empty", "sender_phone_not_a_phone", "weight_not_positive",
                          "dimensions.length_not_positive", "service_type_not_allowed"]
-    assert broken[3] == ["weight_not_positive", "service_type_not_allowed"]
+    assert broken[3] == ["weight_too_large", "service_type_not_allowed"]
     stored = set(schema_of("shipment_documents").names)
     assert stored <= set(created.columns)
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from tests.compare import connect, difference
+from waybill.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -12,10 +13,10 @@ def engine(folder):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_same_rows(spark, folder, engine, name):
     result = entry_points.queries()[name](spark, folder)
     assert difference(result, engine, entry_points.oracle_sql()[name]) is None

@@ -257,7 +257,7 @@ def append_events(shipments: DataFrame, events: DataFrame, as_of: Column,
     return updated, unknown
 
 
-def event_pages(timeline: DataFrame, page_size: int = 1000, key: str = "shipment_id",
+def event_pages(timeline: DataFrame, page_size: int, key: str = "shipment_id",
                 order: tuple[str, ...] = ("at", "seq")) -> DataFrame:
     """The events as documents: ``events`` arrays of at most ``page_size``, in order.
 

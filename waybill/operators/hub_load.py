@@ -32,9 +32,9 @@ def status_changes(events: DataFrame, key: str = "shipment_id", status: str = "s
     """Events at which the status really changes, with ``old_status``.
 
     The status before a shipment's first event comes from ``initial`` (``key``, ``old_status``),
-    or is unknown (NULL), which any status differs from.
+    or is unknown (NULL), which any status differs from. An event without a status changes none.
     """
-    ordered = along(events, [key], list(order), status, rows_per_task)
+    ordered = along(events.where(F.col(status).isNotNull()), [key], list(order), status, rows_per_task)
     if initial is None:
         old = F.col("previous")
     else:
@@ -47,7 +47,10 @@ def status_changes(events: DataFrame, key: str = "shipment_id", status: str = "s
 
 def load_steps(changes: DataFrame, shipments: DataFrame, key: str = "shipment_id",
                status: str = "status", order: tuple[str, ...] = ("event_datetime", "id")) -> DataFrame:
-    """The load steps of each change: ``hub_id, at, seq, step, kind, packages`` in replay order."""
+    """The load steps of each change: ``hub_id, at, seq, step, packages`` in replay order.
+
+    ``packages`` is NULL where the shipment's count is.
+    """
     moves = shipments.select(F.col("id").alias(key), "origin_hub_id", "destination_hub_id",
                              "package_count")
     joined = changes.select(key, *order, status).join(moves, key)
@@ -57,20 +60,26 @@ def load_steps(changes: DataFrame, shipments: DataFrame, key: str = "shipment_id
         F.lit(1).alias("step"))
     return (joined.select(*order, "package_count",
                           F.explode(F.array(release, arrive)).alias("move"))
-            .where("move.hub_id is not null and package_count is not null")
+            .where("move.hub_id is not null")
             .select("move.hub_id", F.col(order[0]).alias("at"), F.col(order[1]).alias("seq"),
                     "move.step", F.col("package_count").cast("bigint").alias("packages")))
 
 
 def step_functions(steps: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Steps as clamp functions; an arrival is limited by the capacity of its hub."""
+    """Steps as clamp functions; an arrival is limited by the capacity of its hub.
+
+    Limits skip NULLs: without a package count only the limit is left, so a release empties the hub and
+    an arrival fills it (a hub without a capacity stays as it is).
+    """
     limits = hubs.select(F.col("id").alias("hub_id"), F.col("capacity").cast("bigint"))
-    arriving = F.col("step") == 1
+    arriving, unknown = F.col("step") == 1, F.col("packages").isNull()
     return steps.join(limits, "hub_id").select(
         "hub_id", "at", "seq", "step",
-        F.when(arriving, F.lit(-_NO_LIMIT)).otherwise(F.lit(0)).alias("low"),
-        F.when(arriving, F.coalesce("capacity", F.lit(_NO_LIMIT))).otherwise(F.lit(_NO_LIMIT)).alias("high"),
-        F.when(arriving, F.col("packages")).otherwise(-F.col("packages")).alias("shift"))
+        F.when(arriving & unknown, F.coalesce("capacity", F.lit(-_NO_LIMIT)))
+        .when(arriving, F.lit(-_NO_LIMIT)).otherwise(F.lit(0)).alias("low"),
+        F.when(arriving, F.coalesce("capacity", F.lit(_NO_LIMIT)))
+        .when(unknown, F.lit(0)).otherwise(F.lit(_NO_LIMIT)).alias("high"),
+        F.coalesce(F.when(arriving, F.col("packages")).otherwise(-F.col("packages")), F.lit(0)).alias("shift"))
 
 
 def _compose(first: np.ndarray, then: np.ndarray) -> np.ndarray:

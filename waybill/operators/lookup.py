@@ -53,23 +53,22 @@ def taken_keys(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> D
     return existing.select(*keys).join(wanted, keys).distinct()
 
 
-def lookup(keys: DataFrame, rows: DataFrame, by: list[str], key: str = "key") -> DataFrame:
+def lookup(keys: DataFrame, rows: DataFrame, by: list[str], key: str = "key", tie: str = "id") -> DataFrame:
     """For each distinct key, the row that has it in one of the ``by`` columns.
 
-    A match in an earlier column wins. Each row offers the values of its ``by`` columns to one
-    equi-join, so the table is read once and, with few keys, not shuffled; a join on a disjunction
-    would compare every key with every row.
+    A match in an earlier column wins, then the lowest ``tie``, which tells all rows apart. Each row offers
+    the values of its ``by`` columns to one equi-join (a join on a disjunction would compare every key with every row);
+    only these columns and ``tie`` are read to find it, and the rows found are joined once.
     """
     wanted = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    if len(by) == 1:
-        return wanted.join(rows, F.col(key) == F.col(by[0]))
     kind = keys.schema[key].dataType
     offers = [F.struct(F.lit(i).alias("place"), F.col(c).cast(kind).alias("value")) for i, c in enumerate(by)]
-    offered = (rows.select(F.explode(F.array(*offers)).alias("_offer"), F.struct(*rows.columns).alias("_row"))
+    offered = (rows.select(F.explode(F.array(*offers)).alias("_offer"), F.col(tie).alias("_tie"))
                .where("_offer.value is not null")
-               .select(F.col("_offer.value").alias(key), F.col("_offer.place").alias("_place"), "_row"))
-    return (offered.join(wanted, key).groupBy(key).agg(F.min_by("_row", "_place").alias("_row"))
-            .select(key, "_row.*"))
+               .select(F.col("_offer.value").alias(key), F.col("_offer.place").alias("_place"), "_tie"))
+    found = (offered.join(wanted, key).groupBy(key)
+             .agg(F.min(F.struct("_place", "_tie"))["_tie"].alias("_found")))
+    return found.join(rows, F.col("_found") == F.col(tie)).select(key, *rows.columns)
 
 
 def lookup_shipment(keys: DataFrame, shipments: DataFrame) -> DataFrame:

@@ -45,15 +45,20 @@ def at_most(column: str, length: int) -> Rule:
     return Rule(f"{column}_too_long", F.length(column) <= length)
 
 
-def positive(column: str, required: bool = True, digits: int | None = None) -> Rule:
-    """Above zero, a number, and (with ``digits``) small enough for its decimal column."""
+def positive(column: str, required: bool = True) -> Rule:
+    """Above zero and a number."""
     value = F.col(column)
     good = (value > 0) & ~F.isnan(value.cast("double"))
-    if digits is not None:
-        good = good & (value.cast("double") < 10.0 ** digits)
     return Rule(f"{column}_not_positive", F.coalesce(good, F.lit(not required)))
 
 
+def fits(column: str, kind: str = "decimal(10,2)") -> Rule:
+    """Small enough, once rounded, for the column it goes into; what is no number is another rule's."""
+    value = F.col(column).cast("double")
+    usual = value.isNull() | F.isnan(value) | (value <= 0)
+    return Rule(f"{column}_too_large", usual | value.try_cast(kind).isNotNull())
+
+
 def one_of(column: str, allowed: list[str], required: bool = False) -> Rule:
     return Rule(f"{column}_not_allowed",
                 F.coalesce(F.col(column).isin(allowed), F.lit(not required)))
@@ -66,9 +71,12 @@ def phone(column: str) -> Rule:
 # --- validators --------------------------------------------------------------------------------
 
 def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add the names of the broken rules, found in one pass."""
+    """Add the names of the broken rules, found in one pass.
+
+    They come out of a generator, as a filter on them would else be pushed below and compute all rules again.
+    """
     marks = [F.when(rule.broken, F.lit(rule.name)) for rule in rules]
-    return df.withColumn(BROKEN, F.array_compact(F.array(*marks)))
+    return df.withColumn(BROKEN, F.explode(F.array(F.array_compact(F.array(*marks)))))
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +99,7 @@ def shipment_rules(df: DataFrame) -> list[Rule]:
     texts = ["sender_name", "sender_address", "receiver_name", "receiver_address", "package_details"]
     sides = [f"dimensions.{s}" for s in ("length", "width", "height")]
     return ([filled(c) for c in texts] + _text_limits(df)
-            + [positive("weight", digits=8), positive("cost", digits=8)]
+            + [positive("weight"), positive("cost"), fits("weight"), fits("cost")]
             + [positive(s) for s in sides]
             + [one_of("service_type", fixed.DOCUMENT_SERVICES, required=True)])
 
@@ -104,7 +112,7 @@ def validate_shipments(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 def patch_rules(df: DataFrame) -> list[Rule]:
     texts = ["sender_name", "sender_address", "receiver_name", "receiver_address", "package_details"]
     rules = [(c, not_empty(c)) for c in texts]
-    rules += [(c, positive(c, required=False, digits=8)) for c in ("weight", "cost")]
+    rules += [(c, rule) for c in ("weight", "cost") for rule in (positive(c, required=False), fits(c))]
     rules += [("service_type", one_of("service_type", fixed.DOCUMENT_SERVICES)),
               ("status", one_of("status", fixed.DOCUMENT_STATUSES))]
     if "dimensions" in df.columns:
@@ -216,13 +224,13 @@ def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
     for child in dict.fromkeys(fk[0] for fk in references):
         own = [fk for fk in references if fk[0] == child]
         pairs = [F.struct(F.lit(i).alias("ref"), F.lit(parent).alias("parent"),
-                          F.col(column).cast("bigint").alias("value"))
+                          F.col(column).cast("string").alias("value"))
                  for i, (owner, column, parent, _) in enumerate(references) if owner == child]
         values.append(tables[child].select(*[fk[1] for fk in own])
                       .select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
                       .where("value is not null")
                       .groupBy("ref", "parent", "value").agg(F.count(F.lit(1)).alias("n")))
-    parents = [tables[p].select(F.lit(p).alias("parent"), F.col("id").cast("bigint").alias("value"))
+    parents = [tables[p].select(F.lit(p).alias("parent"), F.col("id").cast("string").alias("value"))
                for p in dict.fromkeys(fk[2] for fk in references)]
     orphans = (_union(values).join(_union(parents), ["parent", "value"], "left_anti")
                .groupBy("ref").agg(F.sum("n").alias("n")))

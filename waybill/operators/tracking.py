@@ -19,15 +19,17 @@ def _used_numbers(existing: DataFrame, bases: DataFrame, column: str) -> DataFra
     Counters are three digits and the list is of distinct ones, so it holds at most 1000.
     """
     counter = F.substring(column, _BASE + 1, 3)
-    overflow = F.substring(column, _PLAIN + 1, 20)
+    # Suffixes follow the last counter; a longer tail than a number has is none of ours.
+    overflow = F.substring(column, _PLAIN + 1, 18)
+    ours = (counter == str(fixed.TRACKING_COUNTERS - 1)) & (F.length(column) <= _PLAIN + 18)
     numbers = (existing.select(F.substring(column, 1, _BASE).alias("_base"),
                                F.when(F.length(column) == _PLAIN, counter).alias("_counter"),
-                               F.when(F.length(column) > _PLAIN, overflow).alias("_overflow"))
+                               F.when((F.length(column) > _PLAIN) & ours, overflow).alias("_overflow"))
                .where(F.coalesce("_counter", "_overflow").rlike("^[0-9]+$"))
                .join(bases, "_base", "left_semi"))
     # Reduced to distinct counters first, so that a base many rows share is small when collected.
     distinct = numbers.groupBy("_base", F.col("_counter").cast("int").alias("_counter")).agg(
-        F.max(F.col("_overflow").cast("bigint")).alias("_overflow"))
+        F.max(F.col("_overflow").try_cast("bigint")).alias("_overflow"))
     return distinct.groupBy("_base").agg(
         F.array_sort(F.collect_list("_counter")).alias("_used"),
         F.coalesce(F.max("_overflow") + 1, F.lit(0)).alias("_next_overflow"))

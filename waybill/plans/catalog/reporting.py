@@ -27,13 +27,20 @@ def shipment_summary(spark, folder):
 
 @query("hub_performance", on_model(f"""
 select id, "name", capacity, current_load, utilization_percentage, status,
-  count(shipment) total_shipments, count(*) filter (where state = 'delivered') delivered_shipments,
-  {average('total_cost')} average_shipment_cost, sum(total_cost) total_revenue
-from pairs where shipment is null or created_at >= date '2001-08-01' - interval 30 day
-group by id, "name", capacity, current_load, utilization_percentage, status""", """
-pairs as (
-  select hubs.*, s.id shipment, s.status state, s.total_cost, s.created_at
-  from hubs left join shipments s on hubs.id in (s.origin_hub_id, s.destination_hub_id))"""))
+  total_shipments, delivered_shipments, average_shipment_cost, total_revenue
+from hubs join recent on recent.hub = hubs.id
+union all
+select id, "name", capacity, current_load, utilization_percentage, status, 0, 0, null, null
+from hubs anti join visits on visits.hub = hubs.id""", f"""
+visits as (
+  select origin_hub_id hub, status state, total_cost, created_at from shipments
+  union all
+  select destination_hub_id, status, total_cost, created_at from shipments
+  where destination_hub_id is distinct from origin_hub_id),
+recent as (
+  select hub, count(*) total_shipments, count_if(state = 'delivered') delivered_shipments,
+    {average('total_cost')} average_shipment_cost, sum(total_cost) total_revenue
+  from visits where created_at >= date '2001-08-01' - interval 30 day group by hub)"""))
 def hub_performance(spark, folder):
     return R.hub_performance(M.hubs(spark, folder), M.shipments(spark, folder), M.SHIPMENTS_AS_OF).withColumn(
         "total_revenue", F.col("total_revenue").cast("decimal(38,2)"))
@@ -82,7 +89,7 @@ def status_breakdown(spark, folder):
 select coalesce(status, 'unknown') status, count(*) shipments
 from (select * from unsure order by created_at desc, id limit 1000) group by 1""", _WITH_UNKNOWN))
 def status_breakdown_recent(spark, folder):
-    return R.status_breakdown_recent(_unsure(spark, folder))
+    return R.status_breakdown_recent(_unsure(spark, folder), 1000)
 
 
 @query("total_revenue", on_model("select cast(coalesce(sum(\"cost\"), 0) as decimal(20,2)) total_revenue from documents_"))

@@ -81,17 +81,17 @@ def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     """Status changes of one shipment in one micro-batch, from its last status on.
 
     Events that come before the last one already counted are late: they cannot be put into a
-    result that has gone out, and are handed on marked.
+    result that has gone out, and are handed on marked. An event without a status changes none.
     """
     rows = pd.concat(list(batches)).sort_values(["at", "id"])
+    rows = rows[rows["status"].notna()]
     at, last_id, status = state.get if state.exists else (None, None, None)
     late = pd.Series(False, index=rows.index)
     if at is not None:
         late = (rows["at"] < at) | ((rows["at"] == at) & (rows["id"] <= last_id))
     fresh = rows[~late].copy()
     if len(fresh):
-        # Missing texts come as None or NaN: compare them as one value.
-        now = fresh["status"].astype(object).where(fresh["status"].notna(), None)
+        now = fresh["status"].astype(object)
         old = pd.Series([status, *now.iloc[:-1]], index=fresh.index, dtype=object)
         fresh["old_status"] = old
         changed = [a != b for a, b in zip(old, now)]
