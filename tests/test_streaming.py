@@ -87,6 +87,45 @@ def test_late_events_are_marked(spark):
                      (3, None, "lost", True)]
 
 
+def _feed(spark, out, slices):
+    """Write each slice as one file, read one file at a time."""
+    for rows in slices:
+        spark.createDataFrame(rows, "id bigint, shipment_id bigint, status string, at string").select(
+            "id", "shipment_id", "status", F.col("at").cast("timestamp_ntz").alias("event_datetime"),
+        ).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return spark.readStream.schema("id bigint, shipment_id bigint, status string, event_datetime timestamp_ntz").option(
+        "maxFilesPerTrigger", 1).parquet(f"{out}/in")
+
+
+def test_daily_counts_lose_nothing(spark):
+    out = fresh_folder(spark, "test-daily-late")
+    stream = _feed(spark, out, [[(1, 1, "created", "2024-03-09"), (2, 1, None, "2024-03-09")],
+                                [(3, 1, "created", "2020-01-01"), (4, 1, "created", None)],
+                                [(5, 1, "created", "2024-03-09")]])
+    E.stream_daily_counts(stream, f"{out}/rows", f"{out}/checkpoint")
+    found = {(str(r["date"]), r["status"]): r["events"]
+             for r in latest_by_key(read_epochs(spark, f"{out}/rows"), ["date", "status"]).collect()}
+    assert found == {("2024-03-09", "created"): 2, ("2024-03-09", None): 1, ("2020-01-01", "created"): 1,
+                     ("None", "created"): 1}
+
+
+def test_hub_load_from_stored_statuses_and_late_events(spark):
+    out = fresh_folder(spark, "test-initial")
+    hubs = spark.createDataFrame([(1, 100, 40), (2, 100, 10), (3, 100, 7)], "id bigint, capacity int, current_load int")
+    shipments = spark.createDataFrame([(7, 1, 2, 5), (8, 3, 2, 2)],
+                                      "id bigint, origin_hub_id bigint, destination_hub_id bigint, package_count int")
+    initial = spark.createDataFrame([(7, "in_transit")], "shipment_id bigint, old_status string")
+    slices = [[(1, 7, "in_transit", "2024-01-02"), (2, 8, "created", "2024-01-02"), (9, 8, "lost", None)],
+              [(3, 7, "at_hub", "2024-01-03"), (4, 8, "delivered", "2024-01-01")]]
+    stream = _feed(spark, out, slices)
+    E.stream_hub_load(stream, shipments, hubs, out, f"{out}/checkpoint", initial=initial)
+    # Shipment 7 was in transit before, so only at_hub releases packages; shipment 8 was delivered late.
+    loads = {r["id"]: r["current_load"] for r in E.read_hub_load(spark, out).collect()}
+    assert loads == {1: 35, 2: 10, 3: 5}
+    late = {r["hub_id"]: r["late_events"] for r in E.read_late_events(spark, out, shipments).collect()}
+    assert late == {3: 1, 2: 1}
+
+
 def test_event_source(spark):
     out = fresh_folder(spark, "test-source")
     empty_table(spark, "shipment_events").write.parquet(f"{out}/in")

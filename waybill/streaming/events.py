@@ -58,17 +58,19 @@ def stream_current_status(events: DataFrame, folder: str, checkpoint: str,
 
 # --- daily counts ------------------------------------------------------------------------------
 
-def daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Events per day and status; events later than ``lateness`` are dropped."""
-    timed = events.withColumn("_at", F.col("event_datetime").cast("timestamp"))
-    return (timed.withWatermark("_at", lateness)
-            .groupBy(F.window("_at", "1 day"), "status").agg(F.count(F.lit(1)).alias("events"))
-            .select(F.to_date("window.start").alias("date"), "status", "events"))
+def daily_counts(events: DataFrame) -> DataFrame:
+    """Events per day and status, however late they come; those without a time count under no day.
+
+    The state is one row per day and status, a dozen a day, so there is no need for a watermark, which would drop
+    late events.
+    """
+    return events.groupBy(F.to_date("event_datetime").alias("date"), "status").agg(
+        F.count(F.lit(1)).alias("events"))
 
 
 def stream_daily_counts(events: DataFrame, folder: str, checkpoint: str,
-                        lateness: str = "1 day", every: str | None = None) -> StreamingQuery:
-    return run(daily_counts(events, lateness), epoch_writer(folder), checkpoint, every=every)
+                        every: str | None = None) -> StreamingQuery:
+    return run(daily_counts(events), epoch_writer(folder), checkpoint, every=every)
 
 
 # --- hub load ----------------------------------------------------------------------------------
@@ -81,11 +83,15 @@ def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     """Status changes of one shipment in one micro-batch, from its last status on.
 
     Events that come before the last one already counted are late: they cannot be put into a
-    result that has gone out, and are handed on marked. An event without a status changes none.
+    result that has gone out, and are handed on marked. An event without a status changes none. A shipment
+    without events so far has its stored status.
     """
     rows = pd.concat(list(batches)).sort_values(["at", "id"])
     rows = rows[rows["status"].notna()]
-    at, last_id, status = state.get if state.exists else (None, None, None)
+    if rows.empty:
+        return
+    stored = rows["stored"].iloc[0]
+    at, last_id, status = state.get if state.exists else (None, None, stored if pd.notna(stored) else None)
     late = pd.Series(False, index=rows.index)
     if at is not None:
         late = (rows["at"] < at) | ((rows["at"] == at) & (rows["id"] <= last_id))
@@ -103,14 +109,20 @@ def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield out[["shipment_id", "at", "id", "old_status", "status", "late"]]
 
 
-def status_change_stream(events: DataFrame) -> DataFrame:
+def status_change_stream(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Status changes per shipment, the last status being kept as state between batches.
 
+    The status before a shipment's first event comes from ``initial`` (``shipment_id``, ``old_status``; one row per
+    shipment), or is unknown (NULL), which any status differs from. Events without a time or a status change none.
     The rows of a shipment in one micro-batch meet in one task, so the source's admission limit
     (files or offsets per trigger) bounds them.
     """
-    narrow = events.select("shipment_id", F.unix_micros(F.col("event_datetime").cast("timestamp")).alias("at"),
-                           "id", "status")
+    narrow = events.where("event_datetime is not null and status is not null").select(
+        "shipment_id", F.unix_micros(F.col("event_datetime").cast("timestamp")).alias("at"), "id", "status")
+    if initial is None:
+        narrow = narrow.withColumn("stored", F.lit(None).cast("string"))
+    else:
+        narrow = narrow.join(initial.select("shipment_id", F.col("old_status").alias("stored")), "shipment_id", "left")
     return narrow.groupBy("shipment_id").applyInPandasWithState(
         _track, _CHANGES, _LAST, "update", GroupStateTimeout.NoTimeout)
 
@@ -125,10 +137,12 @@ def _between(shipments: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def stream_hub_load(events: DataFrame, shipments: DataFrame, hubs: DataFrame, folder: str,
-                    checkpoint: str, every: str | None = None) -> StreamingQuery:
+                    checkpoint: str, every: str | None = None,
+                    initial: DataFrame | None = None) -> StreamingQuery:
     """Hub loads after each epoch below ``folder/load``, changes below ``folder/changes``.
 
-    Each epoch composes its own steps (see ``hub_load``) and applies them to the loads the epoch
+    ``initial`` is the stored status per shipment, as in ``status_change_stream``. Late events move no load; they are
+    kept, marked, and ``read_late_events`` counts them per hub. Each epoch composes its own steps (see ``hub_load``) and applies them to the loads the epoch
     before left; only the hub table is rewritten.
     """
     spark = hubs.sparkSession
@@ -144,7 +158,7 @@ def stream_hub_load(events: DataFrame, shipments: DataFrame, hubs: DataFrame, fo
         write_epoch(after.withColumn("current_load", load).select(*before.columns),
                     f"{folder}/load", epoch)
 
-    return run(status_change_stream(events), fold, checkpoint, every=every)
+    return run(status_change_stream(events, initial), fold, checkpoint, every=every)
 
 
 def read_hub_load(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,6 +167,27 @@ def read_hub_load(spark: SparkSession, folder: str) -> DataFrame:
     return loads.where(F.col("epoch") == loads.agg(F.max("epoch")).scalar()).drop("epoch")
 
 
+def read_late_events(spark: SparkSession, folder: str, shipments: DataFrame) -> DataFrame:
+    """Per hub how many late events its load leaves out: ``hub_id, late_events``.
+
+    An event counts at the origin of its shipment, a delivered one also at the destination. The load of a hub that is
+    not listed equals the batch fold of all its events; the others need the fold over the whole log. Events of
+    unknown shipments count under hub NULL.
+    """
+    late = read_epochs(spark, f"{folder}/changes").where("late")
+    ends = shipments.select(F.col("id").alias("shipment_id"), "origin_hub_id", "destination_hub_id")
+    arrived = F.when(F.col("status") == "delivered", F.col("destination_hub_id"))
+    hubs = F.array_distinct(F.array("origin_hub_id", arrived))
+    known = F.when(F.size(F.array_compact(hubs)) > 0, F.array_compact(hubs)).otherwise(hubs)
+    return (late.join(ends, "shipment_id", "left").select(F.explode(known).alias("hub_id"))
+            .groupBy("hub_id").agg(F.count(F.lit(1)).alias("late_events")))
+
+
+def read_rejected_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """The patches ``stream_upsert`` kept out, with their broken rules and epoch."""
+    return split(read_epochs(spark, f"{folder}/patches"))[1]
+
+
 # --- upsert ------------------------------------------------------------------------------------
 
 def stream_upsert(patches: DataFrame, folder: str, checkpoint: str,
