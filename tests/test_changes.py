@@ -179,7 +179,8 @@ def test_append_events(spark, table, rows_per_task):
 def test_create_hubs_and_users(spark):
     hubs = spark.createDataFrame([(1, "North", "n1", "a", "c", "s", 10, "active"), (2, "South", "s1", "a", "c", "s", 0, "closed")],
                                  "ordinal int, name string, code string, address string, city string, state string, capacity int, status string")
-    created, rejects = C.create_hubs(hubs, AS_OF(NOW), "h")
+    stored = spark.createDataFrame([("X1", "East")], "code string, name string")
+    created, rejects = C.create_hubs(hubs, stored, AS_OF(NOW), "h")
     row = created.first()
     assert (row["code"], row["current_load"], row["status"]) == ("N1", 0, "active")
     assert rejects.first()[BROKEN] == ["capacity_not_positive", "status_not_allowed"]
@@ -196,6 +197,39 @@ def test_create_hubs_and_users(spark):
         1: ["role_not_allowed"], 3: ["email_exists"], 4: ["email_exists"], 5: ["email_empty"]}
 
 
+def test_codes_names_and_usernames_stay_unique(spark):
+    stored = spark.createDataFrame([("X1", "East")], "code string, name string")
+    payloads = spark.createDataFrame(
+        [(1, "North", "n1", 10), (2, "Other", "N1", 10), (3, "North", "n3", 10), (4, "West", "x1", 10), (5, "East", "e1", 10),
+         (6, "Last", "l1", 10)], "ordinal int, name string, code string, capacity int").selectExpr(
+        "*", "'a' address", "'c' city", "'s' state")
+    created, rejects = C.create_hubs(payloads, stored, AS_OF(NOW), "h")
+    assert sorted((r["ordinal"], r["code"]) for r in created.collect()) == [(1, "N1"), (6, "L1")]
+    assert {r["ordinal"]: r[BROKEN] for r in rejects.collect()} == {
+        2: ["code_exists"], 3: ["name_exists"], 4: ["code_exists"], 5: ["name_exists"]}
+
+    users = spark.createDataFrame([(1, "A", "a@x.org", "a", "admin"), (2, "B", "b@x.org", "a", "admin"),
+                                   (3, "C", "c@x.org", None, "admin"), (4, "D", "d@x.org", None, "admin")],
+                                  "ordinal int, full_name string, email string, username string, role string")
+    created, rejects = C.create_users(users, spark.createDataFrame([("q@x.org", "q")], "email string, username string"), AS_OF(NOW), "u")
+    assert sorted(r["ordinal"] for r in created.collect()) == [1, 3, 4]
+    assert [(r["ordinal"], r[BROKEN]) for r in rejects.collect()] == [(2, ["username_exists"])]
+
+
+def test_patch_hubs(spark):
+    hubs = spark.createDataFrame([(1, "North", "N1", 10, 0, "active"), (2, "South", "S1", 10, 0, "active")],
+                                 "id int, name string, code string, capacity int, current_load int, status string")
+    patches = spark.createDataFrame(
+        [(1, 1, None, None, None, "maintenance"), (1, 2, None, None, -5, None), (2, 3, "North", None, None, None),
+         (2, 4, "Mid", "S1", 30, None), (1, 5, "Mid", None, None, None), (9, 6, "Far", None, None, None),
+         (1, 7, None, None, None, None)], "id int, seq int, name string, code string, capacity int, status string")
+    updated, rejects, unmatched, empty = C.patch_hubs(hubs, patches, AS_OF(NOW))
+    assert sorted(tuple(r) for r in updated.collect()) == [
+        (1, "North", "N1", 10, 0, "maintenance"), (2, "Mid", "S1", 30, 0, "active")]
+    assert {r["seq"]: r[BROKEN] for r in rejects.collect()} == {2: ["capacity_check"], 3: ["name_exists"], 5: ["name_exists"]}
+    assert [r["seq"] for r in unmatched.collect()] == [6] and [r["seq"] for r in empty.collect()] == [7]
+
+
 def test_insert_ignore_is_idempotent(spark):
     existing = spark.createDataFrame([("a", 0), ("b", 0)], "setting_key string, ordinal int")
     incoming = spark.createDataFrame([("b", 1), ("c", 3), ("c", 2), (None, 4), (None, 5)], existing.schema)

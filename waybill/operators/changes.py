@@ -17,7 +17,7 @@ from waybill.functions import expressions as X
 from waybill.operators.lookup import lookup, taken_keys
 from waybill.operators.ordered import ROWS_PER_TASK, along
 from waybill.operators.quality import (
-    BROKEN, shipment_rules, split, validate, validate_hubs, validate_users,
+    BROKEN, check_rules, shipment_rules, split, validate, validate_hubs, validate_users,
 )
 from waybill.operators.tracking import assign_tracking
 from waybill.session import checkpointed
@@ -73,34 +73,51 @@ def create_shipments(payloads: DataFrame, existing: DataFrame, as_of: Column, ba
     return rows.drop(PRESENT), rejects.drop("created_at")
 
 
-def create_hubs(payloads: DataFrame, as_of: Column, batch: str) -> tuple[DataFrame, DataFrame]:
-    """New hubs: upper-case code, no load; ``(created, rejects)``."""
+def _unclaimed(valid: DataFrame, existing: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(fresh, repeated)``: a row is fresh if no existing row has one of its ``keys`` and no earlier valid one names it.
+
+    NULL keys collide with nothing. One row per key value meets the batch again, however often it repeats.
+    """
+    marked, broken = valid, []
+    for i, key in enumerate(keys):
+        taken = taken_keys(valid, existing, [key]).withColumn("_taken", F.lit(True))
+        first = (valid.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("ordinal").alias("_first"))
+                 .join(taken, key, "left")
+                 .select(key, F.when(F.col("_taken").isNull(), F.col("_first")).alias(f"_owner{i}")))
+        marked = marked.join(first, key, "left")
+        owned = F.col(f"_owner{i}").eqNullSafe(F.col("ordinal"))
+        broken.append(F.when(F.col(key).isNotNull() & ~owned, F.lit(f"{key}_exists")))
+    checked = marked.withColumn(BROKEN, F.array_compact(F.array(*broken))).select(*valid.columns, BROKEN)
+    return split(checked)
+
+
+def create_hubs(payloads: DataFrame, existing: DataFrame, as_of: Column,
+                batch: str) -> tuple[DataFrame, DataFrame]:
+    """New hubs: upper-case code, no load; ``(created, rejects)``.
+
+    A code or name that exists, or that an earlier valid payload of the batch names, is rejected.
+    """
     optional = {"pincode": "string", "phone": "string", "manager": "string"}
     filled = _with_absent(payloads, optional).withColumn(
         "status", _absent_default(payloads, "status", F.lit("active")))
     valid, rejects = validate_hubs(filled)
-    return valid.withColumns({
+    fresh, repeated = _unclaimed(valid.withColumn("code", X.upper_code("code")), existing, ["code", "name"])
+    return fresh.withColumns({
         "id": X.stable_uuid(F.lit(batch), "ordinal"),
-        "code": X.upper_code("code"),
         "current_load": F.lit(0),
         "created_at": as_of,
         "updated_at": as_of,
-    }).drop(PRESENT), rejects
+    }).drop(PRESENT), rejects.unionByName(repeated)
 
 
 def create_users(payloads: DataFrame, existing: DataFrame, as_of: Column, batch: str,
                  roles: list[str] = fixed.ALLOWED["users", "role"]) -> tuple[DataFrame, DataFrame]:
-    """New users; an email that exists, or came earlier in the batch, is rejected."""
+    """New users; an email (or username, where payloads have one) that exists, or that an earlier valid payload of the
+    batch names, is rejected."""
     valid, rejects = validate_users(payloads, roles)
-    taken = taken_keys(valid, existing, ["email"]).withColumn("_taken", F.lit(True))
-    # One row per email meets the batch again, however often an email repeats.
-    first = valid.groupBy("email").agg(F.min("ordinal").alias("_first")).join(taken, "email", "left")
-    marked = valid.join(first, "email", "left")
-    fresh = F.col("_taken").isNull() & (F.col("ordinal") == F.col("_first"))
-    helpers = ["_taken", "_first"]
-    repeated = (marked.where(~fresh).drop(*helpers)
-                .withColumn(BROKEN, F.array(F.lit("email_exists"))))
-    created = marked.where(fresh).drop(*helpers).withColumns({
+    keys = [k for k in ("email", "username") if k in payloads.columns]
+    fresh, repeated = _unclaimed(valid, existing, keys)
+    created = fresh.withColumns({
         "id": X.stable_uuid(F.lit(batch), "ordinal"),
         "is_active": F.lit(True),
         "created_at": as_of,
@@ -174,6 +191,31 @@ def apply_patches(table: DataFrame, patches: DataFrame, as_of: Column, key: str
     return updated, unmatched, patches.where(~something)
 
 
+def patch_hubs(hubs: DataFrame, patches: DataFrame, as_of: Column, key: str = "id",
+               seq: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Apply hub patches, whose NULL fields change nothing: ``(hubs, rejects, unmatched, empty)``.
+
+    A patch is rejected if it breaks a CHECK of the hubs, or sets a name or code that another hub has, or that an
+    earlier valid patch of another hub sets; so names and codes stay unique.
+    """
+    valid, rejects = split(validate(patches, check_rules("hubs", patches)))
+    known = valid.join(hubs.select(key), key, "left_semi")
+    marked, broken = valid, []
+    for field in [c for c in ("name", "code") if c in patches.columns]:
+        wanted = known.where(F.col(field).isNotNull())
+        # One row per value: the hub that sets it first, and the hub that has it.
+        claims = wanted.groupBy(field).agg(F.min_by(key, seq).alias(f"_first_{field}"))
+        holders = (hubs.select(field, F.col(key).alias("_holder")).join(claims.select(field), field, "left_semi")
+                   .groupBy(field).agg(F.min("_holder").alias(f"_holder_{field}")))
+        marked = marked.join(claims.join(holders, field, "left"), field, "left")
+        foreign = F.coalesce(F.col(f"_holder_{field}"), F.col(f"_first_{field}")) != F.col(key)
+        broken.append(F.when(foreign, F.lit(f"{field}_exists")))
+    checked = marked.withColumn(BROKEN, F.array_compact(F.array(F.lit(None).cast("string"), *broken)))
+    accepted, repeated = split(checked.select(*valid.columns, BROKEN))
+    updated, unmatched, empty = apply_patches(hubs, accepted, as_of, key, seq, IGNORE_NULL)
+    return updated, rejects.unionByName(repeated), unmatched, empty
+
+
 def _patched_eta(joined: DataFrame, table: DataFrame, patches: DataFrame, fields: list[str],
                  new: Mapping[str, Column], as_of: Column, key: str, seq: str, mode: str,
                  days: Mapping[str, int]) -> tuple[DataFrame, Column]:
@@ -285,3 +327,15 @@ def with_history(shipments: DataFrame, pages: DataFrame, key: str = "shipment_id
     return joined.withColumns({
         "events": F.concat(before, F.coalesce("_new", F.array())), "page": page,
     }).drop("_new")
+
+
+def append_with_history(shipments: DataFrame, events: DataFrame, as_of: Column, page_size: int,
+                        order: tuple[str, ...] = ("at", "seq"), key: str = "shipment_id",
+                        rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """Shipment documents after their events, history included: ``(documents, events of unknown shipments)``.
+
+    The key of the documents is ``(id, page)``, as in ``with_history``.
+    """
+    updated, unknown = append_events(shipments, events, as_of, order, key)
+    timeline = event_timeline(shipments, events, order, key, rows_per_task)
+    return with_history(updated, event_pages(timeline, page_size, key, order), key), unknown

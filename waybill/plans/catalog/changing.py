@@ -79,8 +79,9 @@ from numbered
 union all select ordinal, null, null, null, null, null, null, null, rules from incoming where rules <> ''""", """
 incoming as (
   select cast(substr(id, 3) as bigint) ordinal, service_type, pickup_date, "cost",
-    concat_ws(',', case when status = 'failed' then 'sender_name_empty' end,
-                   case when weight <= 50 then 'weight_not_positive' end) rules
+    case when cast(substr(id, 3) as bigint) % 11 = 3 then 'malformed' else
+      concat_ws(',', case when status = 'failed' then 'sender_name_empty' end,
+                     case when weight <= 50 then 'weight_not_positive' end) end rules
   from documents_),
 fresh as (select *, 'BC' || '20010801' || lpad(cast((epoch_us(timestamp '2001-08-01') // 1000000) % 10000 as varchar), 4, '0') base
   from incoming where rules = ''),
@@ -98,50 +99,62 @@ def create_shipments(spark, folder):
         F.struct(*[F.lit(2.5).alias(s) for s in ("length", "width", "height")]).alias("dimensions"),
         F.when(F.col("service_type") != "standard", F.col("service_type")).alias("serviceType"),
         X.iso_timestamp("pickup_date").alias("pickupDate"), F.col("cost").cast("double").alias("cost")))
-    payloads = rows.select(F.substring("id", 3, 20).cast("bigint").alias("ordinal"), text.alias("payload"))
-    good, _ = D.read_payloads(payloads, _PAYLOAD)
+    ordinal = F.substring("id", 3, 20).cast("bigint")
+    # Every eleventh document is cut off in the middle.
+    cut = F.when(ordinal % 11 == 3, F.substring(text, 1, 40)).otherwise(text)
+    good, malformed = D.read_payloads(rows.select(ordinal.alias("ordinal"), cut.alias("payload")), _PAYLOAD)
     existing = M.table(spark, folder, "supplier").select(
         X.tracking_number(AS_OF(M.SHIPMENTS_AS_OF), 3 * F.col("s_suppkey") % 1000).alias("tracking_number"))
     created, rejects = C.create_shipments(good, existing, AS_OF(M.SHIPMENTS_AS_OF), "batch-1")
     created = created.select("ordinal", "id", "tracking_number", "status", "service_type", "estimated_delivery",
                              "cost", F.size("events").cast("bigint").alias("n_events"), F.lit("").alias("rules"))
-    return created.unionByName(rejects.select("ordinal", F.array_join(BROKEN, ",").alias("rules")),
-                               allowMissingColumns=True)
-
-
-@query("create_hubs", f"""
-select s_suppkey ordinal, case when ok then {uuid_of("'hubs-1'", 's_suppkey')} end id,
-  case when ok then 'HUB-' || s_suppkey end code, case when ok then 0 end current_load,
-  case when ok then 'active' end status, case when ok then timestamp '2001-08-01' end created_at,
-  case when ok then '' else 'capacity_not_positive' end rules
-from (select *, s_acctbal > 0 ok from supplier)""")
+    left = (rejects.select("ordinal", F.array_join(BROKEN, ",").alias("rules"))
+            .unionByName(malformed.select("ordinal", F.lit("malformed").alias("rules"))))
+    return created.unionByName(left, allowMissingColumns=True)
+
+
+@query("create_hubs", on_model(f"""
+select ordinal, case when rules = '' then {uuid_of("'hubs-1'", 'ordinal')} end id,
+  case when rules = '' then code end code, case when rules = '' then 0 end current_load,
+  case when rules = '' then 'active' end status, case when rules = '' then timestamp '2001-08-01' end created_at, rules
+from (select ordinal, code, case when not ok then 'capacity_not_positive' else concat_ws(',',
+    case when code in (select code from hubs) or ordinal <> min(ordinal) over (partition by ok, code) then 'code_exists' end,
+    case when "name" in (select "name" from hubs) or ordinal <> min(ordinal) over (partition by ok, "name")
+      then 'name_exists' end) end rules
+  from payloads)""", """
+payloads as (select c_custkey ordinal, 'H' || (7 * c_custkey % 1200) code,
+  'Supplier#' || lpad(cast(3 * c_custkey % 1300 as varchar), 9, '0') "name", c_acctbal > 0 ok from customer)"""))
 def create_hubs(spark, folder):
-    payloads = M.table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("name"),
-        F.concat(F.lit("hub-"), F.col("s_suppkey").cast("string")).alias("code"), F.lit("a").alias("address"),
-        F.lit("c").alias("city"), F.lit("s").alias("state"), F.ceil("s_acctbal").cast("int").alias("capacity"))
-    created, rejects = C.create_hubs(payloads, AS_OF(M.SHIPMENTS_AS_OF), "hubs-1")
+    key = F.col("c_custkey")
+    payloads = M.table(spark, folder, "customer").select(
+        key.alias("ordinal"),
+        F.concat(F.lit("Supplier#"), F.lpad((3 * key % 1300).cast("string"), 9, "0")).alias("name"),
+        F.concat(F.lit("h"), (7 * key % 1200).cast("string")).alias("code"), F.lit("a").alias("address"),
+        F.lit("c").alias("city"), F.lit("s").alias("state"), F.ceil("c_acctbal").cast("int").alias("capacity"))
+    created, rejects = C.create_hubs(payloads, M.hubs(spark, folder), AS_OF(M.SHIPMENTS_AS_OF), "hubs-1")
     created = created.select("ordinal", "id", "code", "current_load", "status", "created_at", F.lit("").alias("rules"))
     return created.unionByName(rejects.select("ordinal", F.array_join(BROKEN, ",").alias("rules")),
                                allowMissingColumns=True)
 
 
-@query("create_users", f"""
-with payloads as (
-  select event_id ordinal, 'user' || (user_id * 3) || '@example.com' email, event_type <> 'error' ok from events),
-first as (select *, ok and row_number() over (partition by email, ok order by ordinal) = 1
-  and email not in (select 'user' || c_custkey || '@example.com' from customer where c_mktsegment = 'BUILDING') fresh from payloads)
-select ordinal, email, case when fresh then {uuid_of("'users-1'", 'ordinal')} end id,
-  case when not ok then 'role_not_allowed' when not fresh then 'email_exists' else '' end rules
-from first""")
+@query("create_users", on_model(f"""
+select ordinal, email, case when rules = '' then {uuid_of("'users-1'", 'ordinal')} end id, rules
+from (select ordinal, email, case when not ok then 'role_not_allowed' else concat_ws(',',
+    case when email in (select email from users) or ordinal <> min(ordinal) over (partition by ok, email) then 'email_exists' end,
+    case when username in (select username from users) or ordinal <> min(ordinal) over (partition by ok, username)
+      then 'username_exists' end) end rules
+  from payloads)""", """
+payloads as (select event_id ordinal, 'user' || (event_id * 3 % 7000) || '@example.com' email,
+  'user' || (event_id * 7 % 9000) username, event_type <> 'error' ok from events)"""))
 def create_users(spark, folder):
     kind = {"signup": "admin", "view": "viewer", "click": "operator", "purchase": "manager"}
+    key = F.col("event_id")
     payloads = M.table(spark, folder, "events").select(
-        F.col("event_id").alias("ordinal"), F.lit("Some Name").alias("full_name"),
-        F.concat(F.lit("user"), (F.col("user_id") * 3).cast("string"), F.lit("@example.com")).alias("email"),
+        key.alias("ordinal"), F.lit("Some Name").alias("full_name"),
+        F.concat(F.lit("user"), (key * 3 % 7000).cast("string"), F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("user"), (key * 7 % 9000).cast("string")).alias("username"),
         M.chosen("event_type", kind, F.lit("robot")).alias("role"))
-    existing = M.users(spark, folder).where("role = 'building'")
-    created, rejects = C.create_users(payloads, existing, AS_OF(M.EVENTS_AS_OF), "users-1")
+    created, rejects = C.create_users(payloads, M.users(spark, folder), AS_OF(M.EVENTS_AS_OF), "users-1")
     return (created.select("ordinal", "email", "id", F.lit("").alias("rules"))
             .unionByName(rejects.select("ordinal", "email", F.array_join(BROKEN, ",").alias("rules")),
                          allowMissingColumns=True))
@@ -241,6 +254,59 @@ def patch_recompute_eta(spark, folder):
     return updated.select("id", "service_type", "estimated_delivery")
 
 
+@query("patch_hubs", on_model("""
+select h.id, coalesce(c."name", h."name") "name", coalesce(c.code, h.code) code, coalesce(c.capacity, h.capacity) capacity,
+  coalesce(c.status, h.status) status, 'kept' part
+from hubs h left join (
+  select id, arg_max("name", seq) filter (where "name" is not null) "name", arg_max(code, seq) filter (where code is not null) code,
+    arg_max(capacity, seq) filter (where capacity is not null) capacity, arg_max(status, seq) filter (where status is not null) status
+  from judged where rules = '' group by id) c on c.id = h.id
+union all select id, null, null, null, null, 'rejected ' || seq || ' ' || rules from judged where rules <> ''
+union all select id, null, null, null, null, 'unmatched ' || seq from judged
+  where rules = '' and kind <> 'signup' and id not in (select id from hubs)
+union all select id, null, null, null, null, 'empty ' || seq from judged where rules = '' and kind = 'signup'""", """
+hub_patches as (
+  select event_id % 150 id, event_id seq, event_type kind,
+    case when event_type = 'view' then case when value > 100 then 'gone' when value > 30 then 'maintenance' else 'closed' end end status,
+    case when event_type = 'click' then cast(floor(value) as int) - 20 end capacity,
+    case when event_type = 'purchase' then 'Hub ' || (event_id % 400) end "name",
+    case when event_type = 'error' then 'H' || (event_id % 300) end code
+  from events),
+sound as (select * from hub_patches where coalesce(status, '') <> 'gone' and coalesce(capacity, 1) > 0),
+owners as (
+  select 'name' field, "name" as value, arg_min(id, seq) id from sound where "name" is not null and id in (select id from hubs) group by 2
+  union all
+  select 'code', code, arg_min(id, seq) from sound where code is not null and id in (select id from hubs) group by 2),
+stored as (select 'name' field, "name" as value, id from hubs union all select 'code', code, id from hubs),
+judged as (
+  select p.*, concat_ws(',', case when status = 'gone' then 'status_check' end, case when capacity <= 0 then 'capacity_check' end,
+    case when exists (from owners o where o.field = 'name' and o.value = p."name" and o.id <> p.id)
+           then 'name_exists' end,
+    case when coalesce((select s.id from stored s where s.field = 'code' and s.value = p.code
+                          and exists (from owners o where o.field = 'code' and o.value = p.code)),
+                       (select o.id from owners o where o.field = 'code' and o.value = p.code)) <> p.id then 'code_exists' end) rules
+  from hub_patches p)"""))
+def patch_hubs(spark, folder):
+    kind, value, event = F.col("event_type"), F.col("value"), F.col("event_id")
+    patches = M.table(spark, folder, "events").select(
+        (event % 150).alias("id"), event.alias("seq"),
+        F.when(kind == "view", F.when(value > 100, "gone").when(value > 30, "maintenance").otherwise("closed")).alias("status"),
+        F.when(kind == "click", F.floor("value").cast("int") - 20).alias("capacity"),
+        F.when(kind == "purchase", F.concat(F.lit("Hub "), (event % 400).cast("string"))).alias("name"),
+        F.when(kind == "error", F.concat(F.lit("H"), (event % 300).cast("string"))).alias("code"))
+    hubs, rejects, unmatched, empty = C.patch_hubs(M.hubs(spark, folder), patches, AS_OF(M.EVENTS_AS_OF))
+
+    def part(rows, *text):
+        return rows.select("id", F.concat_ws(" ", *text).alias("part"))
+
+    left = [part(rejects, F.lit("rejected"), "seq", F.array_join(BROKEN, ",")), part(unmatched, F.lit("unmatched"), "seq"),
+            part(empty, F.lit("empty"), "seq")]
+    out = hubs.select("id", "name", "code", "capacity", "status", F.lit("kept").alias("part"))
+    for rows in left:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 @query("delete_by_key", on_model("""
 select id, 'kept' part from documents_ where id not in (select id from gone)
 union all select "key", 'missing' from keys where "key" not in (select "key" from hits)""", """
@@ -323,6 +389,28 @@ def event_pages(spark, folder):
     return documents.select("id", "page", F.when(F.size("events") > 0, F.array_join(text, ",")).alias("events"))
 
 
+@query("append_with_history", on_model("""
+select d.id, cast(coalesce((position - 1) // 25, 0) as bigint) page, coalesce(any_value(s.status), d.status) status,
+  coalesce(any_value(delivered), d.actual_delivery) actual_delivery,
+  case when any_value(s.shipment_id) is not null then timestamp '2024-01-31' else d.updated_at end updated_at,
+  concat_ws(',', case when coalesce(min(position), 1) <= 25 then 'EV' || d.id || ' pending' end,
+    string_agg(cast(seq as varchar) || ' ' || t.status, ',' order by position)) events
+from documents_ d left join timeline t on t.shipment_id = d.id left join (
+  select shipment_id, arg_max(status, ("at", seq)) filter (where status is not null) status,
+    max("at") filter (where status = 'delivered') delivered from appended group by 1) s on s.shipment_id = d.id
+group by d.id, page, d.status, d.actual_delivery, d.updated_at
+union all select shipment_id, null, null, null, null, 'unknown ' || seq from appended
+  where shipment_id not in (select id from documents_)""", _EVENTS_SQL))
+def append_with_history(spark, folder):
+    shipments = M.documents(spark, folder)
+    stored = shipments.withColumn("events", X.initial_event(F.concat(F.lit("EV"), "id"), F.col("created_at")))
+    documents, unknown = C.append_with_history(stored, _new_events(spark, folder), AS_OF(M.EVENTS_AS_OF), page_size=25)
+    text = F.array_join(F.transform("events", lambda e: F.concat_ws(" ", e["id"], e["status"])), ",")
+    return (documents.select("id", "page", "status", "actual_delivery", "updated_at", text.alias("events"))
+            .unionByName(unknown.select(F.col("shipment_id").alias("id"), F.concat(
+                F.lit("unknown "), F.col("seq").cast("string")).alias("events")), True))
+
+
 # --- hub load ----------------------------------------------------------------------------------
 
 _STEPS_SQL = """

@@ -98,17 +98,19 @@ def sink_json(spark, folder):
 
 @query("insert_ignore", """
 with incoming as (
-  select case when event_type = 'signup' then null else user_id end id, event_id, value from events),
+  select case when event_type = 'signup' then null else event_id * 3 % 20000 end id, event_id, value from events
+  union all select event_id * 5 % 17000, event_id + 1000000000, value from events),
 first as (
   select *, row_number() over (partition by id, case when id is null then event_id end order by event_id) rn
   from incoming)
 select id, event_id, value from first
-where rn = 1 and (id is null or id not in (select o_orderkey from orders where o_orderstatus = 'F'))""")
+where rn = 1 and (id is null or id not in (select o_orderkey from orders))""")
 def insert_ignore(spark, folder):
-    incoming = M.table(spark, folder, "events").select(
-        F.when(F.col("event_type") != "signup", F.col("user_id")).alias("id"), "event_id", "value")
-    existing = (M.table(spark, folder, "orders").where("o_orderstatus = 'F'")
-                .select(F.col("o_orderkey").alias("id")))
+    events, event = M.table(spark, folder, "events"), F.col("event_id")
+    incoming = events.select(F.when(F.col("event_type") != "signup", event * 3 % 20000).alias("id"), "event_id", "value")
+    incoming = incoming.unionByName(events.select((event * 5 % 17000).alias("id"),
+                                                  (event + 1_000_000_000).alias("event_id"), "value"))
+    existing = M.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
     return L.insert_ignore(existing, incoming, ["id"], "event_id")
 
 
