@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from waybill import fixed
 from waybill.operators import quality as Q
 
 
@@ -76,3 +77,27 @@ def test_cascade_through_two_levels(spark):
     assert sorted(left) == ["hubs", "routes"]
     left, _ = Q.cascade_delete(tables(spark), "shipments", spark.createDataFrame([(1,)], "id bigint"))
     assert sorted(r["id"] for r in left["shipment_events"].collect()) == [2, 3]
+
+
+def test_all_declared_rules_are_checked(spark, folder):
+    from waybill.plans.catalog.integrity import _tables
+
+    tables = _tables(spark, folder)
+    assert Q.fk_orphans(tables).count() == len(fixed.FOREIGN_KEYS) == 24
+    declared = [k for k in (*fixed.ALLOWED, *fixed.NUMERIC_CHECKS) if k[0] != "shipment_documents"]
+    assert Q.check_constraints(tables).count() == len(declared) == 22
+
+
+def test_unique_violations_tell_keys_apart(spark):
+    rows = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("a", "bc"), (None, "c"), (None, "c")], "x string, y string")
+    found = {r["rule"]: r["violations"] for r in Q.unique_violations({"t": rows}, {"t": [["x", "y"], ["x"], ["y"]]}).collect()}
+    assert found == {"x_y_unique": 1, "x_unique": 1, "y_unique": 3}
+    empty = Q.unique_violations({"t": rows.where("false")}, {"t": [["x"]]}).first()
+    assert empty["violations"] == 0
+
+
+def test_unique_violations_scan_a_table_once(spark, folder):
+    table = spark.read.parquet(f"{folder}/lineitem.parquet")
+    report = Q.unique_violations({"lineitem": table}, {"lineitem": [["l_orderkey", "l_linenumber"], ["l_partkey"]]})
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1

@@ -194,16 +194,31 @@ def duplicate_keys(df: DataFrame, keys: list[str], where: Column | None = None)
 
 def unique_violations(tables: Mapping[str, DataFrame],
                       keys: Mapping[str, list[list[str]]] = fixed.UNIQUE_KEYS) -> DataFrame:
-    """Surplus rows per declared key: those beyond the first of each key."""
-    reports = []
-    for table, df in tables.items():
-        for key in keys.get(table, []):
-            if set(key) <= set(df.columns):
-                surplus = F.coalesce(F.sum(F.col("row_count") - 1), F.lit(0)).cast("bigint")
-                reports.append(duplicate_keys(df, key).agg(surplus.alias("violations")).select(
-                    F.lit(table).alias("table_name"),
-                    F.lit("_".join(key) + "_unique").alias("rule"), "violations"))
-    return _union(reports)
+    """Surplus rows per declared key: those beyond the first of each key.
+
+    Each table is scanned once: a row offers the values of all its keys, compared as text, to one aggregation.
+    """
+    declared = [(table, key) for table, df in tables.items() for key in keys.get(table, [])
+                if set(key) <= set(df.columns)]
+    values = []
+    for table in dict.fromkeys(owner for owner, _ in declared):
+        own = [(i, key) for i, (owner, key) in enumerate(declared) if owner == table]
+        offers = [F.struct(F.lit(i).alias("ref"), F.when(
+            reduce(Column.__and__, [F.col(k).isNotNull() for k in key]),
+            F.array(*[F.col(k).cast("string") for k in key])).alias("value")) for i, key in own]
+        values.append(tables[table].select(F.explode(F.array(*offers)).alias("p")).select("p.*")
+                      .where("value is not null"))
+    surplus = (_union(values).groupBy("ref", "value").agg((F.count(F.lit(1)) - 1).alias("n"))
+               .groupBy("ref").agg(F.sum("n").alias("n")))
+    return _per_rule(surplus, [(table, "_".join(key) + "_unique") for table, key in declared])
+
+
+def _per_rule(counts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """One row per rule, also for those without violations; ``ref`` is the place in ``rules``."""
+    lines = F.array(*[F.struct(F.lit(i).alias("ref"), F.lit(table).alias("table_name"), F.lit(rule).alias("rule"))
+                      for i, (table, rule) in enumerate(rules)])
+    return (counts.sparkSession.range(1).select(F.inline(lines)).join(counts, "ref", "left")
+            .select("table_name", "rule", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations")))
 
 
 # --- references --------------------------------------------------------------------------------
@@ -234,14 +249,7 @@ def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
                for p in dict.fromkeys(fk[2] for fk in references)]
     orphans = (_union(values).join(_union(parents), ["parent", "value"], "left_anti")
                .groupBy("ref").agg(F.sum("n").alias("n")))
-    # One row per reference, also for those without orphans.
-    rules = F.array(*[F.struct(F.lit(i).alias("ref"), F.lit(c).alias("table_name"),
-                               F.lit(f"{col}_reference").alias("rule"))
-                      for i, (c, col, _, _) in enumerate(references)])
-    spark = next(iter(tables.values())).sparkSession
-    listed = spark.range(1).select(F.inline(rules))
-    return listed.join(orphans, "ref", "left").select(
-        "table_name", "rule", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
+    return _per_rule(orphans, [(child, f"{column}_reference") for child, column, _, _ in references])
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:

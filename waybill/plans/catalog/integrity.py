@@ -194,23 +194,96 @@ def validate_routes(spark, folder):
 # --- integrity ---------------------------------------------------------------------------------
 
 def _tables(spark, folder):
-    shipments = M.shipments(spark, folder).withColumn("assigned_driver_id", 2 * F.col("created_by_id")).drop("route")
-    return {"hubs": M.hubs(spark, folder), "users": M.users(spark, folder),
-            "routes": M.routes(spark, folder), "shipments": shipments,
-            "shipment_events": M.shipment_events(spark, folder)}
+    """All thirteen entities, each read out of a whole given table; every rule is broken by some rows."""
+    def given(name):
+        return M.table(spark, folder, name)
+
+    key, line = F.col("id"), F.col("l_orderkey")
+    hubs = M.hubs(spark, folder).withColumns({
+        "manager_id": 17 * key,
+        "hub_type": F.when(key % 4 == 0, "sorting").when(key % 4 == 1, "pickup").when(key % 4 != 2, "garage")})
+    users = M.users(spark, folder).withColumn("status", F.when(key % 3 == 0, "active").when(key % 3 == 1, "gone"))
+    shipments = M.shipments(spark, folder).drop("route").withColumns({
+        "assigned_driver_id": 2 * F.col("created_by_id"), "assigned_route_id": key % 3000,
+        "updated_by_id": F.col("created_by_id") + 100})
+    events = M.shipment_events(spark, folder).withColumns({
+        "event_type": M.chosen("description", {"view": "in_transit", "purchase": "delivered"}, F.col("description")),
+        "hub_id": key % 120, "user_id": F.col("shipment_id") * 20})
+    return {
+        "hubs": hubs, "users": users, "routes": M.routes(spark, folder), "shipments": shipments, "shipment_events": events,
+        "daily_analytics": given("orders").select(
+            F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"), (F.col("o_custkey") % 130).alias("hub_id")),
+        "performance_metrics": given("lineitem").select(
+            line.alias("id"), F.col("l_returnflag").alias("metric_name"), F.col("l_quantity").alias("metric_value"),
+            F.col("l_linestatus").alias("category"), (F.col("l_suppkey") + 20).alias("hub_id"), F.col("l_partkey").alias("user_id")),
+        "process_definitions": given("part").select(
+            F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.col("p_size").cast("string").alias("version"),
+            F.col("p_type").alias("process_type"), F.lit("{}").alias("definition_data"), F.col("p_partkey").alias("created_by_id")),
+        "process_instances": given("orders").select(
+            F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 2).alias("process_definition_id"),
+            M.chosen("o_orderstatus", {"F": "completed", "O": "running"}, F.lit("stopped")).alias("status"),
+            F.col("o_custkey").alias("started_by_id"), (F.col("o_orderkey") * 2).alias("related_shipment_id")),
+        "process_activities": given("lineitem").select(
+            (line * 10 + F.col("l_linenumber")).alias("id"), (line + 5).alias("process_instance_id"),
+            F.col("l_returnflag").alias("activity_name"), F.col("l_linestatus").alias("activity_type"),
+            M.chosen("l_returnflag", {"A": "completed", "N": "pending"}, F.lit("stalled")).alias("status"),
+            (F.col("l_suppkey") * 20).alias("assigned_to_id")),
+        "system_settings": given("customer").select(
+            F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("setting_key"),
+            F.lit("x").alias("setting_value"),
+            M.chosen("c_mktsegment", {"BUILDING": "string", "MACHINERY": "json"}, F.lit("list")).alias("setting_type"),
+            F.col("c_mktsegment").alias("category")),
+        "user_sessions": given("events").select(
+            F.col("event_id").alias("id"), F.col("props").alias("session_token"), (F.col("user_id") * 11).alias("user_id"),
+            F.col("ts").alias("expires_at")),
+        "notifications": given("events").select(
+            F.col("event_id").alias("id"), F.col("event_id").alias("user_id"), F.col("event_type").alias("title"),
+            F.col("props").alias("message"), M.chosen("event_type", {"error": "error", "view": "info"}, F.lit("shout")).alias("type")),
+    }
+
+
+# The same thirteen entities, under their names with x_ before them.
+_ENTITIES = """
+x_hubs as (select *, 17 * id manager_id,
+  case when id % 4 = 0 then 'sorting' when id % 4 = 1 then 'pickup' when id % 4 <> 2 then 'garage' end hub_type from hubs),
+x_users as (select *, case id % 3 when 0 then 'active' when 1 then 'gone' end status from users),
+x_routes as (select * from routes),
+x_shipments as (select *, 2 * created_by_id assigned_driver_id, id % 3000 assigned_route_id, created_by_id + 100 updated_by_id
+  from shipments),
+x_shipment_events as (select *, case description when 'view' then 'in_transit' when 'purchase' then 'delivered' else description end event_type,
+  id % 120 hub_id, shipment_id * 20 user_id from shipment_events),
+x_daily_analytics as (select o_orderkey id, cast(o_orderdate as date) "date", o_custkey % 130 hub_id from orders),
+x_performance_metrics as (select l_orderkey id, l_returnflag metric_name, l_quantity metric_value, l_linestatus category,
+  l_suppkey + 20 hub_id, l_partkey user_id from lineitem),
+x_process_definitions as (select p_partkey id, p_type "name", cast(p_size as varchar) "version", p_type process_type,
+  '{}' definition_data, p_partkey created_by_id from part),
+x_process_instances as (select o_orderkey id, o_custkey * 2 process_definition_id,
+  case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'stopped' end status,
+  o_custkey started_by_id, o_orderkey * 2 related_shipment_id from orders),
+x_process_activities as (select l_orderkey * 10 + l_linenumber id, l_orderkey + 5 process_instance_id, l_returnflag activity_name,
+  l_linestatus activity_type, case l_returnflag when 'A' then 'completed' when 'N' then 'pending' else 'stalled' end status,
+  l_suppkey * 20 assigned_to_id from lineitem),
+x_system_settings as (select c_custkey id, c_mktsegment || c_nationkey setting_key, 'x' setting_value,
+  case c_mktsegment when 'BUILDING' then 'string' when 'MACHINERY' then 'json' else 'list' end setting_type, c_mktsegment category
+  from customer),
+x_user_sessions as (select event_id id, props session_token, user_id * 11 user_id, ts expires_at from events),
+x_notifications as (select event_id id, event_id user_id, event_type title, props message,
+  case event_type when 'error' then 'error' when 'view' then 'info' else 'shout' end "type" from events)"""
 
 
 def _counts_sql(table, rules):
     return "\nunion all ".join(
-        f"select '{table}' table_name, '{rule}' \"rule\", count(*) filter (where {broken}) violations from {table}"
+        f"select '{table}' table_name, '{rule}' \"rule\", count(*) filter (where {broken}) violations from x_{table}"
         for rule, broken in rules)
 
 
 _CHECKS = "\nunion all ".join([
     _counts_sql("hubs", [
         ("status_check", "status not in ('active', 'inactive', 'maintenance', 'closed')"),
+        ("hub_type_check", "hub_type not in ('distribution', 'sorting', 'pickup', 'delivery', 'storage')"),
         ("capacity_check", "capacity <= 0"), ("current_load_check", "current_load < 0")]),
-    _counts_sql("users", [("role_check", "\"role\" not in ('admin', 'manager', 'operator', 'viewer')")]),
+    _counts_sql("users", [("role_check", "\"role\" not in ('admin', 'manager', 'operator', 'viewer')"),
+                          ("status_check", "status not in ('active', 'inactive', 'suspended')")]),
     _counts_sql("routes", [
         ("route_type_check", "route_type not in ('ground', 'air', 'sea', 'rail')"),
         ("status_check", "status not in ('active', 'inactive', 'suspended', 'maintenance')"),
@@ -224,62 +297,86 @@ _CHECKS = "\nunion all ".join([
                          "'out_for_delivery', 'delivered', 'failed_delivery', 'returned', 'cancelled', 'lost', 'damaged')"),
         ("priority_check", "\"priority\" not in ('low', 'normal', 'high', 'urgent')"),
         ("package_count_check", "package_count <= 0"), ("total_weight_kg_check", "total_weight_kg <= 0")]),
+    _counts_sql("shipment_events", [
+        ("event_type_check", "event_type not in ('created', 'accepted', 'collected', 'departed_hub', 'arrived_hub', 'in_transit', "
+                             "'out_for_delivery', 'delivered', 'failed_delivery', 'returned', 'cancelled', 'damaged', "
+                             "'lost', 'exception')")]),
+    _counts_sql("process_instances", [("status_check", "status not in ('running', 'completed', 'failed', 'suspended')")]),
+    _counts_sql("process_activities", [
+        ("status_check", "status not in ('pending', 'active', 'completed', 'failed', 'skipped')")]),
+    _counts_sql("system_settings", [("setting_type_check", "setting_type not in ('string', 'number', 'boolean', 'json')")]),
+    _counts_sql("notifications", [("type_check", "\"type\" not in ('info', 'success', 'warning', 'error')")]),
 ])
 
-_NOT_NULL = "\nunion all ".join([
-    _counts_sql("hubs", [(f"{c}_not_null", f'"{c}" is null') for c in ("id", "name", "code")]),
-    _counts_sql("users", [(f"{c}_not_null", f"{c} is null") for c in ("id", "username", "email", "full_name")]),
-    _counts_sql("routes", [(f"{c}_not_null", f'"{c}" is null') for c in
-                           ("id", "name", "code", "origin_hub_id", "destination_hub_id")]),
-    _counts_sql("shipments", [(f"{c}_not_null", f"{c} is null") for c in
-                              ("id", "tracking_number", "sender_name", "receiver_name", "total_weight_kg",
-                               "base_cost", "created_by_id")]),
-    _counts_sql("shipment_events", [(f"{c}_not_null", f"{c} is null") for c in
-                                    ("id", "shipment_id", "status", "description")]),
-])
+_REQUIRED = {
+    "hubs": "id name code", "users": "id username email full_name", "routes": "id name code origin_hub_id destination_hub_id",
+    "shipments": "id tracking_number sender_name receiver_name total_weight_kg base_cost created_by_id",
+    "shipment_events": "id shipment_id event_type status description", "daily_analytics": "id date",
+    "performance_metrics": "id metric_name metric_value category",
+    "process_definitions": "id name version process_type definition_data created_by_id",
+    "process_instances": "id process_definition_id started_by_id",
+    "process_activities": "id process_instance_id activity_name activity_type",
+    "system_settings": "id setting_key setting_value category", "user_sessions": "id session_token user_id expires_at",
+    "notifications": "id user_id title message",
+}
+_NOT_NULL = "\nunion all ".join(
+    _counts_sql(table, [(f"{c}_not_null", f'"{c}" is null') for c in columns.split()])
+    for table, columns in _REQUIRED.items())
 
 
 def _surplus_sql(table, keys):
     return "\nunion all ".join(
-        f"select '{table}', '{key.replace(', ', '_').replace(chr(34), '')}_unique', count(*) - count(distinct ({key})) from {table} "
+        f"select '{table}', '{key.replace(', ', '_').replace(chr(34), '')}_unique', count(*) - count(distinct ({key})) from x_{table} "
         f"where ({key}) is not null" for key in keys)
 
 
 _UNIQUE = "\nunion all ".join([
     _surplus_sql("hubs", ["id", '"name"', "code"]), _surplus_sql("users", ["id", "username", "email"]),
     _surplus_sql("routes", ["id", "code"]), _surplus_sql("shipments", ["id", "tracking_number"]),
-    _surplus_sql("shipment_events", ["id"]),
+    _surplus_sql("shipment_events", ["id"]), _surplus_sql("daily_analytics", ["id", '"date", hub_id']),
+    _surplus_sql("performance_metrics", ["id"]), _surplus_sql("process_definitions", ["id", '"name", "version"']),
+    _surplus_sql("process_instances", ["id"]), _surplus_sql("process_activities", ["id"]),
+    _surplus_sql("system_settings", ["id", "setting_key"]), _surplus_sql("user_sessions", ["id", "session_token"]),
+    _surplus_sql("notifications", ["id"]),
 ])
 
 
-def _orphans_sql(child, column, parent):
-    return (f"select '{child}', '{column}_reference', count(*) from {child} c where c.{column} is not null "
-            f"and not exists (select 1 from {parent} p where p.id = c.{column})")
+def _orphans_sql(child, parents):
+    return "\nunion all ".join(
+        f"select '{child}', '{column}_reference', count(*) from x_{child} c where c.{column} is not null "
+        f"and not exists (select 1 from x_{parent} p where p.id = c.{column})" for column, parent in parents.items())
 
 
 _ORPHANS = "\nunion all ".join([
-    _orphans_sql("routes", "origin_hub_id", "hubs"), _orphans_sql("routes", "destination_hub_id", "hubs"),
-    _orphans_sql("shipments", "origin_hub_id", "hubs"), _orphans_sql("shipments", "destination_hub_id", "hubs"),
-    _orphans_sql("shipments", "current_hub_id", "hubs"), _orphans_sql("driven", "assigned_driver_id", "users"),
-    _orphans_sql("shipments", "created_by_id", "users"),
-    _orphans_sql("shipment_events", "shipment_id", "shipments"),
-]).replace("'driven'", "'shipments'")
-_DRIVEN = "driven as (select 2 * created_by_id assigned_driver_id from shipments)"
+    _orphans_sql("hubs", {"manager_id": "users"}),
+    _orphans_sql("routes", {"origin_hub_id": "hubs", "destination_hub_id": "hubs"}),
+    _orphans_sql("shipments", {
+        "origin_hub_id": "hubs", "destination_hub_id": "hubs", "current_hub_id": "hubs", "assigned_route_id": "routes",
+        "assigned_driver_id": "users", "created_by_id": "users", "updated_by_id": "users"}),
+    _orphans_sql("shipment_events", {"shipment_id": "shipments", "hub_id": "hubs", "user_id": "users"}),
+    _orphans_sql("daily_analytics", {"hub_id": "hubs"}),
+    _orphans_sql("performance_metrics", {"hub_id": "hubs", "user_id": "users"}),
+    _orphans_sql("process_definitions", {"created_by_id": "users"}),
+    _orphans_sql("process_instances", {
+        "process_definition_id": "process_definitions", "started_by_id": "users", "related_shipment_id": "shipments"}),
+    _orphans_sql("process_activities", {"process_instance_id": "process_instances", "assigned_to_id": "users"}),
+    _orphans_sql("user_sessions", {"user_id": "users"}), _orphans_sql("notifications", {"user_id": "users"}),
+])
 _HEAD = "select '' table_name, '' \"rule\", cast(0 as bigint) violations where false union all "
 
 
-@query("check_constraints", on_model(_CHECKS))
+@query("check_constraints", on_model(_CHECKS, _ENTITIES))
 def check_constraints(spark, folder):
     return Q.check_constraints(_tables(spark, folder))
 
 
-@query("not_null_check", on_model(_NOT_NULL))
+@query("not_null_check", on_model(_NOT_NULL, _ENTITIES))
 def not_null_check(spark, folder):
     return Q.not_null_check(_tables(spark, folder))
 
 
 @query("unique_violations", on_model(_HEAD + _UNIQUE + """
-union all select 'lineitem', 'l_orderkey_l_linenumber_unique', count(*) - count(distinct (l_orderkey, l_linenumber)) from lineitem"""))
+union all select 'lineitem', 'l_orderkey_l_linenumber_unique', count(*) - count(distinct (l_orderkey, l_linenumber)) from lineitem""", _ENTITIES))
 def unique_violations(spark, folder):
     tables = _tables(spark, folder) | {"lineitem": M.table(spark, folder, "lineitem")}
     keys = {**fixed.UNIQUE_KEYS, "lineitem": [["l_orderkey", "l_linenumber"]]}
@@ -294,7 +391,7 @@ def duplicate_keys(spark, folder):
                             F.col("l_returnflag") != "A")
 
 
-@query("fk_orphans", on_model(_HEAD + _ORPHANS, _DRIVEN))
+@query("fk_orphans", on_model(_HEAD + _ORPHANS, _ENTITIES))
 def fk_orphans(spark, folder):
     return Q.fk_orphans(_tables(spark, folder))
 
@@ -308,7 +405,7 @@ def orphan_rows(spark, folder):
 
 
 @query("integrity_report", on_model(
-    "\nunion all ".join([_CHECKS, _NOT_NULL, _UNIQUE, _ORPHANS]), _DRIVEN))
+    "\nunion all ".join([_CHECKS, _NOT_NULL, _UNIQUE, _ORPHANS]), _ENTITIES))
 def integrity_report(spark, folder):
     return Q.integrity_report(_tables(spark, folder))
 
