@@ -51,8 +51,8 @@ def test_empty(spark):
     assert along(events(spark).limit(0), ["k"], ["t", "seq"], "v").count() == 0
 
 
-@pytest.mark.parametrize("rows_per_task", [10, 1_000_000])
-def test_tracking_is_unique_and_fills_the_gaps(spark, rows_per_task):
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_tracking_is_unique_and_fills_the_gaps(spark, ranges):
     at = X.timestamp("2024-01-02 03:04:05")
     new = spark.range(2500).select(F.col("id").alias("ordinal"), at.alias("created_at"))
     taken = [0, 1, 5, 998]
@@ -60,7 +60,7 @@ def test_tracking_is_unique_and_fills_the_gaps(spark, rows_per_task):
         [(f"BC202401024645{c:03d}",) for c in taken] + [("BC202401024645999017",), ("TN123",), (None,)],
         "tracking_number string")
     out = {r["ordinal"]: r["tracking_number"]
-           for r in assign_tracking(new, existing, rows_per_task=rows_per_task).collect()}
+           for r in assign_tracking(new, existing, ranges=ranges).collect()}
     free = [c for c in range(1000) if c not in taken]
     for k, counter in enumerate(free):
         assert out[k] == f"BC202401024645{counter:03d}"

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from waybill import fixed
 from waybill.functions import expressions as X
+from waybill.functions.expressions import tracking_base
 from waybill.operators.lookup import lookup, taken_keys
 from waybill.operators.ordered import ROWS_PER_TASK, along
 from waybill.operators.quality import (
     BROKEN, check_rules, shipment_rules, split, validate, validate_hubs, validate_users,
 )
-from waybill.operators.tracking import assign_tracking
-from waybill.session import checkpointed
+from waybill.operators.tracking import in_base_order, with_numbers
 from waybill.sources.documents import PRESENT
 
 EXPLICIT_NULL = "explicit_null"
@@ -45,21 +45,24 @@ def _with_absent(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def create_shipments(payloads: DataFrame, existing: DataFrame, as_of: Column, batch: str,
-                     days: Mapping[str, int] = fixed.DELIVERY_DAYS,
-                     rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+                     days: Mapping[str, int] = fixed.DELIVERY_DAYS) -> tuple[DataFrame, DataFrame]:
     """New shipment documents from payloads numbered by ``ordinal``: ``(created, rejects)``.
 
     Identifiers come from ``batch`` and ``ordinal``, so a run repeated after a failure creates the
-    same rows.
+    same rows. ``as_of`` is one time for the whole batch: the stored numbers that can collide all start with its base,
+    which reaches the scan of ``existing``.
     """
     optional = {"sender_phone": "string", "receiver_phone": "string", "route": "string",
                 "hub_id": "string", "pickup_date": "timestamp_ntz"}
     filled = _with_absent(payloads, optional).withColumn(
         "service_type", _absent_default(payloads, "service_type", F.lit(fixed.DEFAULT_SERVICE)))
-    # Counting, ranking and numbering below go over the batch several times: parse and check it once.
+    # Numbering goes over the batch several times: it is parsed, checked and ordered once. Rejects take no number.
     checked = validate(filled, shipment_rules(filled)).withColumn("created_at", as_of)
-    valid, rejects = split(checkpointed(checked))
-    rows = valid.withColumns({
+    base = F.when(F.size(BROKEN) == 0, tracking_base(as_of))
+    placed = in_base_order(checked, base, ["ordinal"])
+    _, rejects = split(placed.drop("_base", "_place"))
+    used = existing.where(F.col("tracking_number").startswith(tracking_base(as_of)))
+    rows = with_numbers(placed, used).drop(BROKEN).withColumns({
         "id": X.stable_uuid(F.lit(batch), "ordinal"),
         "weight": F.col("weight").cast("decimal(10,2)"),
         "cost": F.col("cost").cast("decimal(10,2)"),
@@ -69,7 +72,6 @@ def create_shipments(payloads: DataFrame, existing: DataFrame, as_of: Column, ba
         "events": X.initial_event(X.stable_uuid(F.lit(batch), "ordinal", F.lit("created")), as_of),
         "updated_at": as_of,
     })
-    rows = assign_tracking(rows, existing, rows_per_task=rows_per_task)
     return rows.drop(PRESENT), rejects.drop("created_at")
 
 
