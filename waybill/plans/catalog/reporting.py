@@ -11,6 +11,7 @@ from waybill.plans.catalog.model_sql import average, half_up, on_model
 from waybill.plans.catalog.registry import query
 
 
+# Names come from subqueries, which can neither drop nor multiply shipments: the four outer joins must not either.
 def _name_sql(role):
     return f'(select any_value("name") from hubs where hubs.id = {role}_hub_id) {role}_hub_name'
 
