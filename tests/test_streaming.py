@@ -11,7 +11,7 @@ from waybill.plans import sample_model as M
 from waybill.session import fresh_folder
 from waybill.sources.documents import PRESENT
 from waybill.streaming import events as E
-from waybill.streaming.store import latest_by_key, read_epochs
+from waybill.streaming.store import compact_latest, latest_by_key, read_epochs
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +109,19 @@ def test_daily_counts_lose_nothing(spark):
                      ("None", "created"): 1}
 
 
+def test_a_stream_goes_on_behind_compacted_epochs(spark):
+    out, keys = fresh_folder(spark, "test-compact"), ["shipment_id"]
+    first = [[(1, 1, "created", "2024-03-01"), (2, 2, "created", "2024-03-01")], [(3, 1, "at_hub", "2024-03-02")]]
+    E.stream_current_status(_feed(spark, out, first), f"{out}/rows", f"{out}/checkpoint")
+    before = latest_by_key(read_epochs(spark, f"{out}/rows"), keys)
+    compact_latest(spark, f"{out}/rows", f"{out}/compact", keys)
+    assert read_epochs(spark, f"{out}/compact").select("epoch").distinct().count() == 1
+    same(latest_by_key(read_epochs(spark, f"{out}/compact"), keys), before)
+    E.stream_current_status(_feed(spark, out, [[(4, 2, "delivered", "2024-03-05")]]), f"{out}/compact", f"{out}/checkpoint")
+    found = {r["shipment_id"]: r["status"] for r in latest_by_key(read_epochs(spark, f"{out}/compact"), keys).collect()}
+    assert found == {1: "at_hub", 2: "delivered"}
+
+
 def test_hub_load_from_stored_statuses_and_late_events(spark):
     out = fresh_folder(spark, "test-initial")
     hubs = spark.createDataFrame([(1, 100, 40), (2, 100, 10), (3, 100, 7)], "id bigint, capacity int, current_load int")

@@ -36,3 +36,15 @@ def latest_by_key(epochs: DataFrame, keys: list[str]) -> DataFrame:
     fields = [c for c in epochs.columns if c not in (*keys, EPOCH)]
     return (epochs.groupBy(*keys).agg(F.max_by(F.struct(*fields), EPOCH).alias("_row"))
             .select(*keys, "_row.*"))
+
+
+def compact_latest(spark: SparkSession, folder: str, target: str, keys: list[str]) -> None:
+    """Write what ``latest_by_key`` gives for ``folder`` as one epoch of ``target``, under the number of the last one.
+
+    Nothing in ``folder`` changes, so this may be run again after a failure. To go on, stop the stream, compact, and
+    start it with the same checkpoint and ``target``: later epochs follow there. The old folder is the caller's to remove.
+    """
+    epochs = read_epochs(spark, folder)
+    last = epochs.agg(F.max(EPOCH)).first()[0]
+    if last is not None:
+        write_epoch(latest_by_key(epochs, keys), target, last)
