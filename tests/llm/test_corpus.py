@@ -84,6 +84,29 @@ def test_quality_keeps_clean_and_drops_symbols(spark, documents):
     assert bad.count() == 0
 
 
+def test_quality_bands_follow_the_documents(spark):
+    """Most of the labelled junk goes and hardly a clean document; a language with other words has other bands."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = fertility.judge_quality(docs, MODEL).join(labels, "doc_id").where("not base_failed")
+    share = {r.quality: r.share for r in found.groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("share")).collect()}
+    assert share[0] > 0.6 and share[1] < 0.01
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        lang, words = ("aa", 40) if i % 2 else ("bb", 400)
+        rows.append((i, " ".join(f"w{k:x}" for k in rng.integers(0, words, 200)), lang))
+    # As even as lang aa, labelled bb; without a language, held against the script of both.
+    odd_ones = " ".join(f"w{k:x}" for k in rng.integers(0, 40, 200))
+    rows += [(1000, odd_ones, "bb"), (1001, odd_ones, "aa"), (1002, odd_ones, None), (1003, odd_ones, "rare")]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    wide = {name: fertility.Band((0.0, 99.0), 1.0, 0.0) for name in fertility.BANDS}
+    kept = {r.doc_id: r.kept for r in fertility.judge_quality(some, MODEL, wide).collect()}
+    assert [kept[k] for k in (1000, 1001, 1002, 1003)] == [False, True, True, True]
+    assert {r.doc_id for r in fertility.filter_quality(some, MODEL, wide).collect()} == {k for k, v in kept.items() if v}
+    assert fertility.judge_quality(some.drop("lang"), MODEL, wide).where("kept").count() > 390
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(2)
     names = np.unique(rng.integers(0, 2 ** 48, 300).astype(np.uint64))

@@ -1,4 +1,4 @@
-"""Quality rules: plain counts, and the fertility of a public tokenizer within bands per script.
+"""Quality rules: plain counts, and the fertility of a public tokenizer within bands learned from the documents.
 
 Every word is looked up in the pieces of a vocabulary (a sentencepiece model with byte fallback). Over the words of a text:
 
@@ -7,13 +7,24 @@ Every word is looked up in the pieces of a vocabulary (a sentencepiece model wit
 * token entropy, as a share of what so many tokens could have at most: text that repeats few pieces is low. Beyond
   ``FULL`` tokens the possible entropy counts as that of ``FULL``, as no language spreads evenly over its pieces for ever.
 
-A text passes if each measure lies in the band of its script, the one that holds most of its characters. Bands
-are parameters; the defaults are wide, as a rule should keep clean text and drop only what is far outside.
+A text passes if it fails neither of two rules. Limits per script (the one that holds most of its characters) are parameters and
+wide. Bands come from the documents themselves: all that pass the plain rules, exact copies once, give the quartiles of each
+measure per language and length (doublings of the number of tokens, as short texts are even by chance), per language, and per
+script; a text is held against the first of these groups with ``LEAST_DOCS`` documents and any spread. In quartile
+distances (Tukey's fences) it is not kept
 
-The plain counts are exact. No rows are moved; a worker remembers a bounded number of words.
+* if its evenness lies more than ``FENCE`` below the lower quartile, or
+* if evenness lies more than half of that below, and another measure more than ``FENCE`` outside of its quartiles as well. Names,
+  numbers and codes lift the other measures of clean text too, so they don't decide alone.
+
+Quartiles hold as long as less than a quarter of a group is junk. A verdict depends on the documents it is given with.
+
+The plain counts are exact, and so are quartiles, on a grid of 1 / ``GRID``. Only measures are moved, for the quartiles;
+a worker remembers a bounded number of words.
 
 Defined results: a NULL or empty text has no words, fails the plain rules and is not kept; texts of any length are read
-whole; repeated rows give a row each; an empty table gives no rows; in ``filter_quality`` all columns pass as they are.
+whole; a NULL language, or a table without that column, leaves the script; repeated rows give a row each; an empty table gives no
+rows; in ``filter_quality`` all columns pass as they are.
 """
 
 from __future__ import annotations
@@ -23,21 +34,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from waybill.llm.arrow import kept, replaced, texts
+from waybill.llm.frames import checkpointed
+from waybill.session import fresh_folder
 
 BYTES_AT_ONCE = 2_000_000
 REMEMBERED = 300_000
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 FULL = 512
+#: Quartile distances beyond which a measure stands out; documents that make a group; groups at most, the largest first.
+FENCE, LEAST_DOCS, MOST_GROUPS = 1.5, 100, 10_000
+GRID = 4096
 
 
 @dataclass(frozen=True)
 class Band:
-    """What a text may have."""
+    """What a text may have in any case."""
     chars_per_token: tuple[float, float]
     most_byte_share: float
     least_evenness: float
@@ -127,7 +144,7 @@ def _repeated(numbers: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def measure(rows: list[bytes], words: Words, bands: dict[str, Band]) -> dict[str, np.ndarray]:
-    """All counts, measures and verdicts of some texts."""
+    """All counts and measures of some texts, and whether they lie within the limits of their script."""
     split = [r.split() for r in rows]
     n_words = np.fromiter(map(len, split), np.int64, len(rows))
     numbers = words.numbers([w for ws in split for w in ws])
@@ -173,34 +190,97 @@ def measure(rows: list[bytes], words: Words, bands: dict[str, Band]) -> dict[str
                    & (out["chars_per_token"] <= band.chars_per_token[1])
                    & (out["byte_share"] <= band.most_byte_share) & (out["evenness"] >= band.least_evenness))
     out["script"] = np.array(names, object)[script]
-    out["kept"] = within & ~out["base_failed"]
+    out["within"] = within
     return out
 
 
 _COLUMNS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
             "n_repeat_words": "bigint", "base_failed": "boolean", "n_tokens": "bigint", "chars_per_token": "double",
             "byte_share": "double", "token_entropy": "double", "evenness": "double", "script": "string",
-            "kept": "boolean"}
+            "within": "boolean"}
+_FOUND = ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())
+#: Measures that stand out on either side; evenness does on the lower one only.
+_OTHERS = ("chars_per_token", "byte_share")
+
+
+def _groups(lang: Column, found: str) -> list[Column]:
+    """Names of the groups of a text, the narrowest first; NULL without a language."""
+    doublings = F.floor(F.log2(F.greatest(F.lit(1), F.least(F.col(f"{found}.n_tokens"), F.lit(2 * FULL)))))
+    return [F.concat(F.lit("length "), doublings.cast("string"), F.lit(" "), lang), F.concat(F.lit("lang "), lang),
+            F.concat(F.lit("script "), F.col(f"{found}.script"))]
+
+
+def quartiles(measured: DataFrame, lang: Column, found: str) -> DataFrame:
+    """Columns group, n and the quartiles of each measure in grid steps. ``found``: the struct of a text's measures."""
+    names = F.array(*_groups(lang, found)).alias("groups")
+    each = [F.col(f"{found}.{c}").alias(c) for c in ("evenness", *_OTHERS, "n_tokens", "word_chars", "token_entropy")]
+    once = measured.where(f"not {found}.base_failed").select(names, *each).distinct()
+    return (once.select(F.explode("groups").alias("group"), "evenness", *_OTHERS).where("group is not null")
+            .groupBy("group").agg(F.count("*").alias("n"), *[
+                F.percentile(F.round(F.col(c) * GRID).cast("bigint"), F.array(F.lit(0.25), F.lit(0.75))).alias(c)
+                for c in ("evenness", *_OTHERS)])
+            .where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "group").limit(MOST_GROUPS))
+
+
+def _with_verdicts(measured: DataFrame, lang: Column, found: str) -> DataFrame:
+    """Add ``_kept``. The quartiles are at most ``MOST_GROUPS`` rows, so they are broadcast."""
+    bands = checkpointed(quartiles(measured, lang, found))
+    out, columns = measured, measured.columns
+    for k, name in enumerate(_groups(lang, found)):
+        band = F.broadcast(bands.select(F.col("group").alias(f"_g{k}"), *[
+            F.when(F.col(c)[1] > F.col(c)[0], F.col(c)).alias(f"_{c}{k}") for c in ("evenness", *_OTHERS)]))
+        out = out.join(band, name == F.col(f"_g{k}"), "left")
+
+    def beyond(measure: str, upper: bool) -> Column:
+        band, value = F.coalesce(*[F.col(f"_{measure}{k}") for k in range(3)]), F.col(f"{found}.{measure}") * GRID
+        far = F.greatest(band[0] - value, value - band[1]) if upper else band[0] - value
+        return F.coalesce(far / (band[1] - band[0]), F.lit(0.0))
+
+    low, other = beyond("evenness", False), F.greatest(*[beyond(c, True) for c in _OTHERS])
+    outside = (low > FENCE) | ((low > FENCE / 2) & (other > FENCE))
+    return out.select(*[F.col(f"`{c}`") for c in columns], (
+        F.col(f"{found}.within") & ~F.col(f"{found}.base_failed") & ~outside).alias("_kept"))
+
+
+def _lang(docs: DataFrame, lang: str) -> Column:
+    return (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string")
 
 
 def judge_quality(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS, key: str = "doc_id",
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: the key, the counts, ``base_failed``, the measures and ``kept``."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), _lang(docs, lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in texts(batches, BYTES_AT_ONCE):
             found = measure(some, kept(Words, model), bands)
-            yield replaced(batch, ["key"], **{c: pa.array(found[c]) for c in _COLUMNS})
+            yield replaced(batch, ["key", "lang"], found=_struct(found))
 
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    kind = rows.schema["key"].dataType.simpleString()
+    measured = checkpointed(rows.mapInArrow(run, f"key {kind}, lang string, found struct<{_FOUND}>"))
+    return _with_verdicts(measured, F.col("lang"), "found").select(
+        F.col("key").alias(key), *[f"found.{c}" for c in _COLUMNS if c != "within"], F.col("_kept").alias("kept"))
 
 
-def filter_quality(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS, text: str = "text") -> DataFrame:
-    """The documents that are kept, with all their columns."""
+def _struct(found: dict[str, np.ndarray]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(found[c]) for c in _COLUMNS], names=list(_COLUMNS))
+
+
+def filter_quality(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS, text: str = "text",
+                   lang: str = "lang") -> DataFrame:
+    """The documents that are kept, with all their columns. Those that pass the plain rules are written once with their
+    measures, as the bands are known only then."""
+    found, columns = "_found", docs.columns
+    while found in columns:
+        found += "_"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in texts(batches, BYTES_AT_ONCE, text):
-            yield batch.filter(pa.array(measure(some, kept(Words, model), bands)["kept"]))
-
-    return docs.mapInArrow(run, docs.schema)
+            measures = measure(some, kept(Words, model), bands)
+            yield replaced(batch, columns, **{found: _struct(measures)}).filter(pa.array(~measures["base_failed"]))
+
+    folder = fresh_folder(docs.sparkSession, "measured")
+    schema = StructType([*docs.schema.fields, StructField(found, DataType.fromDDL(f"struct<{_FOUND}>"))])
+    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
+    measured = docs.sparkSession.read.parquet(folder)
+    return _with_verdicts(measured, _lang(docs, lang), found).where("_kept").drop("_kept", found)
