@@ -203,6 +203,35 @@ def test_scores(spark, folder, documents, odd, none):
     assert hidden_markov.score_texts(none).count() == 0
 
 
+def test_scores_as_baum_welch_over_all_words_at_once(spark, documents, monkeypatch):
+    """Emissions of every word by itself, with blocks and ranges cut small."""
+    monkeypatch.setattr(hidden_markov, "WORDS_PER_RANGE", 3000)
+    docs = documents.orderBy("doc_id").limit(60)
+    texts = [(r.doc_id, (r.text or "").encode().lower().split() + [b" "]) for r in docs.collect()]
+    learned = [zlib.crc32(str(k).encode()) % 10 != 0 for k, _ in texts]
+    number = {w: i for i, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
+    hashes = shingles.word_hashes(list(number))
+    symbols = [np.array([number[w] for w in ws]) for _, ws in texts]
+    taught = [s for s, yes in zip(symbols, learned) if yes]
+    total = np.bincount(np.concatenate(taught), minlength=len(number))
+    known = total > 0
+    marginal = (total + 0.1) / (total.sum() + 0.1 * (known.sum() + 1))
+    emit = marginal[:, None] * hidden_markov.noise(hashes, total)
+    model = hmm.Model(*hmm.first_moves(8), emit / (emit[known].sum(axis=0) + 0.1 / (total.sum() + 0.1 * (known.sum() + 1))))
+    length = hidden_markov.stretches(np.array(list(map(len, taught))), hidden_markov.STRETCH)
+    for _ in range(3):
+        start, move, emitted, _ = hmm.expect(model, np.concatenate(taught), length)
+        lean = 5 / (total + 5)
+        back = lean * marginal / ((lean * marginal)[known].sum() + 0.1 / (total.sum() + 0.1 * (known.sum() + 1)))
+        own = (1 - lean)[:, None] * emitted
+        emit = own + back[:, None] * (emitted.sum(axis=0) - own.sum(axis=0) + 1)
+        model = hmm.Model(*hmm.next_moves(start, move), emit / (emitted.sum(axis=0) + 1))
+        assert model.emit[known].sum(axis=0) + model.emit[~known][:1].sum(axis=0) == pytest.approx(1, rel=1e-5)
+    expected = {k: hmm.log_likelihood(model, s, np.array([len(s)]))[0] / math.log(10) for (k, _), s in zip(texts, symbols)}
+    found = {r.doc_id: r.score for r in hidden_markov.score_texts(docs.repartition(3), passes=3).collect()}
+    assert found == pytest.approx(expected, rel=1e-4)
+
+
 def test_model_beats_base_on_held_out_texts(spark):
     found = hidden_markov.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     row = found.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()

@@ -1,17 +1,21 @@
 """Language-model scores by a hidden Markov model trained on the corpus.
 
-The model: latent states move from word to word, a state emits a class of words (``CLASSES``, by hash, and one for the end),
-and a class gives its words by their counts in training text. So the states' parameters have a fixed size, however many
-words there are, and each word has its own probability all the same.
+The model: latent states move from word to word, and a state emits each word of the training text with a probability of its own,
+and with what is left any other word. So emissions grow with the vocabulary; they are held in parts, never in one place.
 
 1. Texts become blocks: token numbers, and a dictionary of the block (64-bit hashes of its words, in order, with counts).
 2. Dictionaries are cut by hash ranges; the task of a range adds the counts of its words over all blocks and sends every block
    the totals of its words. No vocabulary is held whole anywhere: a range has ``WORDS_PER_RANGE`` entries on average.
-3. Baum-Welch: every block adds up the expected counts of its training texts, tasks add up their blocks, Spark adds up the tasks
-   (a row per class), and the next model (``STATES`` x classes) is made on the driver. All training texts take part in every
-   pass; texts are learned from in stretches of ``STRETCH`` tokens.
+3. Baum-Welch: every block adds up the expected counts of its training texts per word and state. They take the same way: the task
+   of a range adds up those of its words over all blocks and sends every block its words' sums for the next pass. The driver
+   holds starts, moves and a sum per state. All training texts take part in every pass; texts are learned from in stretches of
+   ``STRETCH`` tokens.
 4. Every whole text is scored by the scaled forward recursion.
 
+A word's emissions lean on its smoothed count with the weight of ``LEAN`` tokens against its own count, so what a rare word was seen
+with decides little; what a state's words lose by this is dealt out by the smoothed counts, so its emissions add up to 1 with all
+unknown words as one. Emissions start from the smoothed counts with noise by the word's hash.
+
 Words are told apart by 64-bit hashes: among V words V^2 / 2^65 pairs are expected to be taken for one.
 
 Defined results: a NULL or empty text is one end token; a NULL key counts as the empty text when texts are held out; repeated rows are
@@ -21,6 +25,7 @@ texts of their own; without training text all words are unknown; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,12 @@ from waybill.llm.arrow import texts
 from waybill.llm.frames import checkpointed
 from waybill.llm.shingles import word_hashes
 
-STATES, CLASSES, PASSES, SEED = 8, 4096, 5, 11
+STATES, PASSES, SEED = 8, 5, 11
 STRETCH = 512
 BLOCK_BYTES = 6_000_000
 WORDS_PER_RANGE = 500_000
 SMOOTH = 0.1
+LEAN = 5
 #: Stands for the end; no word holds a space.
 _END = b" "
 
@@ -53,9 +59,50 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def _class_of(hashes: np.ndarray) -> np.ndarray:
-    end = word_hashes([_END])[0]
-    return np.where(hashes == end, CLASSES, (hashes >> np.uint64(7)) % np.uint64(CLASSES)).astype(np.int64)
+@dataclass
+class Model:
+    """All that is not held per word."""
+    start: np.ndarray  # (states,)
+    move: np.ndarray  # (states, states)
+    tokens: int  # of training text
+    words: int  # distinct ones of it
+    weight: np.ndarray  # (states,): what the emissions of a state add up to before they are divided by it
+    leaning: float  # sum of lean x marginal over all words
+    freed: np.ndarray | None = None  # (states,): what the words of a state have lost; None before the first pass
+
+    def marginal(self, total: np.ndarray) -> np.ndarray:
+        """Probabilities of words by their counts in training text; all unknown words are one."""
+        return (total + SMOOTH) / (self.tokens + SMOOTH * (self.words + 1))
+
+    def emissions(self, total: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+        """Of words (rows) in states. ``counts``: expected counts of the pass before, None before the first."""
+        marginal = self.marginal(total)
+        if counts is None:
+            return marginal[:, None] * noise(hashes, total) / self.weight
+        own = lean(total)
+        return ((1 - own)[:, None] * counts + (own * marginal / self.leaning)[:, None] * self.freed) / self.weight
+
+
+def lean(total: np.ndarray) -> np.ndarray:
+    """The share of words' emissions that follows their smoothed counts; all of it for unknown words."""
+    return LEAN / (total + LEAN)
+
+
+def noise(hashes: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Numbers from 0.4 to 1.6 by word and state; 1 for unknown words."""
+    with np.errstate(over="ignore"):
+        mixed = hashes[:, None] + np.arange(1, STATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(SEED)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(31)
+    return np.where(total[:, None] > 0, 0.4 + 1.2 * (mixed >> np.uint64(11)) / 2.0 ** 53, 1.0)
+
+
+def _parts(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that a sorted dictionary has words of, and where each begins; the end last."""
+    part = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    numbers = np.unique(part)
+    return numbers.astype(np.int64), np.append(np.searchsorted(part, numbers), len(part))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +136,9 @@ def _cut(ranges: int):
         for batch in batches:
             for block, data, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "counts"))):
                 hashes, count = np.frombuffer(data, "<u8"), _unpacked(packed, "<i8")
-                part = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                numbers = np.unique(part)
-                at = np.append(np.searchsorted(part, numbers), len(part))
+                numbers, at = _parts(hashes, ranges)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers.astype(np.int64)), pa.array(np.full(len(numbers), block), pa.int64()),
+                    [pa.array(numbers), pa.array(np.full(len(numbers), block), pa.int64()),
                      pa.array([hashes[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
                      pa.array([_packed(count[i:j]) for i, j in zip(at, at[1:])], pa.binary())],
                     names=["part", "block", "hashes", "counts"])
@@ -101,44 +146,51 @@ def _cut(ranges: int):
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """All blocks' parts of one range to the totals of their words, and what each class adds up to."""
+    """All blocks' parts of one range to the totals of their words and the words' places in the range; a row with block -1 has
+    the range's tokens and words, sums of lean x count and of lean, and by state sums of count x noise and of noise."""
     blocks, data = table.column("block").to_pylist(), table.column("hashes").to_pylist()
     hashes = [np.frombuffer(d, "<u8") for d in data]
     count = np.concatenate([_unpacked(d, "<i8") for d in table.column("counts").to_pylist()])
     known, place = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(place, weights=count, minlength=len(known)).astype(np.int64)
     at = np.append(0, np.cumsum([len(h) for h in hashes]))
-    sums = [_packed(total[place[i:j]]) for i, j in zip(at, at[1:])]
-    kind = _class_of(known)
-    tokens = np.bincount(kind, weights=total, minlength=CLASSES + 1)
-    distinct = np.bincount(kind[total > 0], minlength=CLASSES + 1)
-    some = np.flatnonzero(distinct)
-    classes = [{"kind": int(c), "tokens": int(tokens[c]), "words": int(distinct[c])} for c in some]
+    learned = total > 0
+    by_state = noise(known[learned], total[learned])
+    own = lean(total[learned])
+    sums = [float(total.sum()), float(learned.sum()), float(own @ total[learned]), float(own.sum()), *(total[learned] @ by_state), *by_state.sum(axis=0)]
     part = table.column("part")[0].as_py()
-    struct = pa.struct([("kind", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64())])
     return pa.table({"part": pa.array([part] * (len(blocks) + 1), pa.int64()),
-                     "block": pa.array([*blocks, -1], pa.int64()), "totals": pa.array([*sums, None], pa.binary()),
-                     "classes": pa.array([None] * len(blocks) + [classes], pa.list_(struct))})
+                     "block": pa.array([*blocks, -1], pa.int64()),
+                     "totals": pa.array([*[_packed(total[place[i:j]]) for i, j in zip(at, at[1:])], None], pa.binary()),
+                     "places": pa.array([*[_packed(place[i:j].astype("<i4")) for i, j in zip(at, at[1:])], None], pa.binary()),
+                     "sums": pa.array([None] * len(blocks) + [sums], pa.list_(pa.float64()))})
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of a block's totals put together again, in the order of its dictionary."""
+    """The parts of a block's totals and places put together again, in the order of its dictionary."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            total = np.concatenate([_unpacked(p["totals"], "<i8") for p in row.column("parts")[0].as_py()])
-            kind = _class_of(np.frombuffer(row.column("hashes")[0].as_py(), "<u8"))
+            parts = row.column("parts")[0].as_py()
+            both = [_packed(np.concatenate([_unpacked(p[c], kind) for p in parts]))
+                    for c, kind in (("totals", "<i8"), ("places", "<i4"))]
             yield pa.RecordBatch.from_arrays(
-                [row.column(c) for c in ("block", "keys", "learned", "lengths", "tokens")]
-                + [pa.array([_packed(total)], pa.binary()), pa.array([_packed(kind.astype("<i4"))], pa.binary())],
-                names=["block", "keys", "learned", "lengths", "tokens", "totals", "kinds"])
+                [row.column(c) for c in ("block", "keys", "learned", "lengths", "tokens", "hashes")]
+                + [pa.array([data], pa.binary()) for data in both],
+                names=["block", "keys", "learned", "lengths", "tokens", "hashes", "totals", "places"])
 
 
-def _read_blocks(batches: Iterator[pa.RecordBatch], *names: str):
-    kinds = {"learned": "?", "lengths": "<i4", "tokens": "<i4", "kinds": "<i4", "totals": "<i8"}
+def _read_blocks(batches: Iterator[pa.RecordBatch], model: Model):
+    """Rows; learned, lengths, tokens, hashes, totals and places; the words' emissions."""
+    kinds = {"learned": "?", "lengths": "<i4", "tokens": "<i4", "totals": "<i8", "places": "<i4"}
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1), [_unpacked(batch.column(n)[i].as_py(), kinds[n]) for n in names]
+            found = {n: _unpacked(batch.column(n)[i].as_py(), k) for n, k in kinds.items()}
+            found["lengths"] = found["lengths"].astype(np.int64)
+            found["hashes"] = np.frombuffer(batch.column("hashes")[i].as_py(), "<u8")
+            parts = batch.column("parts")[i].as_py() if "parts" in batch.schema.names else None
+            counts = None if parts is None else np.frombuffer(b"".join(p["data"] for p in parts), "<f4").reshape(-1, STATES)
+            yield batch.slice(i, 1), found, model.emissions(found["totals"], found["hashes"], counts)
 
 
 def stretches(length: np.ndarray, most: int) -> np.ndarray:
@@ -149,76 +201,94 @@ def stretches(length: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _expected(model: hmm.Model):
-    """Expected counts of all blocks of a task: a row per class, one for the starts (-1) and one per state left (-2, ...)."""
+def _expected(model: Model, ranges: int):
+    """Expected counts of the words of each block, in parts by range; a row with part -1 per task has the starts, moves, sums and
+    losses per state and log likelihood."""
+    names = ["part", "block", "places", "data"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = None
-        for _, (learned, length, token, kind) in _read_blocks(batches, "learned", "lengths", "tokens", "kinds"):
-            length = length.astype(np.int64)
-            symbol = kind[token][np.repeat(learned, length)]
-            if len(symbol):
-                found = hmm.expect(model, symbol, stretches(length[learned], STRETCH))
-                sums = found if sums is None else [a + b for a, b in zip(sums, found)]
-        if sums is not None:
-            start, move, emit, likelihood = sums
-            some = np.flatnonzero(emit.any(axis=1))
-            ids = np.concatenate([some, [-1], -2 - np.arange(len(move)), [-1000]])
-            values = np.concatenate([emit[some], [start], move, [np.full(len(start), likelihood)]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(v) for v in values.T]],
-                                             names=["id", *[f"s{k}" for k in range(len(start))]])
+        sums = np.zeros(STATES * (STATES + 3) + 1)
+        for row, found, emit in _read_blocks(batches, model):
+            learned, length = found["learned"], found["lengths"]
+            symbol = found["tokens"][np.repeat(learned, length)]
+            start, move, emitted, likelihood = hmm.expect(
+                hmm.Model(model.start, model.move, emit), symbol, stretches(length[learned], STRETCH))
+            sums += np.concatenate([start, move.ravel(), emitted.sum(axis=0), lean(found["totals"]) @ emitted, [likelihood]])
+            numbers, at = _parts(found["hashes"], ranges)
+            emitted, places = emitted.astype("<f4"), found["places"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers), pa.array(np.full(len(numbers), row.column("block")[0].as_py()), pa.int64()),
+                 pa.array([places[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
+                 pa.array([emitted[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()),
+                                          pa.array([sums.tobytes()], pa.binary())], names=names)
     return run
 
 
-def _scored(model: hmm.Model, tokens: np.ndarray, words: np.ndarray):
-    """Scores of the texts of blocks. ``tokens`` and ``words``: how many of each a class has in training text."""
-    all_tokens, all_words = int(tokens.sum()), int(words.sum())
-
+def _added(table: pa.Table) -> pa.Table:
+    """The expected counts of one range's words over all blocks, as every block needs them; or the sums of all tasks in one row."""
+    blocks, part = table.column("block").to_pylist(), table.column("part")[0].as_py()
+    if part < 0:
+        data = [np.sum([np.frombuffer(d, "<f8") for d in table.column("data").to_pylist()], axis=0).tobytes()]
+        blocks = [-1]
+    else:
+        places = [np.frombuffer(p, "<i4") for p in table.column("places").to_pylist()]
+        total = np.zeros((max(int(p.max()) for p in places) + 1, STATES))
+        for p, d in zip(places, table.column("data")):
+            total[p] += np.frombuffer(d.as_buffer(), "<f4").reshape(-1, STATES)  # a block has a word once
+        total = total.astype("<f4")
+        data = [total[p].tobytes() for p in places]
+    return pa.table({"part": pa.array([part] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()),
+                     "data": pa.array(data, pa.binary())})
+
+
+def _scored(model: Model):
+    """Scores of the texts of blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, (learned, length, token, kind, total) in _read_blocks(
-                batches, "learned", "lengths", "tokens", "kinds", "totals"):
-            length = length.astype(np.int64)
-            base = np.log10((total + SMOOTH) / (all_tokens + SMOOTH * (all_words + 1)))
-            inside = np.log10((total + SMOOTH) / (tokens[kind] + SMOOTH * (words[kind] + 1)))
+        for row, found, emit in _read_blocks(batches, model):
+            length, token, total = found["lengths"], found["tokens"], found["totals"]
+            base = np.log10(model.marginal(total))
             first = np.cumsum(length) - length
-            score = hmm.log_likelihood(model, kind[token], length) / np.log(10)
-            n = len(length)
+            score = hmm.log_likelihood(hmm.Model(model.start, model.move, emit), token, length) / np.log(10)
             yield pa.RecordBatch.from_arrays(
-                [row.column("keys").flatten(), pa.array(~learned), pa.array(length),
+                [row.column("keys").flatten(), pa.array(~found["learned"]), pa.array(length),
                  pa.array(np.add.reduceat((total > 0)[token].astype(np.int64), first)),
-                 pa.array(np.full(n, all_tokens, np.int64)), pa.array(np.add.reduceat(base[token], first)),
-                 pa.array(score + np.add.reduceat(inside[token], first))],
+                 pa.array(np.full(len(length), model.tokens, np.int64)), pa.array(np.add.reduceat(base[token], first)),
+                 pa.array(score)],
                 names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
 
-def train(blocks: DataFrame, tokens: np.ndarray, passes: int = PASSES) -> tuple[hmm.Model, list[float]]:
-    """The model after some passes over all blocks, and the log likelihood before each."""
-    marginal = (tokens + SMOOTH) / (tokens + SMOOTH).sum()
-    model, seen = hmm.first_model(STATES, marginal, SEED), []
-    columns = [f"s{k}" for k in range(STATES)]
-    schema = "id int, " + ", ".join(f"{c} double" for c in columns)
-    for _ in range(passes):
-        sums = (blocks.mapInArrow(_expected(model), schema).groupBy("id")
-                .agg(*[F.sum(c).alias(c) for c in columns]).collect())  # a row per class and state
-        if not sums:
-            break
-        emit, start, move = np.zeros((CLASSES + 1, STATES)), np.zeros(STATES), np.zeros((STATES, STATES))
-        for row in sums:
-            values = np.array([row[c] for c in columns])
-            if row["id"] >= 0:
-                emit[row["id"]] = values
-            elif row["id"] == -1:
-                start = values
-            elif row["id"] == -1000:
-                seen.append(float(values[0]))
-            else:
-                move[-2 - row["id"]] = values
-        model = hmm.next_model(start, move, emit, marginal)
-    return model, seen
-
-
-def counted_blocks(docs: DataFrame, key: str, text: str, held_out) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Blocks with the training counts of their words; tokens and words that each class has in training text."""
+def _with_counts(blocks: DataFrame, added: DataFrame | None) -> DataFrame:
+    """Blocks with the expected counts of their words."""
+    if added is None:
+        return blocks
+    parts = (added.where("block >= 0").groupBy(F.col("block").alias("_block"))
+             .agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts")))
+    return blocks.join(parts, F.col("block") == F.col("_block")).drop("_block")
+
+
+def train(blocks: DataFrame, model: Model, ranges: int, passes: int = PASSES) -> tuple[Model, DataFrame, list[float]]:
+    """The model after some passes over all blocks, the blocks with their words' expected counts, and the log likelihood before
+    each pass."""
+    added, seen = None, []
+    for _ in range(passes if model.tokens else 0):
+        added = checkpointed(
+            _with_counts(blocks, added)
+            .mapInArrow(_expected(model, ranges), "part bigint, block bigint, places binary, data binary")
+            .groupBy("part").applyInArrow(_added, "part bigint, block bigint, data binary"))
+        sums = np.frombuffer(added.where("block < 0").first()["data"], "<f8")
+        start, move, weight, freed, likelihood = np.split(sums, np.cumsum([STATES, STATES * STATES, STATES, STATES]))
+        seen.append(float(likelihood[0]))
+        model = Model(*hmm.next_moves(start, move.reshape(STATES, STATES)), model.tokens, model.words, weight + 1,
+                      model.leaning, freed + 1)
+        # Files of the pass before stay until the driver collects its garbage.
+        blocks.sparkSession.sparkContext._jvm.System.gc()
+    return model, _with_counts(blocks, added), seen
+
+
+def counted_blocks(docs: DataFrame, key: str, text: str, held_out) -> tuple[DataFrame, Model, int]:
+    """Blocks with the training counts of their words, the first model, and the number of ranges."""
     rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     blocks = checkpointed(rows.mapInArrow(_blocks, (
@@ -230,19 +300,20 @@ def counted_blocks(docs: DataFrame, key: str, text: str, held_out) -> tuple[Data
         blocks.select("block", "hashes", "counts")
         .mapInArrow(_cut(ranges), "part bigint, block bigint, hashes binary, counts binary")
         .groupBy("part").applyInArrow(
-            _totals, "part bigint, block bigint, totals binary, classes array<struct<kind:int,tokens:bigint,words:bigint>>"))
+            _totals, "part bigint, block bigint, totals binary, places binary, sums array<double>"))
     parts = (totals.where("block >= 0").groupBy(F.col("block").alias("_block"))
-             .agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("parts")))
+             .agg(F.array_sort(F.collect_list(F.struct("part", "totals", "places"))).alias("parts")))
     counted = checkpointed(
         blocks.join(parts, F.col("block") == F.col("_block"))
         .select("block", "keys", "learned", "lengths", "tokens", "hashes", "parts")
         .mapInArrow(_joined, f"block bigint, keys array<{kind}>, learned binary, lengths binary, tokens binary, "
-                             "totals binary, kinds binary"))
-    tokens, words = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for row in (totals.where("block < 0").select(F.explode("classes").alias("c")).groupBy("c.kind")
-                .agg(F.sum("c.tokens").alias("tokens"), F.sum("c.words").alias("words")).collect()):
-        tokens[row["kind"]], words[row["kind"]] = row["tokens"], row["words"]
-    return counted, tokens, words
+                             "hashes binary, totals binary, places binary"))
+    found = totals.where("block < 0").agg(*[F.sum(F.col("sums")[i]) for i in range(4 + 2 * STATES)]).first()
+    tokens, words, own_tokens, own, *by_state = [x or 0.0 for x in found]
+    all_counts = tokens + SMOOTH * (words + 1)
+    weight = (np.array(by_state[:STATES]) + SMOOTH * np.array(by_state[STATES:]) + SMOOTH) / all_counts
+    leaning = (own_tokens + SMOOTH * own + SMOOTH) / all_counts
+    return counted, Model(*hmm.first_moves(STATES), int(tokens), int(words), weight, leaning), ranges
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", passes: int = PASSES) -> DataFrame:
@@ -251,10 +322,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", passes
     A tenth of the texts, by the checksum of the key, is held out: the model learns from the others.
     """
     held_out = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    blocks, tokens, words = counted_blocks(docs, key, text, held_out)
-    model, _ = train(blocks, tokens, passes)
+    blocks, first, ranges = counted_blocks(docs, key, text, held_out)
+    model, blocks, _ = train(blocks, first, ranges, passes)
     kind = docs.schema[key].dataType.simpleString()
-    scored = blocks.mapInArrow(_scored(model, tokens, words), (
+    scored = blocks.mapInArrow(_scored(model), (
         f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
         "score double"))
     return scored.withColumnRenamed("key", key)

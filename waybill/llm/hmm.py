@@ -1,4 +1,4 @@
-"""A hidden Markov model over word classes: expected counts of Baum-Welch, and the scaled forward recursion.
+"""A hidden Markov model: expected counts of Baum-Welch, and the scaled forward recursion.
 
 Sequences run together, one step at a time: with the longest first, those still running are always the first ones. Tokens are laid
 out step by step, so a step reads one stretch of memory.
@@ -18,20 +18,24 @@ class Model:
     emit: np.ndarray  # (symbols, states): probability of the symbol in each state
 
 
+def first_moves(states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and moves of states that keep to themselves."""
+    move = np.full((states, states), 0.1 / max(states - 1, 1))
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    return np.full(states, 1 / states), move
+
+
 def first_model(states: int, marginal: np.ndarray, seed: int) -> Model:
     """States that keep to themselves, each with the marginal of the symbols and noise of its own."""
     noise = np.random.default_rng(seed).uniform(0.4, 1.6, (len(marginal), states))
     emit = marginal[:, None] * noise
-    move = np.full((states, states), 0.1 / max(states - 1, 1))
-    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
+    return Model(*first_moves(states), emit / emit.sum(axis=0))
 
 
-def next_model(start: np.ndarray, move: np.ndarray, emit: np.ndarray, marginal: np.ndarray) -> Model:
-    """The model that the expected counts call for; emissions lean on the marginal with the weight of 50 tokens."""
+def next_moves(start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts and moves that the expected counts call for."""
     start, move = start + 0.5, move + 0.5
-    emit = emit + 50 * marginal[:, None]
-    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return start / start.sum(), move / move.sum(axis=1, keepdims=True)
 
 
 def stepwise(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
