@@ -189,6 +189,19 @@ def test_forward_and_expected_counts_by_all_paths():
     assert start.sum() == pytest.approx(3, rel=1e-4) and move.sum() == pytest.approx(5, rel=1e-4)
 
 
+def test_later_stretches_are_no_starts():
+    assert hidden_markov.stretches(np.array([5, 2, 4]), 2).tolist() == [2, 2, 1, 2, 2, 2]
+    later = hidden_markov.later(np.array([5, 2, 4]), 2)
+    assert later.tolist() == [False, True, True, False, False, True]
+    model = hmm.first_model(2, np.array([0.5, 0.3, 0.2]), 1)
+    symbols, shares = np.array([0, 1, 2, 0, 1, 1]), np.array([0.9, 0.1])
+    start, move, emit, all_ = hmm.expect(model, symbols, np.array([2, 4]), np.array([False, True]), shares)
+    alone = [hmm.expect(model, symbols[:2], np.array([2])),
+             hmm.expect(hmm.Model(shares, model.move, model.emit), symbols[2:], np.array([4]))]
+    assert start == pytest.approx(alone[0][0], rel=1e-4) and move == pytest.approx(alone[0][1] + alone[1][1], rel=1e-4)
+    assert emit == pytest.approx(alone[0][2] + alone[1][2], rel=1e-4) and all_ == pytest.approx(alone[0][3] + alone[1][3], rel=1e-4)
+
+
 def test_scores(spark, folder, documents, odd, none):
     for docs in (documents, odd):
         found = hidden_markov.score_texts(docs).collect()
@@ -218,9 +231,13 @@ def test_scores_as_baum_welch_over_all_words_at_once(spark, documents, monkeypat
     marginal = (total + 0.1) / (total.sum() + 0.1 * (known.sum() + 1))
     emit = marginal[:, None] * hidden_markov.noise(hashes, total)
     model = hmm.Model(*hmm.first_moves(8), emit / (emit[known].sum(axis=0) + 0.1 / (total.sum() + 0.1 * (known.sum() + 1))))
-    length = hidden_markov.stretches(np.array(list(map(len, taught))), hidden_markov.STRETCH)
+    length, later = (f(np.array(list(map(len, taught))), hidden_markov.STRETCH)
+                     for f in (hidden_markov.stretches, hidden_markov.later))
+    shares = model.start
     for _ in range(3):
-        start, move, emitted, _ = hmm.expect(model, np.concatenate(taught), length)
+        start, move, emitted, _ = hmm.expect(model, np.concatenate(taught), length, later, shares)
+        assert start.sum() == pytest.approx(len(taught), rel=1e-4)
+        shares = (emitted.sum(axis=0) + 1) / (emitted.sum() + 8)
         lean = 5 / (total + 5)
         back = lean * marginal / ((lean * marginal)[known].sum() + 0.1 / (total.sum() + 0.1 * (known.sum() + 1)))
         own = (1 - lean)[:, None] * emitted

@@ -9,7 +9,8 @@ and with what is left any other word. So emissions grow with the vocabulary; the
 3. Baum-Welch: every block adds up the expected counts of its training texts per word and state. They take the same way: the task
    of a range adds up those of its words over all blocks and sends every block its words' sums for the next pass. The driver
    holds starts, moves and a sum per state. All training texts take part in every pass; texts are learned from in stretches of
-   ``STRETCH`` tokens.
+   ``STRETCH`` tokens. A text's later stretches begin with the states' shares of all tokens and don't count as starts; the one
+   move across each cut is not counted.
 4. Every whole text is scored by the scaled forward recursion.
 
 A word's emissions lean on its smoothed count with the weight of ``LEAN`` tokens against its own count, so what a rare word was seen
@@ -74,6 +75,10 @@ class Model:
         """Probabilities of words by their counts in training text; all unknown words are one."""
         return (total + SMOOTH) / (self.tokens + SMOOTH * (self.words + 1))
 
+    def shares(self) -> np.ndarray:
+        """Of all tokens in the pass before; those of the starts before the first."""
+        return self.start if self.freed is None else self.weight / self.weight.sum()
+
     def emissions(self, total: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
         """Of words (rows) in states. ``counts``: expected counts of the pass before, None before the first."""
         marginal = self.marginal(total)
@@ -201,6 +206,14 @@ def stretches(length: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def later(length: np.ndarray, most: int) -> np.ndarray:
+    """Which of the ``stretches`` are not the first of their text."""
+    pieces = -(-length // most)
+    out = np.ones(pieces.sum(), bool)
+    out[np.cumsum(pieces) - pieces] = False
+    return out
+
+
 def _expected(model: Model, ranges: int):
     """Expected counts of the words of each block, in parts by range; a row with part -1 per task has the starts, moves, sums and
     losses per state and log likelihood."""
@@ -212,7 +225,8 @@ def _expected(model: Model, ranges: int):
             learned, length = found["learned"], found["lengths"]
             symbol = found["tokens"][np.repeat(learned, length)]
             start, move, emitted, likelihood = hmm.expect(
-                hmm.Model(model.start, model.move, emit), symbol, stretches(length[learned], STRETCH))
+                hmm.Model(model.start, model.move, emit), symbol, stretches(length[learned], STRETCH),
+                later(length[learned], STRETCH), model.shares())
             sums += np.concatenate([start, move.ravel(), emitted.sum(axis=0), lean(found["totals"]) @ emitted, [likelihood]])
             numbers, at = _parts(found["hashes"], ranges)
             emitted, places = emitted.astype("<f4"), found["places"]

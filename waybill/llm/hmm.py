@@ -52,19 +52,25 @@ def stepwise(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[lane] + step, begin, rank
 
 
-def expect(model: Model, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions, and the log likelihood (natural)."""
+def expect(model: Model, symbols: np.ndarray, length: np.ndarray, later: np.ndarray | None = None,
+           shares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions, and the log likelihood (natural).
+
+    Sequences marked ``later`` go on from the middle of another: they begin with the states' ``shares`` and are no starts.
+    """
     states, kind = len(model.start), np.float32
-    order, begin, _ = stepwise(length)
+    order, begin, rank = stepwise(length)
     symbol = symbols[order]
     emit = model.emit.astype(kind)[symbol]
+    real = np.ones(len(length), bool) if later is None else ~later[rank]
+    opening = np.where(real[:, None], model.start, model.start if shares is None else shares).astype(kind)
     move, ones = model.move.astype(kind), np.ones(states, kind)
     forward, scale = np.empty_like(emit), np.empty(len(symbol), kind)
     steps = len(begin) - 1
     now = None
     for t in range(steps):
         at = slice(begin[t], begin[t + 1])
-        now = emit[at] * (model.start.astype(kind) if t == 0 else now[:begin[t + 1] - begin[t]] @ move)
+        now = emit[at] * (opening if t == 0 else now[:begin[t + 1] - begin[t]] @ move)
         total = now @ ones
         now /= total[:, None]
         forward[at], scale[at] = now, total
@@ -80,7 +86,7 @@ def expect(model: Model, symbols: np.ndarray, length: np.ndarray) -> tuple[np.nd
         back = emit[at] * behind / scale[at][:, None]
         forward[at] *= behind
     emitted = np.stack([np.bincount(symbol, weights=forward[:, k], minlength=len(model.emit)) for k in range(states)], axis=1)
-    started = forward[:begin[1]].sum(axis=0, dtype=float) if steps else np.zeros(states)
+    started = forward[:begin[1]][real].sum(axis=0, dtype=float) if steps else np.zeros(states)
     return started, moved * model.move, emitted, float(np.log(scale.astype(float)).sum())
 
 
