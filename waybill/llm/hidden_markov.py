@@ -25,6 +25,7 @@ texts of their own; without training text all words are unknown; an empty table
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -287,6 +288,9 @@ def train(blocks: DataFrame, model: Model, ranges: int, passes: int = PASSES) ->
     each pass."""
     added, seen = None, []
     for _ in range(passes if model.tokens else 0):
+        # Files written before stay until the driver collects its garbage.
+        gc.collect()
+        blocks.sparkSession.sparkContext._jvm.System.gc()
         added = checkpointed(
             _with_counts(blocks, added)
             .mapInArrow(_expected(model, ranges), "part bigint, block bigint, places binary, data binary")
@@ -296,8 +300,6 @@ def train(blocks: DataFrame, model: Model, ranges: int, passes: int = PASSES) ->
         seen.append(float(likelihood[0]))
         model = Model(*hmm.next_moves(start, move.reshape(STATES, STATES)), model.tokens, model.words, weight + 1,
                       model.leaning, freed + 1)
-        # Files of the pass before stay until the driver collects its garbage.
-        blocks.sparkSession.sparkContext._jvm.System.gc()
     return model, _with_counts(blocks, added), seen
 
 
