@@ -10,7 +10,7 @@ from waybill.session import checkpointed
 #: A word is a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "checkpointed", "read", "uniform", "word_count"]
+__all__ = ["WORD", "checkpointed", "named", "read", "uniform", "unpacked", "whole", "word_count"]
 
 
 def read(spark, folder: str, table: str) -> DataFrame:
@@ -25,3 +25,18 @@ def word_count(text: Column) -> Column:
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone, so that a task that runs again agrees."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(2 ** 53))
+
+
+def named(column: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole(columns: list[str], alias: str = "row") -> Column:
+    """The named columns as one struct, so that no name of theirs meets one of an operator's."""
+    return F.struct(*[named(c) for c in columns] or [F.lit(None).cast("int").alias("none")]).alias(alias)
+
+
+def unpacked(columns: list[str], alias: str = "row") -> list[Column]:
+    """The columns out of ``whole``."""
+    return [F.col(alias).getField(c).alias(c) for c in columns]
