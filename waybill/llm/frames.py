@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.session import checkpointed
+from waybill.session import checkpointed, shuffles_removed
 
 #: A word is a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "checkpointed", "named", "read", "uniform", "unpacked", "whole", "word_count"]
+__all__ = ["WORD", "checkpointed", "kept_at", "named", "read", "uniform", "unpacked", "whole", "word_count"]
 
 
 def read(spark, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def kept_at(df: DataFrame, folder: str) -> DataFrame:
+    """The rows, written to a folder and read again; what lay there before goes, and so do the shuffle files of this step."""
+    spark = df.sparkSession
+    with shuffles_removed(spark):
+        df.write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for NULL."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")

@@ -16,16 +16,19 @@ own; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waybill.llm.frames import checkpointed
+
 #: Rows of a tile.
 TILE = 4096
 QUERY_TILE = 1024
-_PACKED = "width int, ids binary, nulls binary, matrix binary"
+_PACKED = "tile bigint, width int, ids binary, nulls binary, matrix binary"
 _LISTS = "query_tile bigint, query_row int, branch bigint, query_id bigint, best array<struct<low:bigint,late:boolean,vec_id:bigint>>"
 _LARGEST = 2 ** 63 - 1
 
@@ -40,21 +43,24 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFram
 
 
 def _pack(rows: int):
-    """Batches of (id, v) to tiles of one width."""
+    """Batches of (id, v) to tiles of one width, numbered by partition and place in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: dict[int, list] = {}
+        numbers = count(TaskContext.get().partitionId() << 33)
 
         def tile(width):
             ids, values = zip(*held.pop(width))
             nulls = np.concatenate([n for _, n in ids])
-            return [width, np.concatenate([i for i, _ in ids]).tobytes(), nulls.tobytes(),
+            return [next(numbers), width, np.concatenate([i for i, _ in ids]).tobytes(), nulls.tobytes(),
                     np.concatenate(values).astype("<i8").tobytes()]
 
         def out(tiles):
             columns = list(zip(*tiles))
             return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                names=["width", "ids", "nulls", "matrix"])
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[2:]]],
+                names=["tile", "width", "ids", "nulls", "matrix"])
 
         for batch in batches:
             v, ids = batch.column("v"), batch.column("id")
@@ -136,8 +142,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256, key: s
 
     tiles = rows.mapInArrow(_pack(TILE), _PACKED).withColumn(
         "group", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    query_tiles = (queries.repartition(blocks).mapInArrow(_pack(QUERY_TILE), _PACKED)
-                   .select(F.xxhash64("ids", "matrix").alias("query_tile"), F.col("width").alias("q_width"),
+    # Written once, so that a tile keeps its number: rows may be dealt otherwise when they are dealt again.
+    query_tiles = (checkpointed(queries.repartition(blocks).mapInArrow(_pack(QUERY_TILE), _PACKED))
+                   .select(F.col("tile").alias("query_tile"), F.col("width").alias("q_width"),
                            F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
                    # A stated set of queries against all rows: every block of queries goes to every group.
                    .withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"),
