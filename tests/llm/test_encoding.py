@@ -93,6 +93,25 @@ def test_perfect_hash(n):
     assert not index.find(keys, keys + np.uint64(1))[1].any()
 
 
+def test_index_with_equal_hashes():
+    keys = np.array([5, 9, 5, 7, 5], np.uint64)
+    prints, numbers = np.array([1, 2, 3, 4, 6], np.uint64), np.arange(5)
+    index = token_files.Index(b"".join(token_files.Index.build(keys, prints, numbers, numbers, 10 * numbers)))
+    slot, there = index.find(keys, prints)
+    assert there.all() and sorted(slot.tolist()) == [0, 1, 2, 3, 4]
+    assert index.shard[slot].tolist() == numbers.tolist() and index.offset[slot].tolist() == (10 * numbers).tolist()
+    assert index.find(np.array([5, 9], np.uint64), np.array([2, 3], np.uint64))[1].tolist() == [False, False]
+
+
+def test_invalid_utf8_becomes_replacement_characters(spark, pieces, library, tmp_path):
+    docs = spark.sql("select 1L as doc_id, cast(x'61ff20c3' as string) as text")
+    text = b"a\xff \xc3".decode("utf-8", "replace")
+    assert token_counts.count_tokens(docs, MODEL, 9).first().n_tokens == len(pieces.encode(text))
+    row = byte_bpe.round_trip(docs, RANKS, pattern()).first()
+    assert row.n_tokens == len(library.encode_ordinary(text)) and row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert token_files.write_token_files(docs, str(tmp_path / "files"), WORDS, 1, 2)[0].count() == 1
+
+
 def test_op3_odd_rows(odd, none, tmp_path):
     from pyspark.sql import functions as F
     from tokenizers import Tokenizer

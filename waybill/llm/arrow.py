@@ -27,10 +27,17 @@ def kept(make: Callable, *arguments) -> Any:
     return _kept[key]
 
 
-def texts(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of at most ``most`` bytes of text (or one row), each with its texts as UTF-8; NULL is empty."""
+def texts(batches: Iterator[pa.RecordBatch], most: int, text: str = "text", inside: str | None = None
+          ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of at most ``most`` bytes of text (or one row), each with its texts as UTF-8; NULL is empty.
+
+    ``inside``: the struct column that holds the text.
+    """
     for batch in batches:
-        column = batch.column(text).cast(pa.binary()) if batch.num_rows else None
+        column = None
+        if batch.num_rows:
+            column = batch.column(text) if inside is None else batch.column(inside).field(text)
+            column = column.cast(pa.binary())
         start = held = 0
         rows: list[bytes] = []
         for i in range(batch.num_rows):
@@ -44,6 +51,11 @@ def texts(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> I
             yield batch.slice(start, len(rows)), rows
 
 
+def as_text(data: bytes) -> str:
+    """Bytes that are no UTF-8, which a string column may hold, become replacement characters."""
+    return data.decode("utf-8", "replace")
+
+
 def replaced(batch: pa.RecordBatch, keep: list[str], **columns) -> pa.RecordBatch:
     """The named columns of a batch, and new ones."""
     return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + list(columns.values()),

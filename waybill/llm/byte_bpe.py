@@ -13,7 +13,7 @@ Decoding joins positions with the vocabulary and aggregates the pieces in their
 
 Ids travel as bytes, little-endian and 32 bits each. Tables given to DuckDB are bounded, so is what a worker remembers.
 
-Defined results: a NULL or empty text has no ids and decodes to no bytes; ids outside the vocabulary decode to nothing;
+Defined results: a NULL or empty text has no ids and decodes to no bytes; bytes that are no UTF-8 count as replacement characters; ids outside the vocabulary decode to nothing;
 NULL ids are none; repeated rows give a row each; an empty table gives no rows; a column named as one of the outputs is
 replaced by it.
 """
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waybill.llm.arrow import kept, replaced, texts
+from waybill.llm.arrow import as_text, kept, replaced, texts
+from waybill.llm.frames import named, unpacked, whole
 
 BYTES_AT_ONCE = 1_000_000
 #: Matches remembered by a worker before it starts anew.
@@ -227,15 +228,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(Encoder, ranks, pattern)
-        for batch, rows in texts(batches, BYTES_AT_ONCE, text):
-            found = encoder.encode([r.decode() for r in rows])
-            yield replaced(batch, keep, **{n_tokens: pa.array([len(i) // 4 for i in found], pa.int64()),
-                                           ids: pa.array(found, pa.binary())})
+        for batch, rows in texts(batches, BYTES_AT_ONCE):
+            found = encoder.encode([as_text(r) for r in rows])
+            yield replaced(batch, ["row"], n_tokens=pa.array([len(i) // 4 for i in found], pa.int64()), ids=pa.array(found, pa.binary()))
 
-    rows = docs.select(*keep, text)
-    schema = T.StructType([f for f in rows.schema if f.name != text]
-                          + [T.StructField(n_tokens, T.LongType()), T.StructField(ids, T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(whole(keep), named(text).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    found = rows.mapInArrow(run, schema)
+    return found.select(*unpacked(keep), found["n_tokens"].alias(n_tokens), found["ids"].alias(ids))
 
 
 def decode(tokens: DataFrame, ranks: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -244,12 +244,13 @@ def decode(tokens: DataFrame, ranks: str, ids: str = "ids", decoded: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = kept(Decoder, ranks)
-        for batch, rows in texts(batches, BYTES_AT_ONCE, ids):
-            yield replaced(batch, keep, **{decoded: pa.array(decoder.decode(rows), pa.binary())})
+        for batch, rows in texts(batches, BYTES_AT_ONCE, "ids"):
+            yield replaced(batch, ["row"], decoded=pa.array(decoder.decode(rows), pa.binary()))
 
-    rows = tokens.select(*keep, ids)
-    schema = T.StructType([f for f in rows.schema if f.name != ids] + [T.StructField(decoded, T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+    rows = tokens.select(whole(keep), named(ids).alias("ids"))
+    schema = T.StructType([rows.schema["row"], T.StructField("decoded", T.BinaryType())])
+    found = rows.mapInArrow(run, schema)
+    return found.select(*unpacked(keep), found["decoded"].alias(decoded))
 
 
 def _both(ranks: str, pattern: str) -> tuple[Encoder, Decoder]:
@@ -264,11 +265,11 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = kept(_both, ranks, pattern)
         for batch, rows in texts(batches, BYTES_AT_ONCE):
-            ids = encoder.encode([r.decode() for r in rows])
+            ids = encoder.encode([as_text(r) for r in rows])
             yield replaced(batch, ["key"], n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()),
                            ids=pa.array(ids, pa.binary()), decoded=pa.array(decoder.decode(ids), pa.binary()))
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(named(key).alias("key"), named(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     both = rows.mapInArrow(run, f"key {kind}, n_tokens bigint, ids binary, decoded binary")
     return both.select(F.col("key").alias(key), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.arrow import kept, texts
+from waybill.llm.arrow import as_text, kept, texts
 from waybill.llm.chat import positions
 from waybill.llm.frames import checkpointed
 
@@ -92,7 +92,7 @@ class WordTokenizer:
             new = list(set().union(*split))
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast([as_text(w) for w in part], add_special_tokens=False)
             known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, encoded))
         return [b"".join([known[w] for w in words]) for words in split]
 
@@ -168,30 +168,35 @@ class Index:
     """One index file, read whole; its size is bounded by ``KEYS_PER_INDEX``."""
 
     def __init__(self, data: bytes):
-        n, buckets, _ = np.frombuffer(data, "<u8", 3)
-        self.n, at, n = int(n), 24, int(n)
-        self.buckets = int(buckets)
-        self.displacement = np.frombuffer(data, "<u4", self.buckets, at)
-        at += 4 * self.buckets
-        self.fingerprint = np.frombuffer(data, "<u8", n, at)
-        self.shard = np.frombuffer(data, "<u4", n, at + 8 * n)
-        self.length = np.frombuffer(data, "<u8", n, at + 12 * n)
-        self.offset = np.frombuffer(data, "<u8", n, at + 20 * n)
+        n, buckets, _, more = map(int, np.frombuffer(data, "<u8", 4))
+        self.n, self.buckets, every, at = n, buckets, n + more, 32
+        self.displacement = np.frombuffer(data, "<u4", buckets, at)
+        at += 4 * buckets
+        self.fingerprint = np.frombuffer(data, "<u8", every, at)
+        self.shard = np.frombuffer(data, "<u4", every, at + 8 * every)
+        self.length = np.frombuffer(data, "<u8", every, at + 12 * every)
+        self.offset = np.frombuffer(data, "<u8", every, at + 20 * every)
+        self.repeated = np.frombuffer(data, "<u8", more, at + 28 * every)
 
     @staticmethod
     def build(h: np.ndarray, fingerprint: np.ndarray, shard, length, offset) -> list[bytes]:
-        displacement = perfect_hash(h)
-        slot = slots(h, displacement, len(h))
-        back = np.empty(len(h), np.int64)
-        back[slot] = np.arange(len(h))
-        head = np.array([len(h), len(displacement), len(np.unique(shard))], "<u8")
+        """Of keys whose hashes are equal the first has a slot; the others follow the slots, with their hashes."""
+        first = np.unique(h, return_index=True)[1]
+        rest = np.setdiff1d(np.arange(len(h)), first)
+        displacement = perfect_hash(h[first])
+        back = np.empty(len(first), np.int64)
+        back[slots(h[first], displacement, len(first))] = first
+        back = np.append(back, rest)
+        head = np.array([len(first), len(displacement), len(np.unique(shard)), len(rest)], "<u8")
         return [head.tobytes(), displacement.astype("<u4").tobytes(), fingerprint[back].astype("<u8").tobytes(),
                 shard[back].astype("<u4").tobytes(), length[back].astype("<u8").tobytes(),
-                offset[back].astype("<u8").tobytes()]
+                offset[back].astype("<u8").tobytes(), h[rest].astype("<u8").tobytes()]
 
     def find(self, h: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots of keys, and whether each is there."""
         slot = slots(h, self.displacement, self.n)
+        for k, repeated in enumerate(self.repeated, self.n):
+            slot = np.where((h == repeated) & (fingerprint == self.fingerprint[k]), k, slot)
         return slot, self.fingerprint[slot] == fingerprint
 
 

@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from waybill.llm.arrow import as_text
+
 SPACE = "▁"
 _START = -1  # no token before: nothing joins over this place
 _SHIFT, _BIAS = 64, 32
@@ -243,7 +245,7 @@ class Transducer:
             self.vocabulary.forget()
             self._reset()
         # The library puts a space before every text but the empty one; a space is ``SPACE``.
-        decoded = [SPACE + r.decode() if r else "" for r in rows]
+        decoded = [SPACE + as_text(r) if r else "" for r in rows]
         lengths = np.array([len(d) for d in decoded], np.int64)
         codes = np.frombuffer("".join(decoded).encode("utf-32-le"), np.uint32)
         codes = np.where(codes == 32, ord(SPACE), codes)
