@@ -75,17 +75,23 @@ m as (
   select t.conv_id, speaker, place // 64 as page, place, role = speaker as own, text,
          case when role = speaker then '<|assistant|>' when role = 'system' then '<|system|>'
               else '<|user name=' || role || '|>' end || chr(10) as head
-  from t join speakers s on t.conv_id is not distinct from s.conv_id)
+  from t join speakers s on t.conv_id is not distinct from s.conv_id),
+spans as (
+  select *, head || text || '<|end|>' || chr(10) as line, coalesce(sum(length(head || text) + 8) over (
+           partition by conv_id, speaker, page order by place rows between unbounded preceding and 1 preceding), 0)
+         + length(head) as start from m)
 select conv_id, speaker, page, count(*) as n_turns, count(*) filter (own) as n_target_turns,
-       string_agg(head || text || '<|end|>' || chr(10), '' order by place) as text
-from m group by conv_id, speaker, page
+       string_agg(line, '' order by place) as text,
+       coalesce(string_agg(start::bigint || '-' || (start + length(text))::bigint, ',' order by place) filter (own), '') as mask
+from spans group by conv_id, speaker, page
 """
 
 
 @query("op4_perspectives", _OP4)
 def op4_perspectives(spark, folder):
     pages = chat.rotate_perspectives(read(spark, folder, "conversations"), page_turns=64)
-    return pages.select("conv_id", "speaker", "page", "n_turns", "n_target_turns", "text")
+    spans = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["stop"].cast("string")))
+    return pages.select("conv_id", "speaker", "page", "n_turns", "n_target_turns", "text", F.array_join(spans, ",").alias("mask"))
 
 
 @query("op5_hidden_markov")
