@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.frames import checkpointed, uniform, word_count
+from waybill.llm.frames import checkpointed, named, uniform, unpacked, whole, word_count
 
 #: Units that meet in one group of the tree, on average.
 GROUP = 96
@@ -104,10 +104,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     ``copies`` is how often the document goes into the mix, at most ``most``; ``taken`` the words this
     makes. Rows equal in ``identity``, source and size are told apart by a running number.
     """
-    ids = [F.col(c).alias(f"_id{i}") for i, c in enumerate(identity)]
+    ids = [named(c).alias(f"_id{i}") for i, c in enumerate(identity)]
     names = [f"_id{i}" for i in range(len(identity))]
-    sized = docs.select(*ids, F.col(source).cast("string").alias("source"),
-                        word_count(F.col(text)).alias("size"))
+    sized = docs.select(*ids, named(source).cast("string").alias("source"),
+                        word_count(named(text)).alias("size"))
     # One narrow row per distinct unit: the only pass over the texts.
     units = checkpointed(sized.groupBy(*names, "source", "size").agg(F.count("*").alias("_times")))
     sizes = units.groupBy("source").agg(
@@ -170,16 +170,17 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", *
     Rows are told apart by two hashes of all their columns; rows equal in all are one unit with as many copies
     as the rows have together.
     """
-    hashes = {"_h0": F.xxhash64(*docs.columns), "_h1": F.xxhash64(F.lit(1), *docs.columns)}
-    keyed = docs.withColumns(hashes)
-    mixed = (mix_sources(keyed, identity=("_h0", "_h1"), text=text, source=source, **how)
+    columns = docs.columns
+    rows = docs.select(whole(columns), named(text).alias("text"), named(source).alias("source"))
+    keyed = rows.withColumns({"_h0": F.xxhash64("row"), "_h1": F.xxhash64(F.lit(1), "row")})
+    mixed = (mix_sources(keyed, identity=("_h0", "_h1"), **how)
              .where("copies > 0").groupBy("_h0", "_h1").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
              .withColumnsRenamed({"_h0": "_m0", "_h1": "_m1"}))
-    taken = keyed.join(mixed, (F.col("_h0") == F.col("_m0")) & (F.col("_h1") == F.col("_m1")))
+    taken = keyed.drop("text", "source").join(mixed, (F.col("_h0") == F.col("_m0")) & (F.col("_h1") == F.col("_m1")))
     # Equal rows were counted together, also those that were not taken.
-    often = docs.select(*[c.alias(n) for n, c in hashes.items()]).groupBy("_h0", "_h1").count().where("count > 1")
+    often = keyed.groupBy("_h0", "_h1").count().where("count > 1")
     repeated = taken.join(often.select("_h0", "_h1"), ["_h0", "_h1"], "left_semi").dropDuplicates(["_h0", "_h1"])
     single = taken.join(often.select("_h0", "_h1"), ["_h0", "_h1"], "left_anti")
-    return (single.select(*docs.columns, "_copies").unionByName(repeated.select(*docs.columns, "_copies"))
+    return (single.select("row", "_copies").unionByName(repeated.select("row", "_copies"))
             .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-            .select(*docs.columns))
+            .select(*unpacked(columns)))
