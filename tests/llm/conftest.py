@@ -10,12 +10,17 @@ ODD = [
 ]
 
 
+CLASHING = ["_digest", "_node", "_key", "_rows", "_h0", "_copy", "_m0", "_copies", "_kept", "_g0", "_evenness0", "row", "found",
+            "kept", "node", "key", "a.b", "with space"]
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
-    """The columns of documents and some with clashing names."""
-    rows = [(*r, "clash", 7) for r in ODD]
+    """The columns of documents and some with names that operators use themselves, or that need quotes."""
+    rows = [(*r, "clash", 7, *range(len(CLASHING))) for r in ODD]
     return spark.createDataFrame(
-        rows, "doc_id long, text string, lang string, source string, n_chars long, size string, n_tokens int")
+        rows, "doc_id long, text string, lang string, source string, n_chars long, size string, n_tokens int, "
+        + ", ".join(f"`{name}` long" for name in CLASHING))
 
 
 @pytest.fixture(scope="session")

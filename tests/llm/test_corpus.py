@@ -57,6 +57,14 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(vectors.limit(0), F.col("id") % 50 == 0, 3).count() == 0
 
 
+def test_top_k_of_repeated_query_rows(spark):
+    """Tiles of queries with one content are tiles of their own: each repeated row has its whole list."""
+    rows = [(0, [1.0, 0.5])] * 3072 + [(k, [k / 64, 0.0]) for k in range(1, 20)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, 5)
+    lists = collections.Counter((r["rank"], r.vec_id) for r in found.collect())
+    assert lists == {(rank, 20 - rank): 3072 for rank in range(1, 6)}
+
+
 def test_quality_counts(documents, odd, none):
     for docs in (documents, odd):
         found = fertility.judge_quality(docs, MODEL).select(*fertility.MEASURES, "base_failed", "kept").collect()
@@ -283,6 +291,19 @@ def test_mixing(spark, odd, none, documents):
     assert mixed.count() == mixing.mix_sources(odd).agg(F.sum("copies")).first()[0]
 
 
+def test_stages_pass_all_columns_as_they_are(spark, odd):
+    """Names that operators use themselves, and names that need quotes, come through with their values."""
+    odd = odd.union(odd.where("doc_id = 1").withColumn("text", F.lit("one two three four five six seven eight nine ten eleven")))
+    rows = {tuple(r) for r in odd.collect()}
+    wide = {name: fertility.Band((0.0, 99.0), 1.0, 0.0) for name in fertility.BANDS}
+    for stage in (lambda d: fertility.filter_quality(d, MODEL, wide), near_copies.drop_near_copies, mixing.mix_documents):
+        found = stage(odd)
+        assert found.columns == odd.columns and [f.dataType for f in found.schema] == [f.dataType for f in odd.schema]
+        out = [tuple(r) for r in found.collect()]
+        assert out and set(out) <= rows
+    assert {r[0] for r in map(tuple, near_copies.drop_near_copies(odd).collect())} >= {1, 2, 5, 6, 7, 8, 9}
+
+
 def test_pipeline(spark, folder, documents):
     kept = corpus_pipeline.quality(spark, documents, folder)
     assert {r.doc_id for r in kept.collect()} == {

@@ -10,8 +10,9 @@ Every word is looked up in the pieces of a vocabulary (a sentencepiece model wit
 A text passes if it fails neither of two rules. Limits per script (the one that holds most of its characters) are parameters and
 wide. Bands come from the documents themselves: all that pass the plain rules, exact copies once, give the quartiles of each
 measure per language and length (doublings of the number of tokens, as short texts are even by chance), per language, and per
-script; a text is held against the first of these groups with ``LEAST_DOCS`` documents and any spread. In quartile
-distances (Tukey's fences) it is not kept
+script. A text is held against those of the first of these groups, each drawn towards the next wider one with the weight of ``LEAN``
+documents, so that a small group leans on its language and a small language on its script. In quartile distances (Tukey's
+fences) it is not kept
 
 * if its evenness lies more than ``FENCE`` below the lower quartile, or
 * if evenness lies more than half of that below, and another measure more than ``FENCE`` outside of its quartiles as well. Names,
@@ -38,8 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from waybill.llm.arrow import kept, replaced, texts
-from waybill.llm.frames import checkpointed
+from waybill.llm.arrow import as_text, kept, replaced, texts
+from waybill.llm.frames import checkpointed, kept_at, named, unpacked, whole
 from waybill.session import fresh_folder
 
 BYTES_AT_ONCE = 2_000_000
@@ -47,8 +48,8 @@ REMEMBERED = 300_000
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 FULL = 512
-#: Quartile distances beyond which a measure stands out; documents that make a group; groups at most, the largest first.
-FENCE, LEAST_DOCS, MOST_GROUPS = 1.5, 100, 10_000
+#: Quartile distances beyond which a measure stands out; so many documents weigh the quartiles of the next wider group.
+FENCE, LEAN = 1.5, 25
 GRID = 4096
 
 
@@ -104,7 +105,7 @@ class Words:
             self.clear()
             new = list(set(words))
         if new:
-            decoded = [w.decode() for w in new]
+            decoded = [as_text(w) for w in new]
             ids = self.model.encode(decoded, num_threads=1)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.chars.append(np.fromiter(map(len, decoded), np.int64, len(new)))
@@ -218,38 +219,43 @@ def quartiles(measured: DataFrame, lang: Column, found: str) -> DataFrame:
     return (once.select(F.explode("groups").alias("group"), "evenness", *_OTHERS).where("group is not null")
             .groupBy("group").agg(F.count("*").alias("n"), *[
                 F.percentile(F.round(F.col(c) * GRID).cast("bigint"), F.array(F.lit(0.25), F.lit(0.75))).alias(c)
-                for c in ("evenness", *_OTHERS)])
-            .where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "group").limit(MOST_GROUPS))
+                for c in ("evenness", *_OTHERS)]))
 
 
 def _with_verdicts(measured: DataFrame, lang: Column, found: str) -> DataFrame:
-    """Add ``_kept``. The quartiles are at most ``MOST_GROUPS`` rows, so they are broadcast."""
-    bands = checkpointed(quartiles(measured, lang, found))
+    """Add ``kept``. The quartiles are written, so that Spark knows their size when it joins them."""
+    bands = kept_at(quartiles(measured, lang, found), fresh_folder(measured.sparkSession, "bands"))
     out, columns = measured, measured.columns
     for k, name in enumerate(_groups(lang, found)):
-        band = F.broadcast(bands.select(F.col("group").alias(f"_g{k}"), *[
-            F.when(F.col(c)[1] > F.col(c)[0], F.col(c)).alias(f"_{c}{k}") for c in ("evenness", *_OTHERS)]))
-        out = out.join(band, name == F.col(f"_g{k}"), "left")
+        band = bands.select(F.col("group").alias(f"g{k}"), F.struct("n", "evenness", *_OTHERS).alias(f"band{k}"))
+        out = out.join(band, name == F.col(f"g{k}"), "left")
+
+    def limit(measure: str, side: int) -> Column:
+        """The quartile, from the widest group to the narrowest."""
+        value = None
+        for k in (2, 1, 0):
+            n, own = F.coalesce(F.col(f"band{k}.n"), F.lit(0)), F.col(f"band{k}.{measure}")[side]
+            value = own if value is None else F.coalesce((n * own + LEAN * value) / (n + LEAN), value)
+        return value
 
     def beyond(measure: str, upper: bool) -> Column:
-        band, value = F.coalesce(*[F.col(f"_{measure}{k}") for k in range(3)]), F.col(f"{found}.{measure}") * GRID
-        far = F.greatest(band[0] - value, value - band[1]) if upper else band[0] - value
-        return F.coalesce(far / (band[1] - band[0]), F.lit(0.0))
+        low, high, value = limit(measure, 0), limit(measure, 1), F.col(f"{found}.{measure}") * GRID
+        far = F.greatest(low - value, value - high) if upper else low - value
+        return F.coalesce(F.when(high > low, far / (high - low)), F.lit(0.0))
 
     low, other = beyond("evenness", False), F.greatest(*[beyond(c, True) for c in _OTHERS])
     outside = (low > FENCE) | ((low > FENCE / 2) & (other > FENCE))
-    return out.select(*[F.col(f"`{c}`") for c in columns], (
-        F.col(f"{found}.within") & ~F.col(f"{found}.base_failed") & ~outside).alias("_kept"))
+    return out.select(*columns, (F.col(f"{found}.within") & ~F.col(f"{found}.base_failed") & ~outside).alias("kept"))
 
 
 def _lang(docs: DataFrame, lang: str) -> Column:
-    return (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string")
+    return (named(lang) if lang in docs.columns else F.lit(None)).cast("string")
 
 
 def judge_quality(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS, key: str = "doc_id",
                   text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: the key, the counts, ``base_failed``, the measures and ``kept``."""
-    rows = docs.select(F.col(key).alias("key"), _lang(docs, lang).alias("lang"), F.col(text).alias("text"))
+    rows = docs.select(named(key).alias("key"), _lang(docs, lang).alias("lang"), named(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in texts(batches, BYTES_AT_ONCE):
@@ -259,7 +265,7 @@ def judge_quality(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS, k
     kind = rows.schema["key"].dataType.simpleString()
     measured = checkpointed(rows.mapInArrow(run, f"key {kind}, lang string, found struct<{_FOUND}>"))
     return _with_verdicts(measured, F.col("lang"), "found").select(
-        F.col("key").alias(key), *[f"found.{c}" for c in _COLUMNS if c != "within"], F.col("_kept").alias("kept"))
+        F.col("key").alias(key), *[f"found.{c}" for c in _COLUMNS if c != "within"], "kept")
 
 
 def _struct(found: dict[str, np.ndarray]) -> pa.StructArray:
@@ -270,17 +276,16 @@ def filter_quality(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS,
                    lang: str = "lang") -> DataFrame:
     """The documents that are kept, with all their columns. Those that pass the plain rules are written once with their
     measures, as the bands are known only then."""
-    found, columns = "_found", docs.columns
-    while found in columns:
-        found += "_"
+    columns = docs.columns
+    rows = docs.select(whole(columns), _lang(docs, lang).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, some in texts(batches, BYTES_AT_ONCE, text):
+        for batch, some in texts(batches, BYTES_AT_ONCE, text, "row"):
             measures = measure(some, kept(Words, model), bands)
-            yield replaced(batch, columns, **{found: _struct(measures)}).filter(pa.array(~measures["base_failed"]))
+            yield replaced(batch, ["row", "lang"], found=_struct(measures)).filter(pa.array(~measures["base_failed"]))
 
+    schema = StructType([*rows.schema.fields, StructField("found", DataType.fromDDL(f"struct<{_FOUND}>"))])
     folder = fresh_folder(docs.sparkSession, "measured")
-    schema = StructType([*docs.schema.fields, StructField(found, DataType.fromDDL(f"struct<{_FOUND}>"))])
-    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
     measured = docs.sparkSession.read.parquet(folder)
-    return _with_verdicts(measured, _lang(docs, lang), found).where("_kept").drop("_kept", found)
+    return _with_verdicts(measured, F.col("lang"), "found").where("kept").select(*unpacked(columns))
