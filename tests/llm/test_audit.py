@@ -212,12 +212,10 @@ def near_texts():
     return rows + [(10, ""), (11, None), (12, "\n "), (None, ""), (None, "alone and without any key"), (13, "a b"), (13, "a b"), (14, "b a")]
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 5])
-def test_simhash_as_brute_force(spark, monkeypatch, tile):
-    if tile < 10:
-        monkeypatch.setattr(simhash, "kept_blocks", lambda n: 2)
+@pytest.mark.parametrize("kept,tile", [(simhash.KEPT, simhash.TILE), (1, 5)])
+def test_simhash_as_brute_force(spark, kept, tile):
     docs = spark.createDataFrame([(*r, 1, "x") for r in near_texts()], "doc_id long, text string, node int, component_id string")
-    found = simhash.near_copies(docs, tile=tile)
+    found = simhash.near_copies(docs, kept=kept, tile=tile)
     assert found.columns == ["doc_id", "fingerprint", "component_id"]
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in found.collect()) == brute_components(
         [(k, brute_fingerprint(t)) for k, t in near_texts()])
@@ -268,4 +266,3 @@ def test_near_fingerprints_share_a_bucket(kept):
     for _ in range(200):
         flip = sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
         assert any(flip & m & (2 ** 64 - 1) == 0 for m in masks)
-    assert simhash.kept_blocks(10) == 1 and simhash.kept_blocks(10 ** 12) == 4

@@ -3,9 +3,8 @@
 1. Every text has a 64-bit fingerprint: bit i is set where it is in more than half of the hashes of its word shingles, repeats
    counted. Equal fingerprints are one node from here on.
 2. Nodes within ``MOST`` differing bits are linked. The 64 bits are dealt into blocks, ``MOST`` more than are kept: two such nodes
-   agree in all bits of some set of kept blocks, whichever bits differ. So nodes meet in buckets, one for each set, by their bits there. The
-   number of kept blocks follows the number of nodes, so that a bucket of unlike nodes stays small at any size; it changes the work,
-   not the links.
+   agree in all bits of some set of kept blocks, whichever bits differ. So nodes meet in buckets, one for each set, by their bits there;
+   ``KEPT`` of them keep a bucket of unlike nodes small. It changes the work, not the links.
 3. In a bucket the nodes stand in the order of their distance to the first of ``PIVOTS`` reference fingerprints. A node meets the ones
    behind it until that distance has grown by more than ``MOST``; of these pairs all are discarded whose distances to any other
    pivot differ by more, as by the triangle inequality they can't be that near; for the rest the bits are counted. Only links
@@ -38,6 +37,8 @@ WORDS, SEED = 4, 42
 MOST = 4
 BITS = 64
 PIVOTS = 16
+#: Blocks kept of ``MOST`` more: 1 to 4 make 5, 15, 35 or 70 buckets a node by 13, 21, 27 or 32 bits. 2 suits up to some 10^9 nodes.
+KEPT = 2
 TILE = 5_000
 #: Nodes of a group up to which groups are compared side by side.
 SMALL = 200
@@ -204,11 +205,6 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(kept)
 
 
-def kept_blocks(nodes: int) -> int:
-    """So many blocks are kept that some 2^5 unlike nodes share a bucket: 1 to 4, of 4 more."""
-    return next((k for k in range(1, 4) if BITS * k / (k + MOST) >= np.log2(max(nodes, 1)) - 5), 4)
-
-
 def masks(kept: int) -> list[int]:
     """The bits of each set of ``kept`` blocks out of ``kept + MOST``, as signed numbers."""
     edges = [BITS * k // (kept + MOST) for k in range(kept + MOST + 1)]
@@ -229,13 +225,10 @@ def _buckets(nodes: DataFrame, kept: int, tile: int) -> DataFrame:
                      for i, m in enumerate(masks(kept))])
     rows = nodes.select("node", F.inline(sets)).select(
         "node", F.xxhash64("set", "value").alias("bucket"), _bits(F.col("node")).alias("far"))
-    # By bucket and first distance, combined before the shuffle: a bucket has at most 65 rows here.
-    sizes = rows.groupBy("bucket", "far").agg(F.count("*").alias("n"))
-    large = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("far", "n"))).alias("stretches")).where(
-        F.col("total") > tile)
+    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("bucket")
     # Tiles of a large bucket: each distance by itself, cut by hash where it has more nodes than a tile takes.
-    tiles = large.select("bucket", F.inline("stretches")).select(
-        "bucket", "far", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    tiles = rows.join(large, "bucket", "left_semi").groupBy("bucket", "far").agg(
+        F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     others = tiles.select("bucket", F.col("far").alias("other"), F.col("parts").alias("other_parts"))
     near = tiles.join(others, "bucket").where(F.abs(F.col("far") - F.col("other")) <= MOST).select(
         "bucket", "far", "parts", "other", "other_parts")
@@ -252,20 +245,23 @@ def _buckets(nodes: DataFrame, kept: int, tile: int) -> DataFrame:
     return dealt.select(F.when(F.col("pair").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "pair")).alias("bucket"), "far", "node")
 
 
-def links(nodes: DataFrame, count: int, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, kept: int = KEPT, tile: int = TILE) -> DataFrame:
     """Links (a, b) that connect all ``nodes`` (column node) within ``MOST`` bits."""
-    rows = _buckets(nodes, kept_blocks(count), tile)
+    rows = _buckets(nodes, kept, tile)
     return (rows.repartition("bucket").sortWithinPartitions("bucket", "far").select("bucket", "node")
             .mapInArrow(_link, "a bigint, b bigint"))
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """One row per document: key, fingerprint (16 hex digits), component_id (smallest key of the component)."""
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: int = KEPT, tile: int = TILE) -> DataFrame:
+    """One row per document: key, fingerprint (16 hex digits), component_id (smallest key of the component).
+
+    ``kept`` and ``tile`` set how the work is dealt out; the result is the same for all.
+    """
     rows = docs.select(named(key).alias("key"), named(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     prints = checkpointed(rows.mapInArrow(_print, f"key {kind}, node bigint"))
     nodes = checkpointed(prints.groupBy("node").agg(F.min("key").alias("least")))
-    roots = components(checkpointed(links(nodes.select("node"), nodes.count(), tile).distinct()))
+    roots = components(checkpointed(links(nodes.select("node"), kept, tile).distinct()))
     # Nodes without a link are components by themselves.
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
