@@ -96,6 +96,29 @@ def test_unique_violations_tell_keys_apart(spark):
     assert empty["violations"] == 0
 
 
+def test_equal_hashes_of_different_keys_are_told_apart(spark, monkeypatch):
+    """All keys fall on one of two hashes: values decide."""
+    rows = spark.createDataFrame([(k, f"v{k % 7}") for k in range(40)] + [(3, "x")], "id bigint, v string")
+    plain = F.xxhash64
+    monkeypatch.setattr(Q.F, "xxhash64", lambda *columns: plain(*columns) % 2)
+    for most in (Q.MOST_BROADCAST, 0):
+        monkeypatch.setattr(Q, "MOST_BROADCAST", most)
+        found = {r["rule"]: r["violations"] for r in Q.unique_violations({"t": rows}, {"t": [["id"], ["v"], ["id", "v"]]}).collect()}
+        assert found == {"id_unique": 1, "v_unique": 33, "id_v_unique": 0}
+
+
+def test_integrity_report_reads_each_entity_once(spark, folder, tmp_path, monkeypatch):
+    """The first pass has one scan of each table; after it only parents' ids are read, and tables with repeated hashes."""
+    plans = []
+    monkeypatch.setattr(Q, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    stored = {}
+    for name, df in tables(spark).items():
+        df.write.parquet(str(tmp_path / name))
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    Q.integrity_report(stored)
+    assert len(plans) == 1 and plans[0].count("FileScan parquet") == len(stored)
+
+
 def test_unique_violations_scan_a_table_once(spark, folder):
     table = spark.read.parquet(f"{folder}/lineitem.parquet")
     report = Q.unique_violations({"lineitem": table}, {"lineitem": [["l_orderkey", "l_linenumber"], ["l_partkey"]]})

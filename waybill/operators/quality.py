@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from waybill import fixed
 from waybill.functions.expressions import phone_valid
 from waybill.schemas import required_columns
+from waybill.session import checkpointed
 
 BROKEN = "broken_rules"
 _REPORT = ["table_name", "rule", "violations"]
@@ -192,25 +193,90 @@ def duplicate_keys(df: DataFrame, keys: list[str], where: Column | None = None)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")
 
 
+# --- what the rows of a table offer to the checks, from one scan ---------------------------------
+
+_BROKEN, _KEY, _REFERENCE = 0, 1, 2
+#: Repeated hashes up to which they are broadcast, at 12 bytes each; beyond, Spark joins as it sees fit.
+MOST_BROADCAST = 1_000_000
+
+
+def _known_all(columns: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+
+
+def _offer(condition: Column, kind: int, ref: int, hashed: Column | None = None, value: Column | None = None) -> Column:
+    return F.when(condition, F.struct(
+        F.lit(kind).alias("kind"), F.lit(ref).alias("ref"), (F.lit(0).cast("bigint") if hashed is None else hashed).alias("hash"),
+        (F.lit(None) if value is None else value).cast("string").alias("value")))
+
+
+def _counted(tables: Mapping[str, DataFrame], offers: Mapping[str, list[Column]]) -> DataFrame:
+    """Rows (kind, ref, hash, value, n): each table is scanned once and its rows' offers meet in one aggregation, combined before
+    the shuffle; hashes of keys that occur once end there. Counted as rows and not as observed metrics, which a stage that runs
+    again would count twice."""
+    found = [tables[t].select(F.inline(F.array_compact(F.array(*own)))) for t, own in offers.items() if own]
+    if not found:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "kind int, ref int, hash bigint, value string, n bigint")
+    counts = _union(found).groupBy("kind", "ref", "hash", "value").agg(F.count(F.lit(1)).alias("n"))
+    return checkpointed(counts.where((F.col("kind") != _KEY) | (F.col("n") > 1)))
+
+
+def _declared_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, list[list[str]]]) -> list[tuple[str, list[str]]]:
+    return [(table, key) for table, df in tables.items() for key in keys.get(table, []) if set(key) <= set(df.columns)]
+
+
+def _key_offers(table: str, declared: list[tuple[str, list[str]]], first: int = 0) -> list[Column]:
+    return [_offer(_known_all(key), _KEY, first + i, F.xxhash64(*key)) for i, (owner, key) in enumerate(declared) if owner == table]
+
+
+def _reference_offers(table: str, references: list[tuple[str, str, str, bool]], first: int = 0) -> list[Column]:
+    return [_offer(F.col(column).isNotNull(), _REFERENCE, first + i, value=F.col(column))
+            for i, (owner, column, _, _) in enumerate(references) if owner == table]
+
+
+def _surplus(counted: DataFrame, tables: Mapping[str, DataFrame], declared: list[tuple[str, list[str]]], first: int = 0) -> DataFrame:
+    """Surplus rows (ref, n) of keys: only values whose hash occurs more than once are looked at, and compared by value. Tables
+    without such hashes are not read again."""
+    repeated = counted.where(F.col("kind") == _KEY).select("ref", "hash")
+    sizes = {r["ref"]: r["count"] for r in repeated.groupBy("ref").count().collect()}
+    if not sizes:
+        return repeated.select("ref", F.lit(0).cast("bigint").alias("n"))
+    if sum(sizes.values()) <= MOST_BROADCAST:
+        repeated = F.broadcast(repeated)
+    values = []
+    for table in dict.fromkeys(owner for owner, _ in declared):
+        own = [(first + i, key) for i, (owner, key) in enumerate(declared) if owner == table and first + i in sizes]
+        if own:
+            offers = [F.when(_known_all(key), F.struct(F.lit(ref).alias("ref"), F.xxhash64(*key).alias("hash"), F.array(
+                *[F.col(k).cast("string") for k in key]).alias("value"))) for ref, key in own]
+            values.append(tables[table].select(F.inline(F.array_compact(F.array(*offers)))))
+    return (_union(values).join(repeated, ["ref", "hash"], "left_semi").groupBy("ref", "value")
+            .agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("ref").agg(F.sum("n").alias("n")))
+
+
+def _orphans(counted: DataFrame, tables: Mapping[str, DataFrame], references: list[tuple[str, str, str, bool]],
+             first: int = 0) -> DataFrame:
+    """Rows (ref, n) of references without a parent: the distinct values of all references to one parent meet its ids."""
+    found = []
+    for parent in dict.fromkeys(fk[2] for fk in references):
+        own = [first + i for i, fk in enumerate(references) if fk[2] == parent]
+        values = counted.where((F.col("kind") == _REFERENCE) & F.col("ref").isin(own)).select("ref", "value", "n")
+        found.append(values.join(tables[parent].select(F.col("id").cast("string").alias("value")), "value", "left_anti")
+                     .select("ref", "n"))
+    if not found:
+        return counted.select("ref", "n").where("false")
+    return _union(found).groupBy("ref").agg(F.sum("n").alias("n"))
+
+
 def unique_violations(tables: Mapping[str, DataFrame],
                       keys: Mapping[str, list[list[str]]] = fixed.UNIQUE_KEYS) -> DataFrame:
     """Surplus rows per declared key: those beyond the first of each key.
 
-    Each table is scanned once: a row offers the values of all its keys, compared as text, to one aggregation.
+    Keys are counted by 64-bit hashes of their typed values; only those whose hash repeats are compared by value.
     """
-    declared = [(table, key) for table, df in tables.items() for key in keys.get(table, [])
-                if set(key) <= set(df.columns)]
-    values = []
-    for table in dict.fromkeys(owner for owner, _ in declared):
-        own = [(i, key) for i, (owner, key) in enumerate(declared) if owner == table]
-        offers = [F.struct(F.lit(i).alias("ref"), F.when(
-            reduce(Column.__and__, [F.col(k).isNotNull() for k in key]),
-            F.array(*[F.col(k).cast("string") for k in key])).alias("value")) for i, key in own]
-        values.append(tables[table].select(F.explode(F.array(*offers)).alias("p")).select("p.*")
-                      .where("value is not null"))
-    surplus = (_union(values).groupBy("ref", "value").agg((F.count(F.lit(1)) - 1).alias("n"))
-               .groupBy("ref").agg(F.sum("n").alias("n")))
-    return _per_rule(surplus, [(table, "_".join(key) + "_unique") for table, key in declared])
+    declared = _declared_keys(tables, keys)
+    counted = _counted(tables, {t: _key_offers(t, declared) for t in tables})
+    return _per_rule(_surplus(counted, tables, declared), [(table, "_".join(key) + "_unique") for table, key in declared])
 
 
 def _per_rule(counts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -231,25 +297,13 @@ def _usable(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str, bool]]
 def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per reference whose parent is missing, for every declared reference at hand.
 
-    Each child table is scanned once; its references are reduced to distinct values with counts
-    before they meet the parents, so a value many rows share costs one row.
+    Each child table is scanned once; its references are reduced to distinct values with counts, so a value many rows share
+    costs one row. Each parent is joined by itself, so a small one is broadcast by Spark whatever the size of the others.
     """
     references = _usable(tables)
-    values = []
-    for child in dict.fromkeys(fk[0] for fk in references):
-        own = [fk for fk in references if fk[0] == child]
-        pairs = [F.struct(F.lit(i).alias("ref"), F.lit(parent).alias("parent"),
-                          F.col(column).cast("string").alias("value"))
-                 for i, (owner, column, parent, _) in enumerate(references) if owner == child]
-        values.append(tables[child].select(*[fk[1] for fk in own])
-                      .select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-                      .where("value is not null")
-                      .groupBy("ref", "parent", "value").agg(F.count(F.lit(1)).alias("n")))
-    parents = [tables[p].select(F.lit(p).alias("parent"), F.col("id").cast("string").alias("value"))
-               for p in dict.fromkeys(fk[2] for fk in references)]
-    orphans = (_union(values).join(_union(parents), ["parent", "value"], "left_anti")
-               .groupBy("ref").agg(F.sum("n").alias("n")))
-    return _per_rule(orphans, [(child, f"{column}_reference") for child, column, _, _ in references])
+    counted = _counted(tables, {t: _reference_offers(t, references) for t in tables})
+    return _per_rule(_orphans(counted, tables, references),
+                     [(child, f"{column}_reference") for child, column, _, _ in references])
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
@@ -306,10 +360,20 @@ def _without(tables: Mapping[str, DataFrame], table: str, ids: DataFrame) -> dic
 
 
 def integrity_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All declared rules of the given tables: ``table_name, rule, violations``."""
-    per_row = [count_broken(t, df, rules) for t, df in tables.items()
-               if (rules := check_rules(t, df) + not_null_rules(t, df))]
-    return _union([*per_row, unique_violations(tables), fk_orphans(tables)])
+    """All declared rules of the given tables: ``table_name, rule, violations``.
+
+    One scan of each table offers broken rules, hashes of keys and references together.
+    """
+    rules = [(t, rule) for t, df in tables.items() for rule in check_rules(t, df) + not_null_rules(t, df)]
+    declared, references = _declared_keys(tables, fixed.UNIQUE_KEYS), _usable(tables)
+    keys_at, references_at = len(rules), len(rules) + len(declared)
+    offers = {t: [_offer(rule.broken, _BROKEN, i) for i, (owner, rule) in enumerate(rules) if owner == t]
+              + _key_offers(t, declared, keys_at) + _reference_offers(t, references, references_at) for t in tables}
+    counted = _counted(tables, offers)
+    broken = counted.where(F.col("kind") == _BROKEN).select("ref", "n")
+    counts = _union([broken, _surplus(counted, tables, declared, keys_at), _orphans(counted, tables, references, references_at)])
+    return _per_rule(counts, [(t, rule.name) for t, rule in rules] + [(t, "_".join(key) + "_unique") for t, key in declared]
+                     + [(child, f"{column}_reference") for child, column, _, _ in references])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

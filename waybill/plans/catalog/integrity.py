@@ -415,12 +415,12 @@ select 'shipments' part, id from order_shipments where id not in (select id from
 union all select 'shipment_events', id from shipment_events where shipment_id not in (select id from granted)
 union all select 'refused ' || 'process_instances.related_shipment_id', id from refused""", """
 wanted as (select id from order_shipments where status = 'created'),
-refused as (select distinct w.id from wanted w join events e on 7 * e.event_id = w.id where e.event_type = 'purchase'),
+refused as (select distinct w.id from wanted w join events e on 11 * e.event_id = w.id),
 granted as (select id from wanted where id not in (select id from refused))"""))
 def cascade_delete(spark, folder):
     shipments = M.order_shipments(spark, folder)
-    instances = (M.table(spark, folder, "events").where("event_type = 'purchase'")
-                 .select(F.col("event_id").alias("id"), (7 * F.col("event_id")).alias("related_shipment_id")))
+    instances = M.table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), (11 * F.col("event_id")).alias("related_shipment_id"))
     tables = {"shipments": shipments, "shipment_events": M.shipment_events(spark, folder),
               "process_instances": instances}
     left, refused = Q.cascade_delete(tables, "shipments", shipments.where("status = 'created'").select("id"))
