@@ -197,9 +197,11 @@ def patch_hubs(hubs: DataFrame, patches: DataFrame, as_of: Column, key: str = "i
                seq: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Apply hub patches, whose NULL fields change nothing: ``(hubs, rejects, unmatched, empty)``.
 
-    A patch is rejected if it breaks a CHECK of the hubs, or sets a name or code that another hub has, or that an
+    Codes are upper-cased as on create. A patch is rejected if it breaks a CHECK of the hubs, or sets a name or code that another hub has, or that an
     earlier valid patch of another hub sets; so names and codes stay unique.
     """
+    if "code" in patches.columns:
+        patches = patches.withColumn("code", X.upper_code("code"))
     valid, rejects = split(validate(patches, check_rules("hubs", patches)))
     known = valid.join(hubs.select(key), key, "left_semi")
     marked, broken = valid, []
