@@ -1,7 +1,10 @@
 """Streams over several micro-batches end where the batch operators end."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from waybill.functions import expressions as X
 from waybill.operators import changes as C
@@ -11,6 +14,8 @@ from waybill.plans import sample_model as M
 from waybill.session import fresh_folder
 from waybill.sources.documents import PRESENT
 from waybill.streaming import events as E
+from waybill.streaming.buckets import BucketTable, latest
+from waybill.streaming.hub_tree import HubTree
 from waybill.streaming.store import compact_latest, latest_by_key, read_epochs
 
 
@@ -53,7 +58,7 @@ def test_hub_load(spark, folder, sliced):
     events, stream = sliced
     shipments, hubs = M.shipments(spark, folder), M.hubs(spark, folder)
     out = fresh_folder(spark, "test-load")
-    E.stream_hub_load(stream, shipments, hubs, out, f"{out}/checkpoint")
+    E.stream_hub_load(stream, shipments, hubs, out, f"{out}/checkpoint", buckets=4)
     batch = hub_load_fold(hubs, shipments, status_changes(events)).select(
         "id", F.col("new_load").cast("int").alias("current_load"))
     same(E.read_hub_load(spark, out).select("id", "current_load"), batch)
@@ -66,7 +71,7 @@ def test_hub_load_goes_on_after_a_restart(spark, folder):
         part = events.where((F.dayofmonth("event_datetime") > 15).cast("int") == half)
         part.coalesce(1).write.mode("append").parquet(f"{out}/in")
         stream = spark.readStream.schema(events.schema).parquet(f"{out}/in")
-        E.stream_hub_load(stream, shipments, hubs, out, f"{out}/checkpoint")
+        E.stream_hub_load(stream, shipments, hubs, out, f"{out}/checkpoint", buckets=4)
     batch = hub_load_fold(hubs, shipments, status_changes(events)).select(
         "id", F.col("new_load").cast("int").alias("current_load"))
     same(E.read_hub_load(spark, out).select("id", "current_load"), batch)
@@ -131,14 +136,93 @@ def test_hub_load_from_stored_statuses_and_late_events(spark):
     slices = [[(1, 7, "in_transit", "2024-01-02"), (2, 8, "created", "2024-01-02"), (9, 8, "lost", None)],
               [(3, 7, "at_hub", "2024-01-03"), (4, 8, "delivered", "2024-01-01")]]
     stream = _feed(spark, out, slices)
-    E.stream_hub_load(stream, shipments, hubs, out, f"{out}/checkpoint", initial=initial)
-    # Shipment 7 was in transit before, so only at_hub releases packages; shipment 8 was delivered late.
+    E.stream_hub_load(stream, shipments, hubs, out, f"{out}/checkpoint", initial=initial, buckets=4)
+    # Shipment 7 was in transit before, so only at_hub releases packages; shipment 8 was delivered before it was created.
     loads = {r["id"]: r["current_load"] for r in E.read_hub_load(spark, out).collect()}
-    assert loads == {1: 35, 2: 10, 3: 5}
+    assert loads == {1: 35, 2: 12, 3: 3}
     late = {r["hub_id"]: r["late_events"] for r in E.read_late_events(spark, out, shipments).collect()}
     assert late == {3: 1, 2: 1}
 
 
+def test_hub_load_for_any_order_of_arrival(spark):
+    """Random slices in random order, one busy shipment, repeated events, limits that bind: as the fold over the whole log, after
+    every epoch; a day that loses its steps, and an epoch that is run again."""
+    rng = random.Random(11)
+    hubs = spark.createDataFrame([(1, 12, 9), (2, 10, 0), (3, None, 4), (4, 5, None)], "id bigint, capacity int, current_load int")
+    shipments = spark.createDataFrame([(k, 1 + k % 4, 1 + k % 3, None if k == 5 else 1 + k % 3) for k in range(12)],
+                                      "id bigint, origin_hub_id bigint, destination_hub_id bigint, package_count int")
+    kinds = ["created", "in_transit", "delivered", "delivered", "lost"]
+    rows = [(i, 0 if i % 3 == 0 else rng.randrange(13), rng.choice(kinds), f"{1969 + i % 3 * 25}-0{1 + i % 9}-{1 + i % 28:02d} 0{i % 10}:00:00")
+            for i in range(90)]
+    slices = [rows[i::4] for i in range(4)]
+    rng.shuffle(slices)
+    slices[3] = slices[3] + slices[1][:5]
+    initial = spark.createDataFrame([(0, "created"), (4, "lost"), (99, "lost")], "shipment_id bigint, old_status string")
+    out = fresh_folder(spark, "test-any-order")
+    tree = HubTree(spark, out, hubs, shipments, initial, 4)
+    tree.create()
+    seen = []
+    for epoch, part in enumerate(slices):
+        seen += part
+        batch, every = (spark.createDataFrame(r, "id bigint, shipment_id bigint, status string, time string").select(
+            "id", "shipment_id", "status", F.unix_micros(F.to_timestamp("time")).alias("at")) for r in (part, seen))
+        tree.fold(batch, epoch)
+        if epoch == 2:
+            tree.fold(batch, epoch)
+        wanted = hub_load_fold(hubs, shipments, status_changes(every, order=("at", "id"), initial=initial), order=("at", "id"))
+        same(tree.loads().select("id", "current_load"), wanted.select("id", F.col("new_load").cast("int").alias("current_load")))
+    assert read_epochs(spark, f"{out}/late").count() > 0
+
+
+def test_an_epoch_that_failed_on_the_way_goes_on(spark, monkeypatch):
+    hubs = spark.createDataFrame([(1, 100, 50), (2, 100, 0)], "id bigint, capacity int, current_load int")
+    shipments = spark.createDataFrame([(k, 1, 2, 1 + k) for k in range(4)],
+                                      "id bigint, origin_hub_id bigint, destination_hub_id bigint, package_count int")
+    batches = [spark.createDataFrame(rows, "id bigint, shipment_id bigint, at bigint, status string") for rows in (
+        [(1, 1, 10, "created"), (2, 2, 20, "created"), (3, 3, 5, "created")],
+        [(4, 1, 30, "delivered"), (5, 2, 15, "lost"), (6, 2, 40, "delivered")])]
+    wanted = hub_load_fold(hubs, shipments, status_changes(batches[0].union(batches[1]), order=("at", "id")), order=("at", "id"))
+    out = fresh_folder(spark, "test-failed")
+    tree = HubTree(spark, out, hubs, shipments, None, 4)
+    tree.create()
+    tree.fold(batches[0], 0)
+    add = BucketTable.add
+    for step in ("log", "steps", "tree", "last"):
+        def failing(table, changes, epoch):
+            add(table, changes, epoch)
+            if table.folder.endswith(step):
+                raise OSError("lost")
+        with monkeypatch.context() as patch:
+            patch.setattr(BucketTable, "add", failing)
+            with pytest.raises(OSError):
+                HubTree(spark, out, hubs, shipments, None, 4).fold(batches[1], 1)
+    HubTree(spark, out, hubs, shipments, None, 4).fold(batches[1], 1)
+    found = HubTree(spark, out, hubs).loads()
+    same(found.select("id", "current_load"), wanted.select("id", F.col("new_load").cast("int").alias("current_load")))
+
+
+def test_bucket_table_keeps_untouched_files(spark):
+    out = fresh_folder(spark, "test-buckets")
+    schema = StructType.fromDDL("k bigint, v string, n int")
+    table = BucketTable(spark, out, schema, schema, F.col("k") % 4, latest(["k"], ["n"]), most_changes=3)
+    assert table.version() is None
+    table.create(spark.createDataFrame([(k, "a", 0) for k in range(12)], schema))
+    table.create(spark.createDataFrame([(1, "never", 0)], schema))
+    state = {k: ("a", 0) for k in range(12)}
+    for epoch in range(5):
+        rows = [(1, f"e{epoch}", epoch + 1), (5, f"e{epoch}", 1), (20, "new", 1)] if epoch != 2 else [(2, "old", -1)]
+        state |= {k: (v, n) for k, v, n in rows if n >= state.get(k, ("", n))[1]}
+        for _ in range(2):  # run again
+            table.add(spark.createDataFrame(rows, schema), epoch)
+        assert {r.k: (r.v, r.n) for r in table.read().collect()} == state and table.version() == epoch
+    files = {(b, kind): path for b, kind, path in table._entries()[2]}
+    assert "base--1-" in files[3, "base"] and "base-" in files[1, "base"] and "base--1-" not in files[1, "base"]
+    assert {r.k for r in table.read([1]).collect()} == {1, 5, 9}
+    table.compact()
+    assert {kind for _, kind, _ in table._entries()[2]} == {"base"} and table.version() == 4
+    assert {r.k: (r.v, r.n) for r in table.read().collect()} == state
+
+
 def test_event_source(spark):
     out = fresh_folder(spark, "test-source")
     empty_table(spark, "shipment_events").write.parquet(f"{out}/in")

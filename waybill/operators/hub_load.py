@@ -12,6 +12,7 @@ function per hub and stretch is left to apply in order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from waybill.operators.ordered import ROWS_PER_TASK, along
 
 # Limits wide enough to be none, with room left to add shifts in 64 bits.
 _NO_LIMIT = 1 << 60
-_STEP_SCHEMA = "hub_id bigint, stretch int, seq bigint, low bigint, high bigint, shift bigint"
+_STEP_SCHEMA = "stretch int, seq bigint, low bigint, high bigint, shift bigint"
 
 
 def status_changes(events: DataFrame, key: str = "shipment_id", status: str = "status",
@@ -108,45 +109,46 @@ def _reduce_runs(hubs: np.ndarray, functions: np.ndarray) -> tuple[np.ndarray, n
     return hubs, functions
 
 
-def _compose_stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compose the sorted rows of one partition, holding one Arrow batch at a time."""
+def _compose_stretch(batches: Iterator[pd.DataFrame], keys: tuple[str, ...] = ("hub_id",)) -> Iterator[pd.DataFrame]:
+    """Compose the sorted rows of one partition by runs of equal keys, holding one Arrow batch at a time."""
     columns = ["low", "high", "shift"]
-    seq, held = 0, None  # held: the last hub's function so far, its run may go on
+    seq, held = 0, None  # held: the last run's key and function so far, the run may go on
+
+    def out(key: np.ndarray, functions: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{k: key[:, i] for i, k in enumerate(keys)}, "stretch": stretch, "seq": np.arange(seq, seq + len(key)),
+                             **{c: functions[:, i] for i, c in enumerate(columns)}})
+
     for batch in batches:
         if batch.empty:
             continue
         stretch = int(batch["stretch"].iloc[0])
-        hubs = batch["hub_id"].to_numpy(np.int64)
+        key = batch[list(keys)].to_numpy(np.int64)
         functions = batch[columns].to_numpy(np.int64)
         if held is not None:
-            hubs = np.r_[held[0], hubs]
-            functions = np.vstack([held[1], functions])
-        hubs, functions = _reduce_runs(hubs, functions)
-        held = (hubs[-1], functions[-1:].copy())
-        if len(hubs) > 1:
-            out = pd.DataFrame(functions[:-1], columns=columns)
-            out.insert(0, "seq", np.arange(seq, seq + len(out)))
-            out.insert(0, "stretch", stretch)
-            out.insert(0, "hub_id", hubs[:-1])
-            seq += len(out)
-            yield out
+            key, functions = np.vstack([held[0], key]), np.vstack([held[1], functions])
+        begins = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
+        runs, functions = _reduce_runs(np.cumsum(begins), functions)
+        key = key[begins]
+        held = (key[-1:], functions[-1:].copy())
+        if len(runs) > 1:
+            yield out(key[:-1], functions[:-1])
+            seq += len(runs) - 1
     if held is not None:
-        yield pd.DataFrame({"hub_id": [held[0]], "stretch": [stretch], "seq": [seq],
-                            "low": held[1][:, 0], "high": held[1][:, 1], "shift": held[1][:, 2]})
+        yield out(*held)
 
 
-def compose_steps(functions: DataFrame, stretches: int | None = None) -> DataFrame:
-    """At most one function per hub and range of the ordered steps.
+def compose_steps(functions: DataFrame, stretches: int | None = None, keys: tuple[str, ...] = ("hub_id",)) -> DataFrame:
+    """At most one function per key (a hub) and range of the ordered steps.
 
-    Rows are spread by hub *and* order, so that the steps of a busy hub are composed by many
+    Rows are spread by key *and* order, so that the steps of a busy hub are composed by many
     tasks. Order ends in (seq, step), which tells all rows apart.
     """
     count = stretches or int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["hub_id", "at", "seq", "step"]
+    order = [*keys, "at", "seq", "step"]
     return (functions.repartitionByRange(count, *order)
             .sortWithinPartitions(*order)
-            .select("hub_id", F.spark_partition_id().alias("stretch"), "low", "high", "shift")
-            .mapInPandas(_compose_stretch, _STEP_SCHEMA))
+            .select(*keys, F.spark_partition_id().alias("stretch"), "low", "high", "shift")
+            .mapInPandas(partial(_compose_stretch, keys=keys), ", ".join(f"{k} bigint" for k in keys) + ", " + _STEP_SCHEMA))
 
 
 def apply_composed(hubs: DataFrame, composed: DataFrame) -> DataFrame:

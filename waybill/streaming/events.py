@@ -15,10 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waybill.operators.changes import EXPLICIT_NULL, apply_patches
-from waybill.operators.hub_load import apply_composed, compose_steps, load_steps, step_functions
 from waybill.operators.quality import patch_rules, split, validate
 from waybill.schemas import schema_of
-from waybill.streaming.store import epoch_folder, epoch_writer, read_epochs, write_epoch
+from waybill.streaming.hub_tree import HubTree
+from waybill.streaming.store import epoch_writer, read_epochs, write_epoch
 
 
 def event_source(spark: SparkSession, path: str, format: str = "parquet",
@@ -127,54 +127,37 @@ def status_change_stream(events: DataFrame, initial: DataFrame | None = None) ->
         _track, _CHANGES, _LAST, "update", GroupStateTimeout.NoTimeout)
 
 
-def _between(shipments: DataFrame, changes: DataFrame) -> DataFrame:
-    """The shipments a batch can touch: its id bounds reach the scan, which skips the rest of a
-    table written in id order instead of reading all of it in every batch."""
-    low, high = changes.agg(F.min("shipment_id"), F.max("shipment_id")).first()
-    if low is None:
-        return shipments.where("false")
-    return shipments.where(F.col("id").between(low, high))
-
-
 def stream_hub_load(events: DataFrame, shipments: DataFrame, hubs: DataFrame, folder: str,
                     checkpoint: str, every: str | None = None,
-                    initial: DataFrame | None = None) -> StreamingQuery:
-    """Hub loads after each epoch below ``folder/load``, changes below ``folder/changes``.
+                    initial: DataFrame | None = None, buckets: int = 32) -> StreamingQuery:
+    """Hub loads as the batch fold over all events so far has them, in whatever order they arrive; see ``hub_tree``.
 
-    ``initial`` is the stored status per shipment, as in ``status_change_stream``. Late events move no load; they are
-    kept, marked, and ``read_late_events`` counts them per hub. Each epoch composes its own steps (see ``hub_load``) and applies them to the loads the epoch
-    before left; only the hub table is rewritten.
+    ``initial`` is the stored status per shipment, as in ``status_change_stream``. Events without a time or a status change none.
+    ``hubs`` are those of the first start; they are stored. ``buckets``: into how many the shipments are dealt, the same at each
+    start; their number bounds what an epoch with late events reads.
     """
     spark = hubs.sparkSession
-    write_epoch(hubs, f"{folder}/load", -1)
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        write_epoch(batch, f"{folder}/changes", epoch)
-        changes = spark.read.parquet(epoch_folder(f"{folder}/changes", epoch)).where("not late")
-        before = spark.read.parquet(epoch_folder(f"{folder}/load", epoch - 1))
-        steps = load_steps(changes, _between(shipments, changes), order=("at", "id"))
-        after = apply_composed(before, compose_steps(step_functions(steps, before)))
-        load = F.col("new_load").cast(before.schema["current_load"].dataType)
-        write_epoch(after.withColumn("current_load", load).select(*before.columns),
-                    f"{folder}/load", epoch)
-
-    return run(status_change_stream(events, initial), fold, checkpoint, every=every)
+    if HubTree(spark, folder, hubs).last.version() is None:
+        hubs.write.mode("overwrite").parquet(f"{folder}/hubs")
+    tree = HubTree(spark, folder, spark.read.parquet(f"{folder}/hubs"), shipments, initial, buckets)
+    tree.create()
+    narrow = events.where("event_datetime is not null and status is not null").select(
+        "shipment_id", F.unix_micros(F.col("event_datetime").cast("timestamp")).alias("at"), "id", "status")
+    return run(narrow, tree.fold, checkpoint, mode="append", every=every)
 
 
 def read_hub_load(spark: SparkSession, folder: str) -> DataFrame:
     """The loads after the last epoch."""
-    loads = read_epochs(spark, f"{folder}/load")
-    return loads.where(F.col("epoch") == loads.agg(F.max("epoch")).scalar()).drop("epoch")
+    return HubTree(spark, folder, spark.read.parquet(f"{folder}/hubs")).loads()
 
 
 def read_late_events(spark: SparkSession, folder: str, shipments: DataFrame) -> DataFrame:
-    """Per hub how many late events its load leaves out: ``hub_id, late_events``.
+    """Per hub how many events came after later ones of their shipment: ``hub_id, late_events``. Their steps are in the loads.
 
-    An event counts at the origin of its shipment, a delivered one also at the destination. The load of a hub that is
-    not listed equals the batch fold of all its events; the others need the fold over the whole log. Events of
-    unknown shipments count under hub NULL.
+    An event counts at the origin of its shipment, a delivered one also at the destination. Events of unknown shipments
+    count under hub NULL.
     """
-    late = read_epochs(spark, f"{folder}/changes").where("late")
+    late = read_epochs(spark, f"{folder}/late")
     ends = shipments.select(F.col("id").alias("shipment_id"), "origin_hub_id", "destination_hub_id")
     arrived = F.when(F.col("status") == "delivered", F.col("destination_hub_id"))
     hubs = F.array_distinct(F.array("origin_hub_id", arrived))
