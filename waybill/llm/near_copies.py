@@ -30,25 +30,25 @@ from pyspark.sql import functions as F
 
 from waybill.llm import shingles
 from waybill.llm.arrow import replaced, texts
-from waybill.llm.frames import checkpointed
+from waybill.llm.frames import checkpointed, named, unpacked, whole
 
 BANDS, ROWS = 32, 6
 THRESHOLD = 0.8
 #: Pairs estimated below are not verified: four standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = 0.68
 BYTES_AT_ONCE = 4_000_000
-#: Members of a tile, on average.
-TILE = 200
+#: Members of a tile, on average, and bytes of their texts.
+TILE, TILE_BYTES = 2000, 8_000_000
 SALTS = 32
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """16 bits of each register; NULL for a text without words."""
+    """8 bits of each register; NULL for a text without words."""
     for batch, rows in texts(batches, BYTES_AT_ONCE):
         text, element, weight = shingles.shingles(rows)
         held = shingles.signatures(text, element, weight, len(rows), BANDS * ROWS)
         some = np.bincount(text, minlength=len(rows)) > 0
-        sign = (shingles.mix(held) >> np.uint64(48)).astype("<u2")
+        sign = (shingles.mix(held) >> np.uint64(56)).astype("u1")
         yield replaced(batch, ["node", "key"],
                        sign=pa.array([s.tobytes() if any_ else None for s, any_ in zip(sign, some)], pa.binary()))
 
@@ -58,11 +58,11 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if n:
-            sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), "<u2").reshape(n, BANDS, ROWS)
+            sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), "u1").reshape(n, BANDS, ROWS)
             bucket = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(ROWS):
-                    bucket = shingles.mix(bucket * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, k])
+                    bucket = shingles.mix(bucket * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, k].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket.view(np.int64).ravel()), batch.column("node").take(pa.array(np.repeat(np.arange(n), BANDS)))],
                 names=["bucket", "node"])
@@ -72,7 +72,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree in enough registers."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1)
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(batch.num_rows, -1)
                     for c in ("a_sign", "b_sign"))
             alike = (a == b).mean(axis=1) >= LEAST_ESTIMATE
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(alike))
@@ -191,16 +191,17 @@ def _rest(groups: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     outside = F.col("root") != F.col("group")
     groups = checkpointed(groups.join(groups.where(outside).select("group").distinct(), "group", "left_semi"))
     signed = groups.join(nodes.select(F.col("node").alias("_n"), "sign"), F.col("node") == F.col("_n")).drop("_n")
-    near = _tiles(signed, ["node", "root", "sign"]).mapInArrow(_near, "group binary, node binary").distinct()
+    near = _tiles(signed, ["node", "root", "sign"], F.lit(0)).mapInArrow(_near, "group binary, node binary").distinct()
     near = checkpointed(signed.join(near, ["group", "node"]))
     texts_of = found.select(F.col("node").alias("_n"), "text")
     written = near.join(texts_of, F.col("node") == F.col("_n")).drop("_n")
-    return checkpointed(_tiles(written, ["node", "root", "sign", "text"]).mapInArrow(_compare, "a binary, b binary"))
+    return checkpointed(_tiles(written, ["node", "root", "sign", "text"], F.length("text")).mapInArrow(_compare, "a binary, b binary"))
 
 
-def _tiles(members: DataFrame, columns: list[str]) -> DataFrame:
+def _tiles(members: DataFrame, columns: list[str], size: Column) -> DataFrame:
     """Pairs of tiles of each group: ``left`` has members outside the group's component, ``right`` any."""
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    sizes = members.groupBy("group").agg(F.ceil(F.greatest(
+        F.count("*") / TILE, F.sum(F.coalesce(size, F.lit(0))) / TILE_BYTES)).cast("int").alias("tiles"))
     # A group may hold a third of all members: deal it over salts.
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     tiled = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["group", "salt"])
@@ -222,7 +223,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]):
         for i in range(batch.num_rows):
             left, right = (batch.column(c)[i].as_py() for c in ("left", "right"))
             group = batch.column("group")[i].as_py()
-            signs = [np.stack([np.frombuffer(m["sign"], "<u2") for m in side]) for side in (left, right)]
+            signs = [np.stack([np.frombuffer(m["sign"], "u1") for m in side]) for side in (left, right)]
             for k, member in enumerate(left):
                 alike = (signs[1] == signs[0][k]).mean(axis=1) >= LEAST_ESTIMATE
                 # A pair of two outside members comes up twice.
@@ -286,7 +287,7 @@ def _chosen(nodes: DataFrame, roots: DataFrame, key: str = "key") -> DataFrame:
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, class_id (smallest key of its class), class_size, kept (it stands for its class)."""
-    rows = docs.select(_digest(F.col(text)).alias("node"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(_digest(named(text)).alias("node"), named(key).alias("key"), named(text).alias("text"))
     nodes, roots = _classes(rows)
     chosen = _chosen(nodes, roots).withColumnRenamed("node", "_node")
     return (rows.select("node", "key").join(chosen, F.col("node") == F.col("_node"))
@@ -296,8 +297,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, with all columns of ``docs``: the one with the smallest key, whole."""
-    node, extra = _digest(F.col(text)), F.col(key)
-    rows = docs.select(node.alias("node"), extra.alias("key"), F.col(text).alias("text"))
+    columns = docs.columns
+    whole_rows = docs.select(whole(columns), _digest(named(text)).alias("node"), named(key).alias("key"))
+    rows = docs.select(_digest(named(text)).alias("node"), named(key).alias("key"), named(text).alias("text"))
     nodes, roots = _classes(rows)
     stays = (_chosen(nodes, roots).where(F.col("node") == F.col("chosen"))
              .select(F.col("node").alias("_node"), F.col("class_key").alias("_key")))
@@ -305,7 +307,6 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     often = rows.groupBy("node", "key").agg(F.count("*").alias("_rows"))
     stays = stays.join(often.withColumnsRenamed({"node": "_n", "key": "_k"}),
                        (F.col("_node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("_k"))).drop("_n", "_k")
-    kept = (docs.withColumn("_digest", node).join(
-        stays, (F.col("_digest") == F.col("_node")) & extra.eqNullSafe(F.col("_key"))))
-    single = kept.where("_rows = 1").select(*docs.columns)
-    return single.unionByName(kept.where("_rows > 1").dropDuplicates(["_node"]).select(*docs.columns))
+    kept = whole_rows.join(stays, (F.col("node") == F.col("_node")) & F.col("key").eqNullSafe(F.col("_key")))
+    single = kept.where("_rows = 1").select("row")
+    return single.unionByName(kept.where("_rows > 1").dropDuplicates(["_node"]).select("row")).select(*unpacked(columns))
