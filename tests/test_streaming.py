@@ -247,6 +247,29 @@ def test_upsert_equals_batch(spark, folder, sliced):
     same(merged, C.apply_patches(base, wanted, as_of)[0])
 
 
+def test_upsert_into_buckets(spark):
+    """Equal to one batch after every epoch, whether patches have been merged or not; other buckets keep their base."""
+    rows = [(f"k{k}", "pending", "standard", None) for k in range(40)]
+    base = spark.createDataFrame(rows, "id string, status string, service_type string, updated_at timestamp")
+    schema = f"id string, seq bigint, {PRESENT} array<string>, status string, service_type string"
+    slices = [[("k1", 1, ["status"], "picked_up", None), ("k1", 2, ["service_type"], None, "express"), ("zz", 3, ["status"], "delivered", None)],
+              [("k1", 0, ["status"], "delivered", None), ("k2", 5, [], None, None)],
+              [("k1", 9, ["service_type"], None, "overnight"), ("k3", 9, ["status"], "sold", None)]]
+    out, as_of = fresh_folder(spark, "test-buckets"), X.timestamp("2024-02-01")
+    table = E.patched_table(base, spark.createDataFrame([], schema), f"{out}/table", as_of, buckets=6, most_changes=2)
+    table.create(base)
+    seen = []
+    for n, part in enumerate(slices):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{out}/in")
+        E.stream_upsert(spark.readStream.schema(schema).parquet(f"{out}/in"), out, f"{out}/checkpoint", table=table)
+        seen += [(k, 100 * n + s, *rest) for k, s, *rest in part]
+        valid = E.split(E.validate(spark.createDataFrame(seen, schema), E.patch_rules(spark.createDataFrame(seen, schema))))[0]
+        same(table.read(), C.apply_patches(base, valid, as_of)[0])
+    assert E.read_rejected_patches(spark, out).count() == 1
+    bases = {path for _, kind, path in table._entries()[2] if kind == "base"}
+    assert len(bases) == 2 and sum("base--1-" in path for path in bases) == 1
+
+
 def test_a_stream_can_go_on(spark, sliced):
     _, stream = sliced
     out = fresh_folder(spark, "test-on")

@@ -495,7 +495,8 @@ def stream_upsert(spark, folder):
         .otherwise(F.array().cast("array<string>")).alias(D.PRESENT),
         F.when(kind == "view", "picked_up").when(kind == "purchase", "sold").alias("status"),
         F.when(kind == "click", F.when(F.col("value") > 60, "express").otherwise("overnight")).alias("service_type"))
-    out = fresh_folder(spark, "upsert")
-    E.stream_upsert(patches, out, f"{out}/checkpoint")
-    merged = E.read_upserted(M.documents(spark, folder), out, AS_OF(M.EVENTS_AS_OF))
-    return merged.select("id", "status", "service_type", "updated_at")
+    out, documents = fresh_folder(spark, "upsert"), M.documents(spark, folder)
+    table = E.patched_table(documents, patches, f"{out}/table", AS_OF(M.EVENTS_AS_OF), buckets=8)
+    table.create(documents)
+    E.stream_upsert(patches, out, f"{out}/checkpoint", table=table)
+    return table.read().select("id", "status", "service_type", "updated_at")

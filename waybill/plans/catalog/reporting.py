@@ -9,6 +9,8 @@ from waybill.plans import reports as R
 from waybill.plans import sample_model as M
 from waybill.plans.catalog.model_sql import average, half_up, on_model
 from waybill.plans.catalog.registry import query
+from waybill.plans.kept_rollup import KeptRollup
+from waybill.session import fresh_folder
 
 
 # Names come from subqueries, which can neither drop nor multiply shipments: the four outer joins must not either.
@@ -172,7 +174,7 @@ _ROLLUP = """rolled as (
   from shipments group by grouping sets ((cast(created_at as date), origin_hub_id), (cast(created_at as date))))"""
 
 
-@query("daily_analytics_rollup", on_model(f"""
+_ROLLED = f"""
 select "date", hub_id, total_shipments, completed_shipments, pending_shipments, failed_shipments, total_revenue,
   cast(0 as decimal(20,2)) total_costs, total_revenue net_profit,
   case when timed > 0 then {half_up('micros', '(timed * 3600000000)', 2, 'decimal(8,2)')} end average_delivery_time_hours,
@@ -180,6 +182,37 @@ select "date", hub_id, total_shipments, completed_shipments, pending_shipments,
   total_weight_processed_kg, total_packages_processed, h.utilization_percentage hub_utilization_rate,
   cast(null as decimal(5,2)) route_efficiency_score, cast(null as decimal(3,1)) customer_satisfaction_score
 from rolled left join hubs h on h.id = hub_id
-where all_hubs = 1 or hub_id is not null""", _ROLLUP))
+where all_hubs = 1 or hub_id is not null"""
+
+
+@query("daily_analytics_rollup", on_model(_ROLLED, _ROLLUP))
 def daily_analytics_rollup(spark, folder):
     return R.daily_analytics_rollup(M.shipments(spark, folder), M.hubs(spark, folder))
+
+
+_PATCHED = """
+patched as (
+  select id, created_at, package_count, total_weight_kg, total_cost, estimated_delivery_date, actual_pickup_datetime,
+    case when status in ('in_transit', 'out_for_delivery') then 'delivered' when status = 'delivered' then 'returned' else status end status,
+    case when status = 'created' then destination_hub_id else origin_hub_id end origin_hub_id,
+    case when status in ('in_transit', 'out_for_delivery') then greatest(created_at, actual_pickup_datetime) + interval 60 hour
+      else actual_delivery_datetime end actual_delivery_datetime
+  from shipments where status <> 'failed_delivery')"""
+
+
+@query("daily_rollup_kept", on_model(_ROLLED,
+                                     _PATCHED, _ROLLUP.replace("from shipments", "from patched")))
+def daily_rollup_kept(spark, folder):
+    """Kept over three batches of changes: deliveries, moves to other hubs and returns, deletions."""
+    shipments, kept = M.shipments(spark, folder), KeptRollup(spark, fresh_folder(spark, "kept-rollup"))
+    status = F.col("status")
+    kept.create(shipments)
+    open_ = shipments.where(status.isin("in_transit", "out_for_delivery"))
+    arrived = F.greatest("created_at", "actual_pickup_datetime") + F.expr("interval 60 hours")
+    kept.change(open_, open_.withColumns({"status": F.lit("delivered"), "actual_delivery_datetime": arrived}), 0)
+    moved = shipments.where(status.isin("created", "delivered"))
+    kept.change(moved, moved.withColumns({
+        "origin_hub_id": F.when(status == "created", F.col("destination_hub_id")).otherwise(F.col("origin_hub_id")),
+        "status": F.when(status == "delivered", "returned").otherwise(status)}), 1)
+    kept.change(shipments.where(status == "failed_delivery"), shipments.where("false"), 2)
+    return kept.read(M.hubs(spark, folder))

@@ -17,8 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from waybill.operators.changes import EXPLICIT_NULL, apply_patches
 from waybill.operators.quality import patch_rules, split, validate
 from waybill.schemas import schema_of
+from waybill.streaming.buckets import EPOCH, BucketTable, hashed
 from waybill.streaming.hub_tree import HubTree
-from waybill.streaming.store import epoch_writer, read_epochs, write_epoch
+from waybill.streaming.store import epoch_folder, epoch_writer, read_epochs, write_epoch
 
 
 def event_source(spark: SparkSession, path: str, format: str = "parquet",
@@ -173,14 +174,31 @@ def read_rejected_patches(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- upsert ------------------------------------------------------------------------------------
 
+def patched_table(base: DataFrame, patches: DataFrame, folder: str, as_of: Column, key: str = "id", seq: str = "seq",
+                  mode: str = EXPLICIT_NULL, buckets: int = 32, most_changes: int = 8) -> BucketTable:
+    """The stored table for ``stream_upsert``: rows like ``base``, changed by patches like ``patches``, in buckets of the key's hash.
+
+    A bucket is its base with the patches since, which are merged into it once there are ``most_changes`` sets of them; a read
+    merges what is left. All patches go by epoch, then ``seq``.
+    """
+    def merge(rows: DataFrame, changes: DataFrame) -> DataFrame:
+        ordered = changes.withColumn(seq, F.struct(EPOCH, seq)).drop(EPOCH)
+        return apply_patches(rows, ordered, as_of, key, seq, mode)[0]
+    spark = base.sparkSession
+    return BucketTable(spark, folder, base.schema, patches.schema, hashed(key, buckets), merge, most_changes)
+
+
 def stream_upsert(patches: DataFrame, folder: str, checkpoint: str,
-                  every: str | None = None) -> StreamingQuery:
-    """Validate patches as they come and keep them per epoch: rewriting the stored table in every
-    batch would cost the whole table each time. ``read_upserted`` merges them when read, and its
-    result written anew is the next base."""
+                  every: str | None = None, table: BucketTable | None = None) -> StreamingQuery:
+    """Validate patches as they come and keep them, with their broken rules, per epoch.
+
+    With a ``table`` (created; see ``patched_table``) the valid ones go into the buckets of their keys; those of unknown keys change
+    nothing there. Without one ``read_upserted`` merges all of them when read."""
 
     def keep(batch: DataFrame, epoch: int) -> None:
         write_epoch(validate(batch, patch_rules(batch)), f"{folder}/patches", epoch)
+        if table is not None:
+            table.add(split(batch.sparkSession.read.parquet(epoch_folder(f"{folder}/patches", epoch)))[0], epoch)
 
     return run(patches, keep, checkpoint, mode="append", every=every)
 
