@@ -46,6 +46,21 @@ def test_current_status(spark, sliced):
     same(latest_by_key(read_epochs(spark, f"{out}/rows"), ["shipment_id"]), E.current_status(events))
 
 
+def test_current_status_in_a_table(spark):
+    """Late events, equal times, events without a status or a time: as the batch after every epoch, merged or not."""
+    slices = [[(1, 1, "created", "2024-03-01"), (2, 2, "delivered", "2024-03-02"), (3, 3, None, "2024-03-01")],
+              [(4, 1, "delivered", "2024-03-05"), (5, 2, "lost", "2024-03-01"), (6, 2, "at_hub", "2024-03-02"), (7, 4, "lost", None)],
+              [(8, 1, "delivered", "2024-03-04"), (9, 3, "created", "2024-02-01")]]
+    out = fresh_folder(spark, "test-status-table")
+    table = E.status_table(spark, f"{out}/table", buckets=2, most_changes=2)
+    table.create(spark.createDataFrame([], table.rows))
+    for n in range(3):
+        stream = _feed(spark, out, slices[n:n + 1])
+        E.stream_current_status(stream, out, f"{out}/checkpoint", table=table)
+        batch = spark.read.schema(stream.schema).parquet(f"{out}/in")
+        same(table.read().select("shipment_id", "status", "actual_delivery"), E.current_status(batch))
+
+
 def test_daily_counts(spark, sliced):
     events, stream = sliced
     out = fresh_folder(spark, "test-daily")

@@ -456,8 +456,10 @@ select shipment_id, arg_max(status, (event_datetime, id)) status,
 from shipment_events group by 1"""))
 def stream_current_status(spark, folder):
     out = fresh_folder(spark, "current-status")
-    E.stream_current_status(_event_stream(spark, folder), f"{out}/rows", f"{out}/checkpoint")
-    return latest_by_key(read_epochs(spark, f"{out}/rows"), ["shipment_id"])
+    table = E.status_table(spark, f"{out}/table", buckets=8)
+    table.create(spark.createDataFrame([], table.rows))
+    E.stream_current_status(_event_stream(spark, folder), out, f"{out}/checkpoint", table=table)
+    return table.read().select("shipment_id", "status", "actual_delivery")
 
 
 @query("stream_daily_counts", on_model("""

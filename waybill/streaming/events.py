@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from waybill.operators.changes import EXPLICIT_NULL, apply_patches
 from waybill.operators.quality import patch_rules, split, validate
@@ -51,10 +52,44 @@ def current_status(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("status") == "delivered", F.col("event_datetime"))).alias("actual_delivery"))
 
 
+_STATUS = "shipment_id bigint, at timestamp_ntz, id bigint, status string, actual_delivery timestamp_ntz"
+
+
+def _status_rows(events: DataFrame) -> DataFrame:
+    """One row per shipment: its last event with a status, and its last delivery."""
+    place = F.struct("event_datetime", "id", "status")
+    known = F.max(F.when(F.col("status").isNotNull(), place))
+    return events.groupBy("shipment_id").agg(
+        known.alias("_last"), F.max(F.when(F.col("status") == "delivered", F.col("event_datetime"))).alias("actual_delivery"),
+    ).select("shipment_id", F.col("_last.event_datetime").alias("at"), "_last.id", "_last.status", "actual_delivery")
+
+
+def _status_merge(base: DataFrame, changes: DataFrame) -> DataFrame:
+    every = base.unionByName(changes.drop(EPOCH)).withColumnRenamed("at", "event_datetime")
+    place = F.struct("event_datetime", "id", "status")
+    return (every.groupBy("shipment_id").agg(F.max(F.when(F.col("status").isNotNull(), place)).alias("_last"),
+                                             F.max("actual_delivery").alias("actual_delivery"))
+            .select("shipment_id", F.col("_last.event_datetime").alias("at"), "_last.id", "_last.status", "actual_delivery"))
+
+
+def status_table(spark: SparkSession, folder: str, buckets: int = 32, most_changes: int = 8) -> BucketTable:
+    """The stored table for ``stream_current_status``: status and delivery of each shipment with the event they come from."""
+    rows = StructType.fromDDL(_STATUS)
+    return BucketTable(spark, folder, rows, rows, hashed("shipment_id", buckets), _status_merge, most_changes)
+
+
 def stream_current_status(events: DataFrame, folder: str, checkpoint: str,
-                          every: str | None = None) -> StreamingQuery:
-    """Every epoch writes the shipments it touched; read with ``store.latest_by_key``."""
-    return run(current_status(events), epoch_writer(folder), checkpoint, every=every)
+                          every: str | None = None, table: BucketTable | None = None) -> StreamingQuery:
+    """Every epoch writes the shipments it touched; read with ``store.latest_by_key``.
+
+    With a ``table`` (created; see ``status_table``) the stream has no state: each epoch is reduced to a row per shipment, which
+    goes into the bucket of the shipment. Shipments that nothing happens to any more cost nothing there, and late events count as
+    in the batch.
+    """
+    if table is None:
+        return run(current_status(events), epoch_writer(folder), checkpoint, every=every)
+    return run(events.select("shipment_id", "id", "status", "event_datetime"),
+               lambda batch, epoch: table.add(_status_rows(batch), epoch), checkpoint, mode="append", every=every)
 
 
 # --- daily counts ------------------------------------------------------------------------------
