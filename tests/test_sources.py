@@ -159,3 +159,24 @@ def test_projections(spark):
     users = S.empty_table(spark, "users")
     assert "password_hash" not in P.project_user(users).columns
     assert P.to_snake_case(P.to_camel_case(documents)).columns == documents.columns
+
+
+def test_open_documents(spark):
+    from waybill.sources import open_documents as O
+    texts = ['{"a": 1, "b": {"c": "x", "d e": null}}', '{"a": 2.5, "b": {"c": "y"}, "l": [1, {"z": 2}]}', '{"a\'s": true, "b_c": 7}',
+             "[1, 2]", "3", "null", "{broken", "", None, "{}", '{"b": 5}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string").withColumn("a", F.lit("taken"))
+    parsed = O.parse_open(docs, "text", "document")
+    assert [r.n for r in parsed.where("malformed").orderBy("n").collect()] == [6, 7]
+    shape = O.found_shape(parsed, "document")
+    # ``b`` is an object and a number, so it stays whole.
+    assert {"".join(at): kind.simpleString() for at, kind in O.paths(shape)} == {
+        "a": "decimal(21,1)", "a's": "boolean", "b": "variant", "b_c": "bigint", "l": "variant"}
+    found = {r.n: r for r in O.shred(parsed, "document", shape).withColumn("l", F.to_json("l")).collect()}
+    assert [found[n]["a_2"] is None or float(found[n]["a_2"]) for n in (0, 1, 2, 3)] == [1.0, 2.5, True, True]
+    assert found[2]["a's"] is True and found[2]["b_c"] == 7 and found[1]["l"] == '[1,{"z":2}]' and found[0]["a"] == "taken"
+    nested = O.found_shape(parsed.where("n < 2"), "document")
+    assert {O._path(at) for at, _ in O.paths(nested)} == {"$['a']", "$['b']['c']", "$['b']['d e']", "$['l']"}
+    assert [r["b_c"] for r in O.shred(parsed.where("n < 2"), "document", nested).orderBy("n").collect()] == ["x", "y"]
+    assert O.found_shape(parsed.where("n in (3, 8)"), "document").fields == []
+    assert O.shred(parsed.limit(0), "document", shape).count() == 0

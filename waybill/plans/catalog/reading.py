@@ -16,6 +16,7 @@ from waybill.plans.catalog.model_sql import iso, on_model, uuid_of
 from waybill.plans.catalog.registry import query
 from waybill.session import fresh_folder
 from waybill.sources import documents as D
+from waybill.sources import open_documents as O
 from waybill.sources.tables import read_entity, write_entity
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -85,6 +86,34 @@ def json_columns(spark, folder):
                        D.serialise_column(props).alias("text"))
 
 
+@query("open_documents", """
+select event_id, event_type = 'error' malformed,
+  case when event_type in ('view', 'purchase') then cast(json_extract(props, '$.k') as varchar)
+       when event_type = 'click' then '"' || cast(json_extract(props, '$.k') as varchar) || '"' end k,
+  case when event_type = 'purchase' then cast(floor(value) as bigint) end cart_total,
+  case when event_type = 'purchase' then '[' || event_id || ',"x"]' end cart_items,
+  case when event_type = 'click' then 'page ' || user_id end "note",
+  case when event_type = 'signup' then '[' || cast(json_extract(props, '$.k') as varchar) || ']' end other
+from events""")
+def open_documents(spark, folder):
+    """Documents of several shapes, one field of two kinds, lists and malformed text among them."""
+    k = F.get_json_object("props", "$.k")
+    number, whole = F.col("event_id").cast("string"), F.floor("value").cast("string")
+    text = F.when(F.col("event_type") == "view", F.col("props"))
+    for kind, parts in {
+            "click": (F.lit('{"note": "page '), F.col("user_id").cast("string"), F.lit('", "k": "'), k, F.lit('"}')),
+            "purchase": (F.lit('{"cart": {"total": '), whole, F.lit(', "items": ['), number, F.lit(', "x"]}, "k": '), k, F.lit("}")),
+            "signup": (F.lit("["), k, F.lit("]")), "error": (F.lit('{"k": '),)}.items():
+        text = text.when(F.col("event_type") == kind, F.concat(*parts))
+    rows = M.table(spark, folder, "events").select("event_id", text.alias("text"))
+    parsed = O.parse_open(rows, "text", "document")
+    shredded = O.shred(parsed, "document", O.found_shape(parsed, "document"))
+    return shredded.select(
+        "event_id", "malformed", F.to_json("k").alias("k"), F.col("cart_total").cast("bigint").alias("cart_total"),
+        F.to_json("cart_items").alias("cart_items"), "note",
+        F.when(~O.is_object("document"), F.to_json("document")).alias("other"))
+
+
 @query("sink_json", on_model(f"""
 select id, '{{"id":"' || id || '","trackingNumber":"' || tracking_number || '","status":"' || status
   || '","cost":' || cost || ',"createdAt":"' || {iso('created_at')} || '","actualDelivery":'
