@@ -67,6 +67,19 @@ def test_bpe_encodes_as_the_library_and_decodes(library):
     assert byte_bpe.Decoder(RANKS).decode(ids) == [t.encode() for t in TEXTS]
 
 
+def test_long_words_of_few_characters(library):
+    """Windows of runs share no token; the time stays in proportion to the length."""
+    rng = random.Random(8)
+    texts = [c * n for c in "=-_.* aé" for n in (161, 700, 5000)] + ["=-" * 3000, "=" * 100_000, "ab" * 5000 + "=" * 999]
+    texts += ["".join(rng.choice(letters) for _ in range(3000)) for letters in ("=-", "=*", "aA", "-_=", "ha")]
+    encoder = byte_bpe.Encoder(RANKS, pattern())
+    assert encoder.encode(texts) == [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    words = [t.encode() for t in texts if len(t) < 6000]
+    walked = encoder._stepwise(words)
+    assert [b"".join(encoder.bytes[i] for i in ids) for ids in walked] == words
+    assert walked[:3] == [library._encode_single_piece(w) for w in words[:3]]
+
+
 def test_op2_query(spark, folder, documents, library):
     def expected(text):
         ids = library.encode_ordinary(text)

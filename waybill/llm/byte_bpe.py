@@ -7,7 +7,8 @@ is contracted, until no pair is left.
 
 A word longer than ``WINDOW`` bytes goes through in overlapping windows. Encodings of neighbours are joined at a token
 that both have at the same place: a sequence in which all neighbours may stand side by side is the
-encoding, and so the result is exact; where no token agrees, the windows are doubled.
+encoding, and so the result is exact. Where no token agrees, as in long runs of a character, the word is walked through
+window by window, each beginning at a token's end.
 
 Decoding joins positions with the vocabulary and aggregates the pieces in their order.
 
@@ -93,11 +94,43 @@ class _Engine:
         self.engine.unregister("given")
 
 
+class _Walk:
+    """How far a word is encoded."""
+
+    def __init__(self, word: bytes):
+        self.word, self.ids, self.at = word, [], 0
+        self.length, self.refused, self.done = WINDOW, set(), False
+
+    def window(self) -> bytes:
+        return self.word[self.at:self.at + self.length]
+
+    def take(self, ids: list[int], size: dict[int, int]) -> None:
+        """The tokens of the window up to the last border that may hold; all of the last window."""
+        if self.at + self.length >= len(self.word):
+            self.ids += ids
+            self.done = True
+            return
+        ends = (self.at + np.cumsum([size[i] for i in ids])).tolist()
+        certain = self.at + self.length * (WINDOW - OVERLAP) // WINDOW
+        few = max((k for k, end in enumerate(ends, 1) if end <= certain and end not in self.refused), default=0)
+        if few:
+            self.ids += ids[:few]
+            self.at = ends[few - 1]
+        else:
+            self.length *= 2
+
+    def back(self, size: dict[int, int]) -> None:
+        """The border does not hold."""
+        self.refused.add(self.at)
+        self.at -= size[self.ids.pop()]
+
+
 class Encoder(_Engine):
     def __init__(self, path: str, pattern: str):
         super().__init__()
         ranks = _ranks(path)
         self.size = {i: len(t) for t, i in ranks.items()}
+        self.bytes = {i: t for t, i in ranks.items()}
         self.known = {t: np.array([i], "<u4").tobytes() for t, i in ranks.items()}
         self.split = _splitter(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -130,15 +163,46 @@ class Encoder(_Engine):
         short = [i for i, ids in enumerate(out) if ids is None and len(words[i]) <= window]
         for i, ids in zip(short, self._contract([words[i] for i in short]) if short else []):
             out[i] = ids
-        while (todo := [i for i, ids in enumerate(out) if ids is None]):
-            places = [range(0, max(1, len(words[i]) - overlap), window - overlap) for i in todo]
-            encoded = iter(self._contract([words[i][at:at + window] for i, ats in zip(todo, places) for at in ats]))
-            for i, ats in zip(todo, places):
-                ids = self._joined([(at, np.frombuffer(next(encoded), "<u4").tolist()) for at in ats])
-                out[i] = ids and np.array(ids, "<u4").tobytes()
-            window, overlap = 2 * window, 2 * overlap
+        todo = [i for i, ids in enumerate(out) if ids is None]
+        places = [range(0, max(1, len(words[i]) - overlap), window - overlap) for i in todo]
+        pieces = list(dict.fromkeys(words[i][at:at + window] for i, ats in zip(todo, places) for at in ats))
+        encoded = dict(zip(pieces, self._contract(pieces))) if pieces else {}
+        for i, ats in zip(todo, places):
+            ids = self._joined([(at, np.frombuffer(encoded[words[i][at:at + window]], "<u4").tolist()) for at in ats])
+            out[i] = ids and np.array(ids, "<u4").tobytes()
+        todo = [i for i in todo if out[i] is None]
+        for i, ids in zip(todo, self._stepwise([words[i] for i in todo])):
+            out[i] = np.array(ids, "<u4").tobytes()
         return out
 
+    def _stepwise(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of long words, window by window. A window begins where a token of the one before ends; the border holds if the two
+        tokens at it may stand side by side, which is to say that their bytes alone become these two. Else an earlier border is
+        tried, and a larger window where none is left. Windows of one content are encoded once."""
+        known: dict[bytes, list[int]] = {}
+
+        def learn(texts: list[bytes]) -> None:
+            new = list(dict.fromkeys(t for t in texts if t not in known))
+            if len(known) + len(new) > REMEMBERED // 10:
+                known.clear()
+                new = list(dict.fromkeys(texts))
+            if new:
+                known.update((t, np.frombuffer(ids, "<u4").tolist()) for t, ids in zip(new, self._contract(new)))
+
+        walks = [_Walk(w) for w in words]
+        while (open_ := [w for w in walks if not w.done]):
+            learn([w.window() for w in open_])
+            found = [(w, known[w.window()]) for w in open_]
+            borders = [(w, ids, self.bytes[w.ids[-1]] + self.bytes[ids[0]]) for w, ids in found if w.ids]
+            learn([pair for _, _, pair in borders])
+            wrong = {id(w) for w, ids, pair in borders if known[pair] != [w.ids[-1], ids[0]]}
+            for w, ids in found:
+                if id(w) in wrong:
+                    w.back(self.size)
+                else:
+                    w.take(ids, self.size)
+        return [w.ids for w in walks]
+
     def _joined(self, windows: list[tuple[int, list[int]]]) -> list[int] | None:
         """The encoding of a word from those of its windows; None where two don't share a token."""
         ids, ends = [], {}  # where each token ends, to (place in ids, token)
