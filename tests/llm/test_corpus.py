@@ -304,6 +304,106 @@ def test_stages_pass_all_columns_as_they_are(spark, odd):
     assert {r[0] for r in map(tuple, near_copies.drop_near_copies(odd).collect())} >= {1, 2, 5, 6, 7, 8, 9}
 
 
+def plain_verdicts(rows):
+    """What ``judge_quality`` keeps of rows (key, text, lang): every measure, quartile and band by plain loops."""
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    found = []
+    for key, text, lang in rows:
+        words = [w.decode() for w in (text or "").encode().split()]
+        windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+        often, repeated = collections.Counter(windows), set()
+        for i, w in enumerate(windows):
+            repeated |= set(range(i, i + 5)) if often[w] > 1 else set()
+        ids = [i for w in words for i in pieces.encode(w)]
+        entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in collections.Counter(ids).values())
+        chars = collections.Counter()
+        for w in words:
+            script = next((name for code in map(ord, w) if code >= 0x250 for name, (ranges, _) in fertility.SCRIPTS.items()
+                           if any(x <= code <= y for x, y in ranges)), "latin")
+            chars[script] += len(w)
+        script = max(("latin", "other", "cjk"), key=lambda n: chars[n])
+        n, size = len(ids), sum(map(len, words))
+        found.append({
+            "key": key, "base": len(words) < 10 or 100 * len(repeated) > 20 * len(words), "evenness": max(entropy, 0) / math.log2(min(max(n, 2), 512)),
+            "chars_per_token": size / max(n, 1), "byte_share": sum(map(pieces.is_byte, ids)) / max(n, 1), "same": (n, size, entropy),
+            "groups": [None if lang is None else (lang, int(math.log2(max(1, min(n, 1024))))), None if lang is None else ("lang", lang), script]})
+    measures = ("evenness", "chars_per_token", "byte_share")
+    members = collections.defaultdict(dict)
+    for f in found:
+        if not f["base"]:
+            for g in filter(None, f["groups"]):
+                members[g][(tuple(f["groups"]), *f["same"], *(f[m] for m in measures))] = f
+
+    def quartile(group, measure, p):
+        values = sorted(math.floor(f[measure] * fertility.GRID + 0.5) for f in members[group].values())
+        at = p * (len(values) - 1)
+        low = math.floor(at)
+        return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+
+    def beyond(f, measure, upper):
+        limits = []
+        for p in (0.25, 0.75):
+            value = None
+            for g in reversed(f["groups"]):
+                if g in members:
+                    own, n = quartile(g, measure, p), len(members[g])
+                    value = own if value is None else (n * own + fertility.LEAN * value) / (n + fertility.LEAN)
+            limits.append(value)
+        if limits[0] is None or limits[1] <= limits[0]:
+            return 0
+        x = f[measure] * fertility.GRID
+        return max(limits[0] - x, x - limits[1] if upper else -math.inf) / (limits[1] - limits[0])
+
+    kept = []
+    for f in found:
+        band = fertility.BANDS[f["groups"][2]]
+        within = (band.chars_per_token[0] <= f["chars_per_token"] <= band.chars_per_token[1] and f["byte_share"] <= band.most_byte_share
+                  and f["evenness"] >= band.least_evenness)
+        low, other = beyond(f, "evenness", False), max(beyond(f, m, True) for m in measures[1:])
+        kept.append((f["key"], not f["base"] and within and not (
+            low > fertility.FENCE or low > fertility.FENCE / 2 and other > fertility.FENCE)))
+    return kept
+
+
+def test_verdicts_as_brute_force(spark, documents, odd):
+    extra = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*documents.columns)
+    for docs in (extra, odd):
+        rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+        found = fertility.judge_quality(docs, MODEL).select("doc_id", "kept").collect()
+        assert collections.Counter(map(tuple, found)) == collections.Counter(plain_verdicts(rows))
+    assert 0 < sum(k for _, k in plain_verdicts([(r.doc_id, r.text, r.lang) for r in extra.collect()])) < extra.count()
+
+
+def test_pipeline_as_brute_force(spark, folder, documents):
+    """All stages one after another by plain versions; which documents are drawn is the mixing operator's own."""
+    import base64
+    import hashlib
+
+    import tiktoken
+
+    from waybill.llm.catalog import pattern
+    from waybill.llm.frames import whole
+
+    rows = {r.doc_id: r for r in documents.collect()}
+    kept = [k for k, good in plain_verdicts([(r.doc_id, r.text, r.lang) for r in rows.values()]) if good]
+    first = sorted({c for _, c in brute_classes([(k, rows[k].text or "") for k in kept])})
+    left = documents.where(F.col("doc_id").isin(first))
+    marked = left.withColumns({"a": F.xxhash64(whole(left.columns)), "b": F.xxhash64(F.lit(1), whole(left.columns))})
+    copies = mixing.mix_sources(marked, identity=("a", "b")).join(marked.select("a", "b", "doc_id"), ["a", "b"]).collect()
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(vocabulary("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
+    expected = collections.Counter()
+    for r in copies:
+        text = rows[r.doc_id].text or ""
+        ids = library.encode_ordinary(text)
+        expected[(r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                  hashlib.sha256(text.encode()).hexdigest())] += r.copies
+    assert collections.Counter(map(tuple, corpus_pipeline.run(spark, folder).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == +expected
+
+
 def test_pipeline(spark, folder, documents):
     kept = corpus_pipeline.quality(spark, documents, folder)
     assert {r.doc_id for r in kept.collect()} == {
