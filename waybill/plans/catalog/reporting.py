@@ -10,7 +10,7 @@ from waybill.plans import sample_model as M
 from waybill.plans.catalog.model_sql import average, half_up, on_model
 from waybill.plans.catalog.registry import query
 from waybill.plans.kept_rollup import KeptRollup
-from waybill.session import fresh_folder
+from waybill.session import checkpointed, fresh_folder
 
 
 # Names come from subqueries, which can neither drop nor multiply shipments: the four outer joins must not either.
@@ -204,7 +204,7 @@ patched as (
                                      _PATCHED, _ROLLUP.replace("from shipments", "from patched")))
 def daily_rollup_kept(spark, folder):
     """Kept over three batches of changes: deliveries, moves to other hubs and returns, deletions."""
-    shipments, kept = M.shipments(spark, folder), KeptRollup(spark, fresh_folder(spark, "kept-rollup"))
+    shipments, kept = checkpointed(M.shipments(spark, folder)), KeptRollup(spark, fresh_folder(spark, "kept-rollup"))
     status = F.col("status")
     kept.create(shipments)
     open_ = shipments.where(status.isin("in_transit", "out_for_delivery"))
