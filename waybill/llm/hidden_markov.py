@@ -19,29 +19,37 @@ unknown words as one. Emissions start from the smoothed counts with noise by the
 
 Words are told apart by 64-bit hashes: among V words V^2 / 2^65 pairs are expected to be taken for one.
 
+What is written: the blocks, and one pass at a time. Expected counts travel as shares of the word's count in 16-bit floats, whose error of
+0.05 % a share is far below the noise of the counts. The tables lie in a folder of their own below the shared one; each takes the
+place of the one it follows from as soon as that is not needed any more, a pass is two steps (counts to the ranges, sums to the blocks), and
+shuffle files go when their step is written. The folder is the caller's to remove.
+
 Defined results: a NULL or empty text is one end token; a NULL key counts as the empty text when texts are held out; repeated rows are
 texts of their own; without training text all words are unknown; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.llm import hmm
 from waybill.llm.arrow import texts
-from waybill.llm.frames import checkpointed
+from waybill.llm.frames import kept_at, named
 from waybill.llm.shingles import word_hashes
+from waybill.session import fresh_folder
 
 STATES, PASSES, SEED = 8, 5, 11
 STRETCH = 512
-BLOCK_BYTES = 6_000_000
+BYTES_AT_ONCE = 2_000_000
+#: Tokens of a block (or one text), and of the sequences that are walked through at once.
+BLOCK_TOKENS, TOKENS_AT_ONCE = 2_000_000, 500_000
 WORDS_PER_RANGE = 500_000
 SMOOTH = 0.1
 LEAN = 5
@@ -80,13 +88,16 @@ class Model:
         """Of all tokens in the pass before; those of the starts before the first."""
         return self.start if self.freed is None else self.weight / self.weight.sum()
 
-    def emissions(self, total: np.ndarray, hashes: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-        """Of words (rows) in states. ``counts``: expected counts of the pass before, None before the first."""
+    def emissions(self, total: np.ndarray, hashes: np.ndarray | None, counts: np.ndarray | None) -> np.ndarray:
+        """Of words (rows) in states. ``counts``: expected counts of the pass before, None before the first, which needs hashes."""
         marginal = self.marginal(total)
         if counts is None:
             return marginal[:, None] * noise(hashes, total) / self.weight
         own = lean(total)
-        return ((1 - own)[:, None] * counts + (own * marginal / self.leaning)[:, None] * self.freed) / self.weight
+        out = counts * (1 - own).astype("f4")[:, None]
+        out += np.multiply.outer((own * marginal / self.leaning).astype("f4"), self.freed.astype("f4"))
+        out /= self.weight.astype("f4")
+        return out
 
 
 def lean(total: np.ndarray) -> np.ndarray:
@@ -111,11 +122,25 @@ def _parts(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return numbers.astype(np.int64), np.append(np.searchsorted(part, numbers), len(part))
 
 
+def _block(number: int, key_type: pa.DataType, held: list[tuple]) -> pa.RecordBatch:
+    keys, learned, length, hashes = zip(*held)
+    learned, length = np.concatenate(learned), np.concatenate(length)
+    words, token = np.unique(np.concatenate(hashes), return_inverse=True)
+    count = np.bincount(token, weights=np.repeat(learned, length), minlength=len(words))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([[k for some in keys for k in some]], pa.list_(key_type)),
+         *[pa.array([data], pa.binary()) for data in (
+             _packed(learned), _packed(length.astype("<i4")), _packed(token.astype("<i4")),
+             words.astype("<u8").tobytes(), _packed(count.astype("<i8")))],
+         pa.array([len(words)], pa.int64())],
+        names=["block", "keys", "learned", "lengths", "tokens", "hashes", "counts", "words"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 32
-    for batch, rows in texts(batches, BLOCK_BYTES):
+    number, held, tokens = TaskContext.get().partitionId() << 32, [], 0
+    for batch, rows in texts(batches, BYTES_AT_ONCE):
         words: list[bytes] = []
         length = np.zeros(len(rows), np.int64)
         for i, row in enumerate(rows):
@@ -123,17 +148,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             length[i] = len(found) + 1
             words += found
             words.append(_END)
-        hashes, token = np.unique(word_hashes(words), return_inverse=True)
-        learned = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        count = np.bincount(token, weights=np.repeat(learned, length), minlength=len(hashes))
-        number += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([batch.column("key").to_pylist()], pa.list_(batch.column("key").type)),
-             *[pa.array([data], pa.binary()) for data in (
-                 _packed(learned), _packed(length.astype("<i4")), _packed(token.astype("<i4")),
-                 hashes.astype("<u8").tobytes(), _packed(count.astype("<i8")))],
-             pa.array([len(hashes)], pa.int64())],
-            names=["block", "keys", "learned", "lengths", "tokens", "hashes", "counts", "words"])
+        if held and tokens + len(words) > BLOCK_TOKENS:
+            number += 1
+            yield _block(number, batch.column("key").type, held)
+            held, tokens = [], 0
+        held.append((batch.column("key").to_pylist(), ~batch.column("held_out").to_numpy(zero_copy_only=False), length,
+                     word_hashes(words)))
+        tokens += len(words)
+    if held:
+        yield _block(number + 1, batch.column("key").type, held)
 
 
 def _cut(ranges: int):
@@ -172,31 +195,47 @@ def _totals(table: pa.Table) -> pa.Table:
                      "sums": pa.array([None] * len(blocks) + [sums], pa.list_(pa.float64()))})
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(ranges: int):
     """The parts of a block's totals and places put together again, in the order of its dictionary."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            parts = row.column("parts")[0].as_py()
-            both = [_packed(np.concatenate([_unpacked(p[c], kind) for p in parts]))
-                    for c, kind in (("totals", "<i8"), ("places", "<i4"))]
-            yield pa.RecordBatch.from_arrays(
-                [row.column(c) for c in ("block", "keys", "learned", "lengths", "tokens", "hashes")]
-                + [pa.array([data], pa.binary()) for data in both],
-                names=["block", "keys", "learned", "lengths", "tokens", "hashes", "totals", "places"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                parts = row.column("parts")[0].as_py()
+                data = [_packed(np.concatenate([_unpacked(p[c], kind) for p in parts]))
+                        for c, kind in (("totals", "<i8"), ("places", "<i4"))]
+                numbers, at = _parts(np.frombuffer(row.column("hashes")[0].as_py(), "<u8"), ranges)
+                yield pa.RecordBatch.from_arrays(
+                    [row.column(c) for c in ("block", "keys", "learned", "lengths", "tokens", "hashes")]
+                    + [pa.array([d], pa.binary()) for d in (*data, np.append(numbers, at).astype("<i8").tobytes())],
+                    names=["block", "keys", "learned", "lengths", "tokens", "hashes", "totals", "places", "cuts"])
+    return run
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch], model: Model):
-    """Rows; learned, lengths, tokens, hashes, totals and places; the words' emissions."""
+    """Rows; learned, lengths, tokens, totals, places and cuts; the words' emissions."""
     kinds = {"learned": "?", "lengths": "<i4", "tokens": "<i4", "totals": "<i8", "places": "<i4"}
     for batch in batches:
         for i in range(batch.num_rows):
             found = {n: _unpacked(batch.column(n)[i].as_py(), k) for n, k in kinds.items()}
             found["lengths"] = found["lengths"].astype(np.int64)
-            found["hashes"] = np.frombuffer(batch.column("hashes")[i].as_py(), "<u8")
-            parts = batch.column("parts")[i].as_py() if "parts" in batch.schema.names else None
-            counts = None if parts is None else np.frombuffer(b"".join(p["data"] for p in parts), "<f4").reshape(-1, STATES)
-            yield batch.slice(i, 1), found, model.emissions(found["totals"], found["hashes"], counts)
+            found["cuts"] = np.frombuffer(batch.column("cuts")[i].as_py(), "<i8")
+            if "parts" in batch.schema.names:
+                shares = b"".join(p["data"] for p in batch.column("parts")[i].as_py())
+                counts = np.frombuffer(shares, "<f2").astype("f4").reshape(-1, STATES) * found["totals"].astype("f4")[:, None]
+                emit = model.emissions(found["totals"], None, counts)
+            else:
+                emit = model.emissions(found["totals"], np.frombuffer(batch.column("hashes")[i].as_py(), "<u8"), None)
+            yield batch.slice(i, 1), found, emit
+
+
+def _slices(length: np.ndarray, most: int) -> list[tuple[slice, slice]]:
+    """Sequences that lie end to end in slices of some ``most`` tokens: of the sequences and of their tokens."""
+    ends = np.cumsum(length)
+    number = (ends - length) // most
+    first = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])[:len(length)]), len(length))
+    edge = np.append(0, ends)
+    return [(slice(i, j), slice(edge[i], edge[j])) for i, j in zip(first, first[1:])]
 
 
 def stretches(length: np.ndarray, most: int) -> np.ndarray:
@@ -218,25 +257,32 @@ def later(length: np.ndarray, most: int) -> np.ndarray:
 def _expected(model: Model, ranges: int):
     """Expected counts of the words of each block, in parts by range; a row with part -1 per task has the starts, moves, sums and
     losses per state and log likelihood."""
-    names = ["part", "block", "places", "data"]
+    names = ["part", "block", "places", "counts", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(STATES * (STATES + 3) + 1)
         for row, found, emit in _read_blocks(batches, model):
             learned, length = found["learned"], found["lengths"]
             symbol = found["tokens"][np.repeat(learned, length)]
-            start, move, emitted, likelihood = hmm.expect(
-                hmm.Model(model.start, model.move, emit), symbol, stretches(length[learned], STRETCH),
-                later(length[learned], STRETCH), model.shares())
-            sums += np.concatenate([start, move.ravel(), emitted.sum(axis=0), lean(found["totals"]) @ emitted, [likelihood]])
-            numbers, at = _parts(found["hashes"], ranges)
-            emitted, places = emitted.astype("<f4"), found["places"]
+            count = np.bincount(symbol, minlength=len(emit))
+            pieces, goes_on = stretches(length[learned], STRETCH), later(length[learned], STRETCH)
+            emitted, now = np.zeros((len(emit), STATES)), hmm.Model(model.start, model.move, emit.astype("f4"))
+            for some, tokens in _slices(pieces, TOKENS_AT_ONCE):
+                start, move, more, likelihood = hmm.expect(now, symbol[tokens], pieces[some], goes_on[some], model.shares())
+                emitted += more
+                sums[:STATES] += start
+                sums[STATES:STATES * (STATES + 1)] += move.ravel()
+                sums[-1] += likelihood
+            sums[-1 - 2 * STATES:-1] += np.append(emitted.sum(axis=0), lean(found["totals"]) @ emitted)
+            shares = (emitted / np.maximum(count, 1)[:, None]).astype("<f2")
+            numbers, at = np.split(found["cuts"], [len(found["cuts"]) // 2])
+            places, count = found["places"], count.astype("<i4")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(numbers), pa.array(np.full(len(numbers), row.column("block")[0].as_py()), pa.int64()),
-                 pa.array([places[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
-                 pa.array([emitted[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], names=names)
+                 *[pa.array([packed(array[i:j]) for i, j in zip(at, at[1:])], pa.binary())
+                   for array, packed in ((places, _packed), (count, _packed), (shares, np.ndarray.tobytes))]], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()),
-                                          pa.array([sums.tobytes()], pa.binary())], names=names)
+                                          pa.array([b""], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=names)
     return run
 
 
@@ -247,11 +293,13 @@ def _added(table: pa.Table) -> pa.Table:
         data = [np.sum([np.frombuffer(d, "<f8") for d in table.column("data").to_pylist()], axis=0).tobytes()]
         blocks = [-1]
     else:
-        places = [np.frombuffer(p, "<i4") for p in table.column("places").to_pylist()]
+        places = [_unpacked(p, "<i4") for p in table.column("places").to_pylist()]
         total = np.zeros((max(int(p.max()) for p in places) + 1, STATES))
-        for p, d in zip(places, table.column("data")):
-            total[p] += np.frombuffer(d.as_buffer(), "<f4").reshape(-1, STATES)  # a block has a word once
-        total = total.astype("<f4")
+        for p, c, d in zip(places, table.column("counts").to_pylist(), table.column("data")):
+            shares = np.frombuffer(d.as_buffer(), "<f2").reshape(-1, STATES)
+            total[p] += shares * _unpacked(c, "<i4")[:, None].astype(float)  # a block has a word once
+        total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
+        total = total.astype("<f2")
         data = [total[p].tobytes() for p in places]
     return pa.table({"part": pa.array([part] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()),
                      "data": pa.array(data, pa.binary())})
@@ -264,7 +312,9 @@ def _scored(model: Model):
             length, token, total = found["lengths"], found["tokens"], found["totals"]
             base = np.log10(model.marginal(total))
             first = np.cumsum(length) - length
-            score = hmm.log_likelihood(hmm.Model(model.start, model.move, emit), token, length) / np.log(10)
+            now = hmm.Model(model.start, model.move, emit)
+            score = np.concatenate([hmm.log_likelihood(now, token[tokens], length[some])
+                                    for some, tokens in _slices(length, TOKENS_AT_ONCE)]) / np.log(10)
             yield pa.RecordBatch.from_arrays(
                 [row.column("keys").flatten(), pa.array(~found["learned"]), pa.array(length),
                  pa.array(np.add.reduceat((total > 0)[token].astype(np.int64), first)),
@@ -274,6 +324,18 @@ def _scored(model: Model):
     return run
 
 
+@contextmanager
+def _block_by_block(spark: SparkSession) -> Iterator[None]:
+    """Rows are blocks here: they go to the workers one at a time, so that memory holds one and not all of a partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _with_counts(blocks: DataFrame, added: DataFrame | None) -> DataFrame:
     """Blocks with the expected counts of their words."""
     if added is None:
@@ -283,18 +345,23 @@ def _with_counts(blocks: DataFrame, added: DataFrame | None) -> DataFrame:
     return blocks.join(parts, F.col("block") == F.col("_block")).drop("_block")
 
 
-def train(blocks: DataFrame, model: Model, ranges: int, passes: int = PASSES) -> tuple[Model, DataFrame, list[float]]:
+def _emptied(spark: SparkSession, folder: str, *tables: str) -> None:
+    for table in tables:
+        kept_at(spark.createDataFrame([], "block bigint"), f"{folder}/{table}")
+
+
+def train(blocks: DataFrame, model: Model, ranges: int, folder: str, passes: int = PASSES) -> tuple[Model, DataFrame, list[float]]:
     """The model after some passes over all blocks, the blocks with their words' expected counts, and the log likelihood before
-    each pass."""
+    each pass. ``blocks`` lie in ``folder``/counted."""
     added, seen = None, []
-    for _ in range(passes if model.tokens else 0):
-        # Files written before stay until the driver collects its garbage.
-        gc.collect()
-        blocks.sparkSession.sparkContext._jvm.System.gc()
-        added = checkpointed(
-            _with_counts(blocks, added)
-            .mapInArrow(_expected(model, ranges), "part bigint, block bigint, places binary, data binary")
-            .groupBy("part").applyInArrow(_added, "part bigint, block bigint, data binary"))
+    for k in range(passes if model.tokens else 0):
+        sent = kept_at(_with_counts(blocks, added).mapInArrow(
+            _expected(model, ranges), "part bigint, block bigint, places binary, counts binary, data binary"), f"{folder}/sent")
+        if not k:  # hashes were for this pass
+            blocks = kept_at(blocks.drop("hashes"), f"{folder}/blocks")
+            _emptied(blocks.sparkSession, folder, "counted")
+        # The sums of the pass before are in what was sent: theirs is the place of the new ones.
+        added = kept_at(sent.groupBy("part").applyInArrow(_added, "part bigint, block bigint, data binary"), f"{folder}/pass")
         sums = np.frombuffer(added.where("block < 0").first()["data"], "<f8")
         start, move, weight, freed, likelihood = np.split(sums, np.cumsum([STATES, STATES * STATES, STATES, STATES]))
         seen.append(float(likelihood[0]))
@@ -303,28 +370,30 @@ def train(blocks: DataFrame, model: Model, ranges: int, passes: int = PASSES) ->
     return model, _with_counts(blocks, added), seen
 
 
-def counted_blocks(docs: DataFrame, key: str, text: str, held_out) -> tuple[DataFrame, Model, int]:
+def counted_blocks(docs: DataFrame, key: str, text: str, held_out, folder: str) -> tuple[DataFrame, Model, int]:
     """Blocks with the training counts of their words, the first model, and the number of ranges."""
-    rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).alias("text"))
+    rows = docs.select(named(key).alias("key"), held_out.alias("held_out"), named(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    blocks = checkpointed(rows.mapInArrow(_blocks, (
+    blocks = kept_at(rows.mapInArrow(_blocks, (
         f"block bigint, keys array<{kind}>, learned binary, lengths binary, tokens binary, hashes binary, counts binary, "
-        "words bigint")))
+        "words bigint")), f"{folder}/blocks")
     entries = blocks.agg(F.sum("words")).first()[0] or 0
     ranges = max(1, -(-entries // WORDS_PER_RANGE))
-    totals = checkpointed(
+    totals = kept_at(
         blocks.select("block", "hashes", "counts")
         .mapInArrow(_cut(ranges), "part bigint, block bigint, hashes binary, counts binary")
         .groupBy("part").applyInArrow(
-            _totals, "part bigint, block bigint, totals binary, places binary, sums array<double>"))
+            _totals, "part bigint, block bigint, totals binary, places binary, sums array<double>"), f"{folder}/totals")
     parts = (totals.where("block >= 0").groupBy(F.col("block").alias("_block"))
              .agg(F.array_sort(F.collect_list(F.struct("part", "totals", "places"))).alias("parts")))
-    counted = checkpointed(
-        blocks.join(parts, F.col("block") == F.col("_block"))
-        .select("block", "keys", "learned", "lengths", "tokens", "hashes", "parts")
-        .mapInArrow(_joined, f"block bigint, keys array<{kind}>, learned binary, lengths binary, tokens binary, "
-                             "hashes binary, totals binary, places binary"))
+    with _block_by_block(docs.sparkSession):
+        counted = kept_at(
+            blocks.join(parts, F.col("block") == F.col("_block"))
+            .select("block", "keys", "learned", "lengths", "tokens", "hashes", "parts")
+            .mapInArrow(_joined(ranges), f"block bigint, keys array<{kind}>, learned binary, lengths binary, tokens binary, "
+                                         "hashes binary, totals binary, places binary, cuts binary"), f"{folder}/counted")
     found = totals.where("block < 0").agg(*[F.sum(F.col("sums")[i]) for i in range(4 + 2 * STATES)]).first()
+    _emptied(docs.sparkSession, folder, "blocks", "totals")
     tokens, words, own_tokens, own, *by_state = [x or 0.0 for x in found]
     all_counts = tokens + SMOOTH * (words + 1)
     weight = (np.array(by_state[:STATES]) + SMOOTH * np.array(by_state[STATES:]) + SMOOTH) / all_counts
@@ -332,16 +401,20 @@ def counted_blocks(docs: DataFrame, key: str, text: str, held_out) -> tuple[Data
     return counted, Model(*hmm.first_moves(STATES), int(tokens), int(words), weight, leaning), ranges
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", passes: int = PASSES) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", passes: int = PASSES,
+                folder: str | None = None) -> DataFrame:
     """One row per text: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    A tenth of the texts, by the checksum of the key, is held out: the model learns from the others.
+    A tenth of the texts, by the checksum of the key, is held out: the model learns from the others. ``folder`` takes the tables
+    written along the way; one of its own below the shared folder if none is given.
     """
-    held_out = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    blocks, first, ranges = counted_blocks(docs, key, text, held_out)
-    model, blocks, _ = train(blocks, first, ranges, passes)
+    folder = folder or fresh_folder(docs.sparkSession, "hidden-markov")
+    held_out = F.crc32(F.coalesce(named(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    blocks, first, ranges = counted_blocks(docs, key, text, held_out, folder)
     kind = docs.schema[key].dataType.simpleString()
-    scored = blocks.mapInArrow(_scored(model), (
-        f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
-        "score double"))
+    with _block_by_block(docs.sparkSession):
+        model, blocks, _ = train(blocks, first, ranges, folder, passes)
+        scored = kept_at(blocks.mapInArrow(_scored(model), (
+            f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
+            "score double")), f"{folder}/scores")
     return scored.withColumnRenamed("key", key)

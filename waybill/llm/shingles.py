@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from waybill.llm.arrow import kept
-
 #: Words of a shingle. A shorter text with words has one shingle, all its words.
 WORDS = 5
-REMEMBERED = 400_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -22,13 +19,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    known = kept(dict)
-    new = set(words).difference(known)
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = set(words)
-    known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
