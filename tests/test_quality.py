@@ -124,3 +124,13 @@ def test_unique_violations_scan_a_table_once(spark, folder):
     report = Q.unique_violations({"lineitem": table}, {"lineitem": [["l_orderkey", "l_linenumber"], ["l_partkey"]]})
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_references_by_number_and_by_text(spark):
+    """Ids of either kind, side by side in one scan of the child."""
+    hubs = spark.createDataFrame([(1,), (2,)], "id int")
+    users = spark.createDataFrame([("7",), ("x",)], "id string")
+    events = spark.createDataFrame([(1, 1, "x"), (2, 3, "y"), (3, None, "7"), (4, 9, None)], "id bigint, hub_id bigint, user_id string")
+    tables = {"hubs": hubs, "users": users, "shipment_events": events}
+    found = {r["rule"]: r["violations"] for r in Q.fk_orphans(tables).collect() if r["table_name"] == "shipment_events"}
+    assert found == {"hub_id_reference": 2, "user_id_reference": 1}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waybill import fixed
 from waybill.functions.expressions import phone_valid
@@ -195,74 +196,143 @@ def duplicate_keys(df: DataFrame, keys: list[str], where: Column | None = None)
 
 # --- what the rows of a table offer to the checks, from one scan ---------------------------------
 
-_BROKEN, _KEY, _REFERENCE = 0, 1, 2
 #: Repeated hashes up to which they are broadcast, at 12 bytes each; beyond, Spark joins as it sees fit.
 MOST_BROADCAST = 1_000_000
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+@dataclass(frozen=True)
+class _Offer:
+    """What a row offers to the check numbered ``ref``: one or two numbers, or a text; nothing if ``condition`` is false."""
+
+    ref: int
+    condition: Column
+    number: Column
+    more: Column | None = None
+    text: Column | None = None
+
+    def fields(self, with_text: bool) -> list[Column]:
+        more = F.lit(0).cast("bigint") if self.more is None else self.more
+        text = [F.lit(None).cast("string") if self.text is None else self.text] if with_text else []
+        return [F.when(self.condition, F.lit(self.ref)), self.number, more, *text]
 
 
 def _known_all(columns: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
 
 
-def _offer(condition: Column, kind: int, ref: int, hashed: Column | None = None, value: Column | None = None) -> Column:
-    return F.when(condition, F.struct(
-        F.lit(kind).alias("kind"), F.lit(ref).alias("ref"), (F.lit(0).cast("bigint") if hashed is None else hashed).alias("hash"),
-        (F.lit(None) if value is None else value).cast("string").alias("value")))
+def _number(df: DataFrame, column: str) -> Column | None:
+    """The column as a number that tells all its values apart, if it has one."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("bigint")
+    return F.col(column).cast("bigint") if isinstance(kind, _WHOLE) else None
+
+
+def _exact(df: DataFrame, key: list[str]) -> bool:
+    """Whether one or two numbers stand for the key, so that none of its values need be looked at again."""
+    return len(key) <= 2 and all(_number(df, k) is not None for k in key)
 
 
-def _counted(tables: Mapping[str, DataFrame], offers: Mapping[str, list[Column]]) -> DataFrame:
-    """Rows (kind, ref, hash, value, n): each table is scanned once and its rows' offers meet in one aggregation, combined before
-    the shuffle; hashes of keys that occur once end there. Counted as rows and not as observed metrics, which a stage that runs
-    again would count twice."""
-    found = [tables[t].select(F.inline(F.array_compact(F.array(*own)))) for t, own in offers.items() if own]
+def _exact_and_hashed(tables: Mapping[str, DataFrame], declared: list[tuple[str, list[str]]],
+                      first: int = 0) -> tuple[list[int], list[int]]:
+    exact = [ref for ref, (table, key) in enumerate(declared, first) if _exact(tables[table], key)]
+    return exact, [ref for ref in range(first, first + len(declared)) if ref not in exact]
+
+
+def _counted(tables: Mapping[str, DataFrame], offers: Mapping[str, list[_Offer]], exact: Sequence[int] = (),
+             hashed: Sequence[int] = ()) -> DataFrame:
+    """Rows (ref, number, more, n; text where some offer has one): each table is scanned once and its rows' offers meet in one
+    aggregation, combined before the shuffle. ``exact`` keys are left with one row each, their surplus; hashes of ``hashed`` keys
+    that occur once end there. Counted as rows and not as observed metrics, which a stage that runs again would count twice."""
+    with_text = any(o.text is not None for own in offers.values() for o in own)
+    names = ["ref", "number", "more"] + ["text"] * with_text
+    found = []
+    for table, own in offers.items():
+        if own:
+            found.append(_unpivoted(tables[table], [offer.fields(with_text) for offer in own], names))
     if not found:
-        return next(iter(tables.values())).sparkSession.createDataFrame([], "kind int, ref int, hash bigint, value string, n bigint")
-    counts = _union(found).groupBy("kind", "ref", "hash", "value").agg(F.count(F.lit(1)).alias("n"))
-    return checkpointed(counts.where((F.col("kind") != _KEY) | (F.col("n") > 1)))
+        kinds = ", ".join(f"{c} {'int' if c == 'ref' else 'string' if c == 'text' else 'bigint'}" for c in [*names, "n"])
+        return next(iter(tables.values())).sparkSession.createDataFrame([], kinds)
+    counts = _union(found).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    if hashed:
+        counts = counts.where(~F.col("ref").isin(hashed) | (F.col("n") > 1))
+    if exact:
+        # Their surplus is added up before the rows are written: one row per key is left.
+        is_exact = F.col("ref").isin(exact)
+        parts = [F.when(~is_exact, F.col(c)).alias(c) for c in names[1:]]
+        counts = (counts.select("ref", *parts, F.when(is_exact, F.col("n") - 1).otherwise(F.col("n")).alias("n"))
+                  .groupBy(*names).agg(F.sum("n").alias("n")))
+    return counts
+
+
+def _unpivoted(df: DataFrame, offers: list[list[Column]], names: list[str]) -> DataFrame:
+    """One row per offer made, as an unpivot of several columns at once: rows are multiplied without an array of them each."""
+    wide = df.select(*[field.alias(f"{name}{i}") for i, fields in enumerate(offers) for name, field in zip(names, fields)])
+    each = ", ".join(f"({', '.join(f'{name}{i}' for name in names)}) as `{i}`" for i in range(len(offers)))
+    return df.sparkSession.sql(
+        f"select {', '.join(names)} from {{wide}} unpivot (({', '.join(names)}) for offer in ({each})) where ref is not null", wide=wide)
 
 
 def _declared_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, list[list[str]]]) -> list[tuple[str, list[str]]]:
     return [(table, key) for table, df in tables.items() for key in keys.get(table, []) if set(key) <= set(df.columns)]
 
 
-def _key_offers(table: str, declared: list[tuple[str, list[str]]], first: int = 0) -> list[Column]:
-    return [_offer(_known_all(key), _KEY, first + i, F.xxhash64(*key)) for i, (owner, key) in enumerate(declared) if owner == table]
+def _key_offers(df: DataFrame, table: str, declared: list[tuple[str, list[str]]], first: int = 0) -> list[_Offer]:
+    """Numbers stand for themselves, all other keys offer a hash."""
+    offers = []
+    for ref, (owner, key) in enumerate(declared, first):
+        if owner == table:
+            numbers = [_number(df, k) for k in key] if _exact(df, key) else [F.xxhash64(*key)]
+            offers.append(_Offer(ref, _known_all(key), *numbers))
+    return offers
 
 
-def _reference_offers(table: str, references: list[tuple[str, str, str, bool]], first: int = 0) -> list[Column]:
-    return [_offer(F.col(column).isNotNull(), _REFERENCE, first + i, value=F.col(column))
-            for i, (owner, column, _, _) in enumerate(references) if owner == table]
+def _by_number(tables: Mapping[str, DataFrame], reference: tuple[str, str, str, bool]) -> bool:
+    child, column, parent, _ = reference
+    return all(isinstance(tables[t].schema[c].dataType, _WHOLE) for t, c in ((child, column), (parent, "id")))
+
+
+def _reference_offers(tables: Mapping[str, DataFrame], table: str, references: list[tuple[str, str, str, bool]],
+                      first: int = 0) -> list[_Offer]:
+    offers = []
+    for ref, reference in enumerate(references, first):
+        if reference[0] == table:
+            value = F.col(reference[1])
+            offers.append(_Offer(ref, value.isNotNull(), value.cast("bigint")) if _by_number(tables, reference) else
+                          _Offer(ref, value.isNotNull(), F.lit(0).cast("bigint"), text=value.cast("string")))
+    return offers
 
 
 def _surplus(counted: DataFrame, tables: Mapping[str, DataFrame], declared: list[tuple[str, list[str]]], first: int = 0) -> DataFrame:
-    """Surplus rows (ref, n) of keys: only values whose hash occurs more than once are looked at, and compared by value. Tables
-    without such hashes are not read again."""
-    repeated = counted.where(F.col("kind") == _KEY).select("ref", "hash")
-    sizes = {r["ref"]: r["count"] for r in repeated.groupBy("ref").count().collect()}
-    if not sizes:
-        return repeated.select("ref", F.lit(0).cast("bigint").alias("n"))
-    if sum(sizes.values()) <= MOST_BROADCAST:
-        repeated = F.broadcast(repeated)
-    values = []
-    for table in dict.fromkeys(owner for owner, _ in declared):
-        own = [(first + i, key) for i, (owner, key) in enumerate(declared) if owner == table and first + i in sizes]
-        if own:
-            offers = [F.when(_known_all(key), F.struct(F.lit(ref).alias("ref"), F.xxhash64(*key).alias("hash"), F.array(
-                *[F.col(k).cast("string") for k in key]).alias("value"))) for ref, key in own]
-            values.append(tables[table].select(F.inline(F.array_compact(F.array(*offers)))))
-    return (_union(values).join(repeated, ["ref", "hash"], "left_semi").groupBy("ref", "value")
-            .agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("ref").agg(F.sum("n").alias("n")))
+    """Surplus rows (ref, n) of keys. Keys made of numbers are counted already. Of the others, only values whose hash occurs more
+    than once are looked at, and compared by value; tables without such hashes are not read again."""
+    exact, hashed = _exact_and_hashed(tables, declared, first)
+    found = [counted.where(F.col("ref").isin(exact)).select("ref", "n")]
+    repeated = counted.where(F.col("ref").isin(hashed)).select("ref", F.col("number").alias("_hash"))
+    sizes = {r["ref"]: r["count"] for r in repeated.groupBy("ref").count().collect()} if hashed else {}
+    for ref in sizes:
+        table, key = declared[ref - first]
+        own = repeated.where(F.col("ref") == ref).select("_hash")
+        if sum(sizes.values()) <= MOST_BROADCAST:
+            own = F.broadcast(own)
+        rows = tables[table].select(*key).where(_known_all(key)).withColumn("_hash", F.xxhash64(*key))
+        found.append(rows.join(own, "_hash", "left_semi").groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("n"))
+                     .agg(F.sum("n").alias("n")).select(F.lit(ref).alias("ref"), "n"))
+    return _union(found)
 
 
 def _orphans(counted: DataFrame, tables: Mapping[str, DataFrame], references: list[tuple[str, str, str, bool]],
              first: int = 0) -> DataFrame:
     """Rows (ref, n) of references without a parent: the distinct values of all references to one parent meet its ids."""
+    groups: dict[tuple[str, bool], list[int]] = {}
+    for ref, reference in enumerate(references, first):
+        groups.setdefault((reference[2], _by_number(tables, reference)), []).append(ref)
     found = []
-    for parent in dict.fromkeys(fk[2] for fk in references):
-        own = [first + i for i, fk in enumerate(references) if fk[2] == parent]
-        values = counted.where((F.col("kind") == _REFERENCE) & F.col("ref").isin(own)).select("ref", "value", "n")
-        found.append(values.join(tables[parent].select(F.col("id").cast("string").alias("value")), "value", "left_anti")
-                     .select("ref", "n"))
+    for (parent, by_number), own in groups.items():
+        name, kind = ("number", "bigint") if by_number else ("text", "string")
+        ids = tables[parent].select(F.col("id").cast(kind).alias(name))
+        found.append(counted.where(F.col("ref").isin(own)).select("ref", name, "n").join(ids, name, "left_anti").select("ref", "n"))
     if not found:
         return counted.select("ref", "n").where("false")
     return _union(found).groupBy("ref").agg(F.sum("n").alias("n"))
@@ -272,10 +342,14 @@ def unique_violations(tables: Mapping[str, DataFrame],
                       keys: Mapping[str, list[list[str]]] = fixed.UNIQUE_KEYS) -> DataFrame:
     """Surplus rows per declared key: those beyond the first of each key.
 
-    Keys are counted by 64-bit hashes of their typed values; only those whose hash repeats are compared by value.
+    Keys of one or two whole numbers or dates are counted as they are, in one pass. Others are counted by 64-bit hashes of their
+    typed values; only those whose hash repeats are compared by value.
     """
     declared = _declared_keys(tables, keys)
-    counted = _counted(tables, {t: _key_offers(t, declared) for t in tables})
+    exact, hashed = _exact_and_hashed(tables, declared)
+    counted = _counted(tables, {t: _key_offers(df, t, declared) for t, df in tables.items()}, exact, hashed)
+    if hashed:
+        counted = checkpointed(counted)
     return _per_rule(_surplus(counted, tables, declared), [(table, "_".join(key) + "_unique") for table, key in declared])
 
 
@@ -301,7 +375,7 @@ def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
     costs one row. Each parent is joined by itself, so a small one is broadcast by Spark whatever the size of the others.
     """
     references = _usable(tables)
-    counted = _counted(tables, {t: _reference_offers(t, references) for t in tables})
+    counted = checkpointed(_counted(tables, {t: _reference_offers(tables, t, references) for t in tables}))
     return _per_rule(_orphans(counted, tables, references),
                      [(child, f"{column}_reference") for child, column, _, _ in references])
 
@@ -367,10 +441,11 @@ def integrity_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     rules = [(t, rule) for t, df in tables.items() for rule in check_rules(t, df) + not_null_rules(t, df)]
     declared, references = _declared_keys(tables, fixed.UNIQUE_KEYS), _usable(tables)
     keys_at, references_at = len(rules), len(rules) + len(declared)
-    offers = {t: [_offer(rule.broken, _BROKEN, i) for i, (owner, rule) in enumerate(rules) if owner == t]
-              + _key_offers(t, declared, keys_at) + _reference_offers(t, references, references_at) for t in tables}
-    counted = _counted(tables, offers)
-    broken = counted.where(F.col("kind") == _BROKEN).select("ref", "n")
+    offers = {t: [_Offer(i, rule.broken, F.lit(0).cast("bigint")) for i, (owner, rule) in enumerate(rules) if owner == t]
+              + _key_offers(df, t, declared, keys_at) + _reference_offers(tables, t, references, references_at)
+              for t, df in tables.items()}
+    counted = checkpointed(_counted(tables, offers, *_exact_and_hashed(tables, declared, keys_at)))
+    broken = counted.where(F.col("ref") < keys_at).select("ref", "n")
     counts = _union([broken, _surplus(counted, tables, declared, keys_at), _orphans(counted, tables, references, references_at)])
     return _per_rule(counts, [(t, rule.name) for t, rule in rules] + [(t, "_".join(key) + "_unique") for t, key in declared]
                      + [(child, f"{column}_reference") for child, column, _, _ in references])
