@@ -126,6 +126,22 @@ def test_unique_violations_scan_a_table_once(spark, folder):
     assert plan.count("FileScan parquet") == 1
 
 
+def test_keys_of_numbers_are_counted_in_one_pass(spark, monkeypatch):
+    """Neither written row by row nor looked at again, however many repeat; texts still are."""
+    written = []
+    monkeypatch.setattr(Q, "checkpointed", lambda df: written.append(df) or df)
+    rows = spark.range(1000).selectExpr("id % 500 id", "cast(id % 250 as int) n", "date_add(date'2024-01-01', cast(id % 100 as int)) day",
+                                        "cast(id % 10 as string) v").unionByName(
+        spark.sql("select cast(null as bigint) id, 1 n, cast(null as date) day, cast(null as string) v"))
+    keys = {"t": [["id"], ["n"], ["day", "id"], ["day"]]}
+    found = {r["rule"]: r["violations"] for r in Q.unique_violations({"t": rows}, keys).collect()}
+    assert found == {"id_unique": 500, "n_unique": 751, "day_id_unique": 500, "day_unique": 900} and not written
+    found = {r["rule"]: r["violations"] for r in Q.unique_violations({"t": rows}, {"t": [*keys["t"], ["v"]]}).collect()}
+    assert found["v_unique"] == 990 and found["id_unique"] == 500 and len(written) == 1
+    assert {r["ref"]: r["n"] for r in written[0].groupBy("ref").agg(F.count("*").alias("n")).collect()} == {
+        0: 1, 1: 1, 2: 1, 3: 1, 4: 10}
+
+
 def test_references_by_number_and_by_text(spark):
     """Ids of either kind, side by side in one scan of the child."""
     hubs = spark.createDataFrame([(1,), (2,)], "id int")
