@@ -252,3 +252,26 @@ def test_pages(spark):
 
 def test_constants():
     assert fixed.DELIVERY_DAYS["standard"] == 3 and fixed.SLOW_DELIVERY_DAYS["standard"] == 5
+
+
+def test_create_shipments_parses_its_payloads_once(spark, folder):
+    """What ranges, numbers and hands back rejects reads the parsed documents."""
+    from waybill.plans import catalog
+
+    plan = catalog.QUERIES["create_shipments"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "json_object_keys" not in plan
+
+
+def test_payloads_parsed_once_are_the_same(spark):
+    from pyspark.sql import types as T
+
+    from waybill.sources.documents import read_payloads
+
+    schema = T.StructType([T.StructField("senderName", T.StringType()), T.StructField("pickUpAt", T.StringType())])
+    given = spark.createDataFrame([(1, '{"senderName": null, "otherThing": 1}'), (2, '{"pickUpAt": "x"}'), (3, '{"sen'), (4, None),
+                                   (5, "{}")], "ordinal bigint, payload string")
+    results = [[sorted(map(str, df.collect())) for df in read_payloads(given, schema, once=once)] for once in (False, True)]
+    assert results[0] == results[1]
+    rows = {r["ordinal"]: r for r in read_payloads(given, schema, once=True)[0].collect()}
+    assert rows[1]["present_fields"] == ["sender_name", "other_thing"] and rows[2]["present_fields"] == ["pick_up_at"]
+    assert rows[2]["pick_up_at"] == "x" and rows[5]["present_fields"] == []

@@ -103,7 +103,7 @@ def create_shipments(spark, folder):
     ordinal = F.substring("id", 3, 20).cast("bigint")
     # Every eleventh document is cut off in the middle.
     cut = F.when(ordinal % 11 == 3, F.substring(text, 1, 40)).otherwise(text)
-    good, malformed = D.read_payloads(rows.select(ordinal.alias("ordinal"), cut.alias("payload")), _PAYLOAD)
+    good, malformed = D.read_payloads(rows.select(ordinal.alias("ordinal"), cut.alias("payload")), _PAYLOAD, once=True)
     existing = M.table(spark, folder, "supplier").select(
         X.tracking_number(AS_OF(M.SHIPMENTS_AS_OF), 3 * F.col("s_suppkey") % 1000).alias("tracking_number"))
     created, rejects = C.create_shipments(good, existing, AS_OF(M.SHIPMENTS_AS_OF), "batch-1")

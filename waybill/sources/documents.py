@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waybill.functions.expressions import iso_timestamp, to_camel, to_snake
+from waybill.session import fresh_folder, shuffles_removed
 
 CORRUPT = "_corrupt_record"
 PRESENT = "present_fields"
@@ -21,13 +24,14 @@ def payload_schema(table_schema: T.StructType, skip: tuple[str, ...] = ()) -> T.
 
 
 def read_payloads(source: DataFrame | str, schema: T.StructType, spark: SparkSession | None = None,
-                  column: str = "payload") -> tuple[DataFrame, DataFrame]:
+                  column: str = "payload", once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse JSON documents into ``(rows, malformed)``.
 
     ``source`` is a frame with a text column, or a path of line-delimited JSON. Rows have the
     fields of ``schema`` in snake_case, next to the other columns of the frame and
     ``present_fields``: the (snake_case) names the document held, which tells an explicit NULL
-    from an absent field. Malformed documents keep their text.
+    from an absent field. Malformed documents keep their text. With ``once`` the documents are parsed at once and written
+    to the shared folder, for callers that go over the rows more than once.
     """
     if isinstance(source, str):
         source = spark.read.text(source).withColumnRenamed("value", column)
@@ -40,12 +44,26 @@ def read_payloads(source: DataFrame | str, schema: T.StructType, spark: SparkSes
         F.json_object_keys(F.col(column)).alias("present"),
     ))).alias("_parsed"))
     broken = F.col("_parsed.doc").isNull() | F.col(f"_parsed.doc.{CORRUPT}").isNotNull()
-    rows = parsed.where(~broken).select(
-        *others,
-        *[F.col(f"_parsed.doc.{f.name}").alias(to_snake(f.name)) for f in schema.fields],
-        F.transform("_parsed.present", _snake_text).alias(PRESENT))
-    malformed = parsed.where(broken).select(*others, column)
-    return rows, malformed
+    names = F.transform("_parsed.present", _known_snake([f.name for f in schema.fields]))
+    read = parsed.select(*others, broken.alias("_broken"), F.when(broken, F.col(column)).alias(column),
+                         *[F.col(f"_parsed.doc.{f.name}").alias(f"_field{i}") for i, f in enumerate(schema.fields)],
+                         names.alias(PRESENT))
+    if once:
+        folder = fresh_folder(source.sparkSession, "payloads")
+        with shuffles_removed(source.sparkSession):
+            read.write.parquet(folder)
+        read = source.sparkSession.read.schema(read.schema).parquet(folder)
+    rows = read.where(~F.col("_broken")).select(
+        *others, *[F.col(f"_field{i}").alias(to_snake(f.name)) for i, f in enumerate(schema.fields)], PRESENT)
+    return rows, read.where("_broken").select(*others, column)
+
+
+def _known_snake(names: list[str]) -> Callable[[Column], Column]:
+    """Names of the schema are looked up; only others are worked out from their letters."""
+    known = [F.lit(text) for n in names if n.isascii() for text in (n, to_snake(n))]
+    if not known:
+        return _snake_text
+    return lambda name: F.coalesce(F.try_element_at(F.create_map(*known), name), _snake_text(name))
 
 
 def _snake_text(name: Column) -> Column:
