@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 from decimal import Decimal
 
@@ -275,3 +276,24 @@ def test_payloads_parsed_once_are_the_same(spark):
     rows = {r["ordinal"]: r for r in read_payloads(given, schema, once=True)[0].collect()}
     assert rows[1]["present_fields"] == ["sender_name", "other_thing"] and rows[2]["present_fields"] == ["pick_up_at"]
     assert rows[2]["pick_up_at"] == "x" and rows[5]["present_fields"] == []
+
+
+@pytest.mark.parametrize("mode", [C.EXPLICIT_NULL, C.IGNORE_NULL])
+def test_patches_dealt_out_by_number(spark, table, mode, monkeypatch):
+    """As many parts as the rows ask for, and the same three results; a patch without a key is unmatched."""
+    given = patches(spark, [
+        ("A", 1, ["status", "cost"], "in_transit", None, None, None, Decimal("9.00"), None),
+        ("A", 2, ["status", "hub_id"], "delivered", None, None, None, None, None),
+        ("B", 1, [], None, None, None, None, None, None),
+        (None, 5, ["status"], "failed", None, None, None, None, None),
+        ("nobody", 1, ["status"], "failed", None, None, None, None, None),
+        ("nobody", 2, ["status"], "failed", None, None, None, None, None)])
+    monkeypatch.setattr(C, "PATCHED_ROWS", 2)
+    tasks = C.tasks_for(table, given)
+    assert tasks == max(3, -(-table.count() // 2)) and C.tasks_for(table.where("false")) == 1
+    dealt, usual = (C.apply_patches(table, given, AS_OF(NOW), mode=mode, tasks=n) for n in (tasks, 1))
+    for one, other in zip(dealt, usual):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert sorted(map(str, (r["id"] for r in dealt[1].collect()))) == ["None", "nobody", "nobody"]
+    plan = dealt[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(rf"RepartitionByExpression \[id#\w+\], {tasks}\b", plan)

@@ -25,6 +25,8 @@ from waybill.sources.documents import PRESENT
 
 EXPLICIT_NULL = "explicit_null"
 IGNORE_NULL = "ignore_null"
+#: Rows of a table or of patches that one task holds, where they are dealt out by number.
+PATCHED_ROWS = 250_000
 
 
 # --- create ------------------------------------------------------------------------------------
@@ -162,18 +164,28 @@ def combine_patches(patches: DataFrame, fields: list[str], key: str, seq: str,
     return patches.where(_any_set(fields, mode)).groupBy(key).agg(*aggregates)
 
 
+def tasks_for(*frames: DataFrame) -> int:
+    """Tasks for as many rows as the largest of ``frames`` has, so that what a task sorts stays the same as they grow."""
+    return max(1, *[-(-df.count() // PATCHED_ROWS) for df in frames])
+
+
 def apply_patches(table: DataFrame, patches: DataFrame, as_of: Column, key: str = "id",
                   seq: str = "seq", mode: str = EXPLICIT_NULL, recompute_eta: bool = False,
-                  days: Mapping[str, int] = fixed.DELIVERY_DAYS,
+                  days: Mapping[str, int] = fixed.DELIVERY_DAYS, tasks: int = 1,
                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply patches in ``seq`` order: ``(table, unmatched, empty)``.
 
     With ``explicit_null`` a field is set when ``present_fields`` names it, NULL included; with
     ``ignore_null`` when it is not NULL. Patches for unknown keys and patches that set nothing are
-    handed back. ``recompute_eta`` derives the estimate anew at every service change.
+    handed back. ``recompute_eta`` derives the estimate anew at every service change. ``tasks`` above 1 (see ``tasks_for``)
+    fixes the number of parts that rows are dealt into, else Spark chooses it.
     """
     fields = _patch_fields(table, patches, key, seq)
+    if tasks > 1:
+        table, patches = table.repartition(tasks, key), patches.repartition(tasks, seq)
     combined = combine_patches(patches, fields, key, seq, mode)
+    if tasks > 1:
+        combined = combined.repartition(tasks, key)
     joined = table.join(combined, key, "left")
     new = {f: F.when(F.col(f"_seq_{f}").isNotNull(), F.col(f"_new_{f}").cast(table.schema[f].dataType))
            .otherwise(F.col(f)) for f in fields}
@@ -188,8 +200,9 @@ def apply_patches(table: DataFrame, patches: DataFrame, as_of: Column, key: str
     updated = joined.withColumns(new).drop(*helpers).select(*table.columns)
 
     something = _any_set(fields, mode)
-    known = taken_keys(patches, table, [key])
-    unmatched = patches.where(something).join(known, key, "left_anti")
+    # One row per key meets the table; a NULL key is in no table.
+    unknown = combined.select(key).join(table.select(key), key, "left_anti").withColumnRenamed(key, "_unknown")
+    unmatched = patches.where(something).join(unknown, F.col(key).eqNullSafe(F.col("_unknown")), "left_semi")
     return updated, unmatched, patches.where(~something)
 
 

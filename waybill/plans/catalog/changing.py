@@ -231,14 +231,15 @@ def _patched(parts):
     route="case when n_route > 0 then c.route else d.route end",
     hub="case when n_hub > 0 then null else d.hub_id end", changed="n_set", something="kind <> 'signup'"), _patches_sql()))
 def apply_patches(spark, folder):
-    return _patched(C.apply_patches(M.documents(spark, folder), _patches(spark, folder), AS_OF(M.EVENTS_AS_OF)))
+    rows, patches = M.documents(spark, folder), _patches(spark, folder)
+    return _patched(C.apply_patches(rows, patches, AS_OF(M.EVENTS_AS_OF), tasks=C.tasks_for(rows, patches)))
 
 
 @query("apply_patches_ignore_null", on_model(_PATCHED.format(
     route="coalesce(c.known_route, d.route)", hub="d.hub_id", changed="n_set", something="kind <> 'signup'"), _patches_sql()))
 def apply_patches_ignore_null(spark, folder):
-    return _patched(C.apply_patches(M.documents(spark, folder), _patches(spark, folder), AS_OF(M.EVENTS_AS_OF),
-                                    mode=C.IGNORE_NULL))
+    rows, patches = M.documents(spark, folder), _patches(spark, folder)
+    return _patched(C.apply_patches(rows, patches, AS_OF(M.EVENTS_AS_OF), mode=C.IGNORE_NULL))
 
 
 @query("patch_recompute_eta", on_model("""
@@ -251,7 +252,8 @@ select d.id, coalesce(c.service_type, d.service_type) service_type,
 from documents_ d left join combined c on c.id = d.id""", _patches_sql()))
 def patch_recompute_eta(spark, folder):
     rows = M.documents(spark, folder).withColumn("estimated_delivery", F.col("created_at"))
-    updated, _, _ = C.apply_patches(rows, _patches(spark, folder), AS_OF(M.EVENTS_AS_OF), recompute_eta=True)
+    patches = _patches(spark, folder)
+    updated, _, _ = C.apply_patches(rows, patches, AS_OF(M.EVENTS_AS_OF), recompute_eta=True, tasks=C.tasks_for(rows, patches))
     return updated.select("id", "service_type", "estimated_delivery")
 
 
