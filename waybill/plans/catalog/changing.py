@@ -239,7 +239,7 @@ def apply_patches(spark, folder):
     route="coalesce(c.known_route, d.route)", hub="d.hub_id", changed="n_set", something="kind <> 'signup'"), _patches_sql()))
 def apply_patches_ignore_null(spark, folder):
     rows, patches = M.documents(spark, folder), _patches(spark, folder)
-    return _patched(C.apply_patches(rows, patches, AS_OF(M.EVENTS_AS_OF), mode=C.IGNORE_NULL))
+    return _patched(C.apply_patches(rows, patches, AS_OF(M.EVENTS_AS_OF), mode=C.IGNORE_NULL, tasks=C.tasks_for(rows, patches)))
 
 
 @query("patch_recompute_eta", on_model("""
