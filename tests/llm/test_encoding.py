@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
+from array import array
 
 import numpy as np
 import pytest
@@ -152,3 +153,16 @@ def test_op3_query(spark, folder, documents):
         expected[r.doc_id] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op3_token_files"](spark, folder).collect()} == expected
+
+
+def test_words_with_marks_are_made_of_their_parts():
+    """A word with a mark at its end is remembered whole, from the ids of its parts; so are texts with unknown words."""
+    words = token_files.WordTokenizer(WORDS)
+    asked, encode = [], words._encode
+    words._encode = lambda new: (asked.extend(new), encode(new))
+    rows = [b"Foo foo. bar, bar!!", b"foo <|endoftext|>b. x<|y.", b"foo. \xff?", b""]
+    found = words.encode(rows)
+    assert b"foo." in words.known and b"foo." not in asked and b"bar!!" in asked
+    plain = [words.tokenizer.encode(r.decode(errors="replace"), add_special_tokens=False).ids for r in rows]
+    assert [list(array(words.code, f)) for f in found] == plain
+    assert words.encode(rows) == found and len(asked) == len(set(asked))

@@ -71,7 +71,7 @@ class WordTokenizer:
     be lowered before (where no special string can be), and a mark at the end of a word is a word of its own.
     """
 
-    _mark = re.compile(rb"(?<=[a-z0-9])[.,;:!?](?![^\x20\x09-\x0d])")
+    _marked = re.compile(rb"[^\x20\x09-\x0d]*[a-z0-9][.,;:!?]")
 
     def __init__(self, path: str):
         import os
@@ -84,17 +84,38 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, rows: list[bytes]) -> list[bytes]:
-        split = [(r if b"<|" in r else self._mark.sub(rb" \g<0>", r.lower())).split() for r in rows]
+        split = [(r if b"<|" in r else r.lower()).split() for r in rows]
+        ids, found, again = self.known.__getitem__, [], []
+        for i, words in enumerate(split):
+            try:
+                found.append(b"".join(map(ids, words)))
+            except KeyError:
+                found.append(b"")
+                again.append(i)
+        if again:
+            self._learn(set().union(*[split[i] for i in again]))
+            for i in again:
+                found[i] = b"".join(map(ids, split[i]))
+        return found
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode those not known, after which all are. A word that ends in a mark is made of its two parts."""
         known = self.known
-        new = list(set().union(*split).difference(known))
-        if len(known) + len(new) > REMEMBERED:
+        marked = [w for w in words.difference(known) if self._marked.fullmatch(w) and b"<|" not in w]
+        words = words.difference(marked).union([w[:-1] for w in marked], [w[-1:] for w in marked])
+        new = list(words.difference(known))
+        if len(known) + len(new) + len(marked) > REMEMBERED:
             known.clear()
-            new = list(set().union(*split))
+            self._encode(list(words))
+        else:
+            self._encode(new)
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
+
+    def _encode(self, new: list[bytes]) -> None:
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
             encoded = self.tokenizer.encode_batch_fast([as_text(w) for w in part], add_special_tokens=False)
-            known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, encoded))
-        return [b"".join([known[w] for w in words]) for words in split]
+            self.known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, encoded))
 
 
 # -- the hash -------------------------------------------------------------------------------------
