@@ -166,3 +166,26 @@ def test_words_with_marks_are_made_of_their_parts():
     plain = [words.tokenizer.encode(r.decode(errors="replace"), add_special_tokens=False).ids for r in rows]
     assert [list(array(words.code, f)) for f in found] == plain
     assert words.encode(rows) == found and len(asked) == len(set(asked))
+
+
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    """Words of letters and marks at their end skip normaliser and splitter, with the same ids; what is wanted stays known."""
+    class Full:
+        asked: list[str] = []
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked.extend(texts)
+            return words.__class__(WORDS).tokenizer.encode_batch_fast(texts, **options)
+
+    words = token_files.WordTokenizer(WORDS)
+    whole, words.tokenizer = words.tokenizer, Full()
+    rows = random_texts("etaoinéßÀÿÖ abcSHR\n") + random_texts("aé.,;$%&*#!?'-1 x", 200, 30) + [
+        "", "  ", "ÀÉÎ thé%%% the.*** été. it's. Ünd\x1c und", "<|endoftext|>The. İstanbul Ωσς. été¿ ×÷ " + "é" * 500, "naïve"]
+    expected = [whole.encode(r, add_special_tokens=False).ids for r in rows]
+    assert [list(array(words.code, f)) for f in words.encode([r.encode() for r in rows])] == expected
+    assert not {"thé", "the", "naïve", "ÀÉÎ".lower(), "the.***"} & set(Full.asked) and "İstanbul" in Full.asked
+    monkeypatch.setattr(token_files, "REMEMBERED", len(words.known) + 1)
+    Full.asked.clear()
+    assert [list(array(words.code, f)) for f in words.encode([b"it's. one two three", b""])] == [
+        whole.encode("it's. one two three", add_special_tokens=False).ids, []]
+    assert not Full.asked and len(words.known) < 10

@@ -53,13 +53,23 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """What is run in here leaves no shuffle files behind; for steps whose result is written."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
+    """What is run in here leaves no shuffle files behind; for steps whose result is written.
+
+    Adaptive execution may be done while jobs it no longer needs (the other side of a join with nothing) still run. They end
+    with the step: their tasks would wait for shuffle files that are gone.
+    """
+    name, interrupt, tag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.job.interruptOnCancel", uuid.uuid4().hex
+    context = spark.sparkContext
+    before, interrupted = spark.conf.get(name, None), context.getLocalProperty(interrupt)
     spark.conf.set(name, "true")
+    context.setInterruptOnCancel(True)
+    context.addJobTag(tag)
     try:
         yield
     finally:
+        context.cancelJobsWithTag(tag)
+        context.removeJobTag(tag)
+        context.setLocalProperty(interrupt, interrupted)
         if before is None:
             spark.conf.unset(name)
         else:
