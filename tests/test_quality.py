@@ -142,6 +142,24 @@ def test_keys_of_numbers_are_counted_in_one_pass(spark, monkeypatch):
         0: 1, 1: 1, 2: 1, 3: 1, 4: 10}
 
 
+def test_neighbouring_numbers_share_a_row(spark, monkeypatch):
+    """Keys of numbers are combined in blocks of 64 before the shuffle, and counted as exactly as one by one."""
+    offered, union = [], Q._union
+    monkeypatch.setattr(Q, "_union", lambda frames: offered.append(union(frames)) or offered[-1])
+    rows = spark.range(-3200, 3200, 1, 2).selectExpr(
+        "id", "cast(id div 10 * 10 as int) n", "id * 70 far", "date_add(date'1970-01-01', cast(id div 7 as int)) day", "cast(id % 2 as byte) v")
+    ends = spark.sql("""select explode(array(-9223372036854775808L, 9223372036854775807L, 9223372036854775744L, -1L, null)) id, 0 n,
+                        -64 far, cast(null as date) day, cast(3 as byte) v""")
+    rows = rows.unionByName(ends).unionByName(ends.limit(2))
+    keys = [["id"], ["n"], ["far"], ["day", "v"], ["v", "id"], ["day"]]
+    found = {r["rule"]: r["violations"] for r in Q.unique_violations({"t": rows}, {"t": keys}).collect()}
+    known = {"_".join(k): rows.dropna(subset=k).select(*k) for k in keys}
+    assert found == {f"{name}_unique": df.count() - df.distinct().count() for name, df in known.items()}
+    assert found["id_unique"] == 3 and found["far_unique"] == 6
+    groups = {r["ref"]: r["n"] for r in offered[0].select("ref", "number", "more").distinct().groupBy("ref").agg(F.count("*").alias("n")).collect()}
+    assert groups[0] <= 100 + 4 and groups[1] <= 101 and groups[2] <= 6401 and groups[3] <= 3 * 16
+
+
 def test_references_by_number_and_by_text(spark):
     """Ids of either kind, side by side in one scan of the child."""
     hubs = spark.createDataFrame([(1,), (2,)], "id int")

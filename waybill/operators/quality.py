@@ -203,18 +203,22 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 @dataclass(frozen=True)
 class _Offer:
-    """What a row offers to the check numbered ``ref``: one or two numbers, or a text; nothing if ``condition`` is false."""
+    """What a row offers to the check numbered ``ref``: one or two numbers, or a text; nothing if ``condition`` is false.
+
+    A key that is counted exactly offers the number of its block of 64 neighbours, and its place there as one of 64 ``bits``.
+    """
 
     ref: int
     condition: Column
     number: Column
     more: Column | None = None
     text: Column | None = None
+    bits: Column | None = None
 
-    def fields(self, with_text: bool) -> list[Column]:
-        more = F.lit(0).cast("bigint") if self.more is None else self.more
-        text = [F.lit(None).cast("string") if self.text is None else self.text] if with_text else []
-        return [F.when(self.condition, F.lit(self.ref)), self.number, more, *text]
+    def fields(self, names: list[str]) -> list[Column]:
+        given = {"ref": F.when(self.condition, F.lit(self.ref)), "number": self.number, "more": self.more, "text": self.text, "bits": self.bits}
+        absent = {"more": F.lit(0).cast("bigint"), "text": F.lit(None).cast("string"), "bits": F.lit(None).cast("bigint")}
+        return [absent[n] if given[n] is None else given[n] for n in names]
 
 
 def _known_all(columns: list[str]) -> Column:
@@ -247,21 +251,24 @@ def _counted(tables: Mapping[str, DataFrame], offers: Mapping[str, list[_Offer]]
     that occur once end there. Counted as rows and not as observed metrics, which a stage that runs again would count twice."""
     with_text = any(o.text is not None for own in offers.values() for o in own)
     names = ["ref", "number", "more"] + ["text"] * with_text
+    offered = names + ["bits"] * bool(exact)
     found = []
     for table, own in offers.items():
         if own:
-            found.append(_unpivoted(tables[table], [offer.fields(with_text) for offer in own], names))
+            found.append(_unpivoted(tables[table], [offer.fields(offered) for offer in own], offered))
     if not found:
         kinds = ", ".join(f"{c} {'int' if c == 'ref' else 'string' if c == 'text' else 'bigint'}" for c in [*names, "n"])
         return next(iter(tables.values())).sparkSession.createDataFrame([], kinds)
-    counts = _union(found).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    totals = [F.count(F.lit(1)).alias("n")] + [F.bit_or("bits").alias("bits")] * bool(exact)
+    counts = _union(found).groupBy(*names).agg(*totals)
     if hashed:
         counts = counts.where(~F.col("ref").isin(hashed) | (F.col("n") > 1))
     if exact:
         # Their surplus is added up before the rows are written: one row per key is left.
         is_exact = F.col("ref").isin(exact)
         parts = [F.when(~is_exact, F.col(c)).alias(c) for c in names[1:]]
-        counts = (counts.select("ref", *parts, F.when(is_exact, F.col("n") - 1).otherwise(F.col("n")).alias("n"))
+        surplus = F.col("n") - F.bit_count("bits")
+        counts = (counts.select("ref", *parts, F.when(is_exact, surplus).otherwise(F.col("n")).alias("n"))
                   .groupBy(*names).agg(F.sum("n").alias("n")))
     return counts
 
@@ -279,12 +286,16 @@ def _declared_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, list[list
 
 
 def _key_offers(df: DataFrame, table: str, declared: list[tuple[str, list[str]]], first: int = 0) -> list[_Offer]:
-    """Numbers stand for themselves, all other keys offer a hash."""
+    """Numbers stand for themselves, in blocks of 64 so that neighbours share a row; all other keys offer a hash."""
     offers = []
     for ref, (owner, key) in enumerate(declared, first):
         if owner == table:
-            numbers = [_number(df, k) for k in key] if _exact(df, key) else [F.xxhash64(*key)]
-            offers.append(_Offer(ref, _known_all(key), *numbers))
+            if _exact(df, key):
+                number, *more = [_number(df, k) for k in key]
+                place = F.call_function("shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(F.lit(63)).cast("int"))
+                offers.append(_Offer(ref, _known_all(key), F.shiftright(number, 6), *more, bits=place))
+            else:
+                offers.append(_Offer(ref, _known_all(key), F.xxhash64(*key)))
     return offers
 
 
@@ -342,7 +353,7 @@ def unique_violations(tables: Mapping[str, DataFrame],
                       keys: Mapping[str, list[list[str]]] = fixed.UNIQUE_KEYS) -> DataFrame:
     """Surplus rows per declared key: those beyond the first of each key.
 
-    Keys of one or two whole numbers or dates are counted as they are, in one pass. Others are counted by 64-bit hashes of their
+    Keys of one or two whole numbers or dates are counted as they are, in one pass, 64 neighbours to a row. Others are counted by 64-bit hashes of their
     typed values; only those whose hash repeats are compared by value.
     """
     declared = _declared_keys(tables, keys)
