@@ -257,6 +257,29 @@ def test_scores_as_baum_welch_over_all_words_at_once(spark, documents, monkeypat
     assert found == pytest.approx(expected, rel=1e-4)
 
 
+def test_rows_written_stay_small_however_large_a_block_is(spark, tmp_path, monkeypatch):
+    """A block of 1 501 500 tokens and some 300 000 words: a row is what Spark has to hold, so it is a part of the block only. The
+    same scores come out of small blocks."""
+    largest, kept_at = {}, hidden_markov.kept_at
+
+    def measured(df, folder, *some, **options):
+        out = kept_at(df, folder, *some, **options)
+        size = [F.coalesce(F.length(c), F.lit(0)) for c, kind in out.dtypes if kind == "binary"]
+        if size:
+            found = out.select(sum(size[1:], size[0]).alias("n")).agg(F.max("n")).first()[0]
+            largest[folder] = max(largest.get(folder, 0), found or 0)
+        return out
+
+    docs = spark.range(1500, numPartitions=16).select(F.col("id").alias("doc_id"), F.expr(
+        "array_join(transform(sequence(1, 1000), x -> cast(pmod(xxhash64(id, x), 300000) as string)), ' ')").alias("text"))
+    apart = {r.doc_id: r.score for r in hidden_markov.score_texts(docs, passes=1).collect()}
+    monkeypatch.setattr(hidden_markov, "kept_at", measured)
+    found = hidden_markov.score_texts(docs.coalesce(1), passes=1, folder=str(tmp_path / "small")).collect()
+    assert len(found) == 1500 and {r.n_tokens for r in found} == {1001}
+    assert {r.doc_id: r.score for r in found} == pytest.approx(apart, rel=1e-4)
+    assert len(largest) >= 4 and max(largest.values()) < 2_500_000, largest
+
+
 def test_model_beats_base_on_held_out_texts(spark):
     found = hidden_markov.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     row = found.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()

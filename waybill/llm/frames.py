@@ -17,11 +17,14 @@ def read(spark, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def kept_at(df: DataFrame, folder: str) -> DataFrame:
-    """The rows, written to a folder and read again; what lay there before goes, and so do the shuffle files of this step."""
+def kept_at(df: DataFrame, folder: str, **options) -> DataFrame:
+    """The rows, written to a folder and read again; what lay there before goes, and so do the shuffle files of this step.
+
+    ``options``: of the writer.
+    """
     spark = df.sparkSession
     with shuffles_removed(spark):
-        df.write.mode("overwrite").parquet(folder)
+        df.write.mode("overwrite").options(**options).parquet(folder)
     return spark.read.parquet(folder)
 
 

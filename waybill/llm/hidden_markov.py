@@ -3,7 +3,9 @@
 The model: latent states move from word to word, and a state emits each word of the training text with a probability of its own,
 and with what is left any other word. So emissions grow with the vocabulary; they are held in parts, never in one place.
 
-1. Texts become blocks: token numbers, and a dictionary of the block (64-bit hashes of its words, in order, with counts).
+1. Texts become blocks: token numbers, and a dictionary of the block (64-bit hashes of its words, in order, with counts). A block is
+   many rows, each of a few texts or words, so what Spark holds of a row is small however large a block is. They meet again by
+   their block, in order: first the words, then the texts, which are walked through as they come.
 2. Dictionaries are cut by hash ranges; the task of a range adds the counts of its words over all blocks and sends every block
    the totals of its words. No vocabulary is held whole anywhere: a range has ``WORDS_PER_RANGE`` entries on average.
 3. Baum-Welch: every block adds up the expected counts of its training texts per word and state. They take the same way: the task
@@ -22,7 +24,7 @@ Words are told apart by 64-bit hashes: among V words V^2 / 2^65 pairs are expect
 What is written: the blocks, and one pass at a time. Expected counts travel as shares of the word's count in 16-bit floats, whose error of
 0.05 % a share is far below the noise of the counts. The tables lie in a folder of their own below the shared one; each takes the
 place of the one it follows from as soon as that is not needed any more, a pass is two steps (counts to the ranges, sums to the blocks), and
-shuffle files go when their step is written. The folder is the caller's to remove.
+shuffle files go when their step is written. Files are written in groups of rows of some ``ROWS_BYTES``. The folder is the caller's to remove.
 
 Defined results: a NULL or empty text is one end token; a NULL key counts as the empty text when texts are held out; repeated rows are
 texts of their own; without training text all words are unknown; an empty table gives no rows; other columns are not read.
@@ -33,6 +35,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +52,19 @@ from waybill.session import fresh_folder
 STATES, PASSES, SEED = 8, 5, 11
 STRETCH = 512
 BYTES_AT_ONCE = 2_000_000
-#: Tokens of a block (or one text), and of the sequences that are walked through at once.
+#: Tokens of a block (or one text), and of the sequences that are walked through at once, which also are a row.
 BLOCK_TOKENS, TOKENS_AT_ONCE = 2_000_000, 500_000
+#: Words of a row, and of those whose emissions are worked out at once.
+WORDS_AT_ONCE = 65_536
+#: Of the rows that a writer, and later a reader, holds at once.
+ROWS_BYTES = 8 << 20
 WORDS_PER_RANGE = 500_000
 SMOOTH = 0.1
 LEAN = 5
 #: Stands for the end; no word holds a space.
 _END = b" "
+#: What a row holds of its block, in the order in which the rows are read.
+HASHES, TOTALS, SHARES, TEXTS = range(4)
 
 
 def _packed(array: np.ndarray) -> bytes:
@@ -122,18 +132,28 @@ def _parts(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return numbers.astype(np.int64), np.append(np.searchsorted(part, numbers), len(part))
 
 
-def _block(number: int, key_type: pa.DataType, held: list[tuple]) -> pa.RecordBatch:
-    keys, learned, length, hashes = zip(*held)
-    learned, length = np.concatenate(learned), np.concatenate(length)
-    words, token = np.unique(np.concatenate(hashes), return_inverse=True)
-    count = np.bincount(token, weights=np.repeat(learned, length), minlength=len(words))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([[k for some in keys for k in some]], pa.list_(key_type)),
-         *[pa.array([data], pa.binary()) for data in (
-             _packed(learned), _packed(length.astype("<i4")), _packed(token.astype("<i4")),
-             words.astype("<u8").tobytes(), _packed(count.astype("<i8")))],
-         pa.array([len(words)], pa.int64())],
-        names=["block", "keys", "learned", "lengths", "tokens", "hashes", "counts", "words"])
+def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
+    """One row; NULL where no value is given."""
+    return pa.RecordBatch.from_pylist([values], schema)
+
+
+def _block(number: int, key_type: pa.DataType, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int64()), ("at", pa.int64()), ("keys", pa.list_(key_type)),
+                        *[(name, pa.binary()) for name in ("learned", "lengths", "tokens", "hashes", "counts")], ("words", pa.int64())])
+    keys = [k for some, *_ in held for k in some]
+    learned, length, hashes = (np.concatenate([row[i] for row in held]) for i in (1, 2, 3))
+    held.clear()
+    words, token = np.unique(hashes, return_inverse=True)
+    del hashes
+    token = token.astype("<i4")
+    count = np.bincount(token[np.repeat(learned, length)], minlength=len(words))
+    for i in range(0, len(words), WORDS_AT_ONCE):
+        some = slice(i, i + WORDS_AT_ONCE)
+        yield _row(schema, block=number, kind=HASHES, at=i, hashes=words[some].astype("<u8").tobytes(),
+                   counts=_packed(count[some].astype("<i8")), words=len(words[some]))
+    for some, tokens in _slices(length, TOKENS_AT_ONCE):
+        yield _row(schema, block=number, kind=TEXTS, at=int(some.start), keys=keys[some], learned=_packed(learned[some]),
+                   lengths=_packed(length[some].astype("<i4")), tokens=_packed(token[tokens]))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,27 +170,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.append(_END)
         if held and tokens + len(words) > BLOCK_TOKENS:
             number += 1
-            yield _block(number, batch.column("key").type, held)
+            yield from _block(number, batch.column("key").type, held)
             held, tokens = [], 0
         held.append((batch.column("key").to_pylist(), ~batch.column("held_out").to_numpy(zero_copy_only=False), length,
                      word_hashes(words)))
         tokens += len(words)
     if held:
-        yield _block(number + 1, batch.column("key").type, held)
+        yield from _block(number + 1, batch.column("key").type, held)
 
 
 def _cut(ranges: int):
-    """A block's dictionary in parts, by ranges of the hash."""
+    """Rows of blocks' dictionaries in parts, by ranges of the hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "counts"))):
+            for block, first, data, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "hashes", "counts"))):
                 hashes, count = np.frombuffer(data, "<u8"), _unpacked(packed, "<i8")
                 numbers, at = _parts(hashes, ranges)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers), pa.array(np.full(len(numbers), block), pa.int64()),
+                    [pa.array(numbers), pa.array(np.full(len(numbers), block), pa.int64()), pa.array(first + at[:-1], pa.int64()),
                      pa.array([hashes[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
                      pa.array([_packed(count[i:j]) for i, j in zip(at, at[1:])], pa.binary())],
-                    names=["part", "block", "hashes", "counts"])
+                    names=["part", "block", "at", "hashes", "counts"])
     return run
 
 
@@ -190,43 +210,61 @@ def _totals(table: pa.Table) -> pa.Table:
     part = table.column("part")[0].as_py()
     return pa.table({"part": pa.array([part] * (len(blocks) + 1), pa.int64()),
                      "block": pa.array([*blocks, -1], pa.int64()),
+                     "at": pa.array([*table.column("at").to_pylist(), 0], pa.int64()),
                      "totals": pa.array([*[_packed(total[place[i:j]]) for i, j in zip(at, at[1:])], None], pa.binary()),
                      "places": pa.array([*[_packed(place[i:j].astype("<i4")) for i, j in zip(at, at[1:])], None], pa.binary()),
                      "sums": pa.array([None] * len(blocks) + [sums], pa.list_(pa.float64()))})
 
 
-def _joined(ranges: int):
-    """The parts of a block's totals and places put together again, in the order of its dictionary."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                parts = row.column("parts")[0].as_py()
-                data = [_packed(np.concatenate([_unpacked(p[c], kind) for p in parts]))
-                        for c, kind in (("totals", "<i8"), ("places", "<i4"))]
-                numbers, at = _parts(np.frombuffer(row.column("hashes")[0].as_py(), "<u8"), ranges)
-                yield pa.RecordBatch.from_arrays(
-                    [row.column(c) for c in ("block", "keys", "learned", "lengths", "tokens", "hashes")]
-                    + [pa.array([d], pa.binary()) for d in (*data, np.append(numbers, at).astype("<i8").tobytes())],
-                    names=["block", "keys", "learned", "lengths", "tokens", "hashes", "totals", "places", "cuts"])
-    return run
+@dataclass
+class Words:
+    """The dictionary of a block. ``cuts``: part, place in the dictionary and number of words of each of its rows."""
+    block: int
+    cuts: list[tuple[int, int, int]]
+    totals: np.ndarray
+    places: np.ndarray
+    emit: np.ndarray
+
+
+def _emissions(model: Model, total: np.ndarray, hashes: np.ndarray | None, shares: np.ndarray | None, kind: str) -> np.ndarray:
+    out = np.empty((len(total), STATES), kind)
+    for i in range(0, len(total), WORDS_AT_ONCE):
+        some = slice(i, i + WORDS_AT_ONCE)
+        out[some] = (model.emissions(total[some], hashes[some], None) if shares is None else
+                     model.emissions(total[some], None, shares[some].astype("f4") * total[some].astype("f4")[:, None]))
+    return out
 
 
-def _read_blocks(batches: Iterator[pa.RecordBatch], model: Model):
-    """Rows; learned, lengths, tokens, totals, places and cuts; the words' emissions."""
-    kinds = {"learned": "?", "lengths": "<i4", "tokens": "<i4", "totals": "<i8", "places": "<i4"}
-    for batch in batches:
-        for i in range(batch.num_rows):
-            found = {n: _unpacked(batch.column(n)[i].as_py(), k) for n, k in kinds.items()}
-            found["lengths"] = found["lengths"].astype(np.int64)
-            found["cuts"] = np.frombuffer(batch.column("cuts")[i].as_py(), "<i8")
-            if "parts" in batch.schema.names:
-                shares = b"".join(p["data"] for p in batch.column("parts")[i].as_py())
-                counts = np.frombuffer(shares, "<f2").astype("f4").reshape(-1, STATES) * found["totals"].astype("f4")[:, None]
-                emit = model.emissions(found["totals"], None, counts)
-            else:
-                emit = model.emissions(found["totals"], np.frombuffer(batch.column("hashes")[i].as_py(), "<u8"), None)
-            yield batch.slice(i, 1), found, emit
+def _read_blocks(batches: Iterator[pa.RecordBatch], model: Model, kind: str) -> Iterator[tuple[Words, Iterator[tuple]]]:
+    """Blocks by their words, and their texts as they come: keys; learned, lengths and tokens. ``kind``: of the emissions."""
+    def value(row: pa.RecordBatch, name: str):
+        return row.column(name)[0].as_py()
+
+    def texts_of(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for row in rows:
+            learned, length, token = (_unpacked(value(row, c), k) for c, k in (("learned", "?"), ("lengths", "<i4"), ("tokens", "<i4")))
+            yield row.column("keys"), learned, length.astype(np.int64), token
+
+    rows = (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows))
+    for block, of_block in groupby(rows, lambda row: value(row, "block")):
+        hashes, totals, places, shares, cuts = [], [], [], [], []
+        for what, some in groupby(of_block, lambda row: value(row, "kind")):
+            if what == TEXTS:
+                total = np.concatenate(totals)
+                emit = _emissions(model, total, np.concatenate(hashes) if hashes else None,
+                                  np.concatenate(shares) if shares else None, kind)
+                hashes, totals, shares = [], [], []
+                yield Words(block, cuts, total, np.concatenate(places), emit), texts_of(some)
+                continue
+            for row in some:
+                if what == HASHES:
+                    hashes.append(np.frombuffer(value(row, "hashes"), "<u8"))
+                elif what == SHARES:
+                    shares.append(np.frombuffer(value(row, "data"), "<f2").reshape(-1, STATES))
+                else:
+                    totals.append(_unpacked(value(row, "totals"), "<i8"))
+                    places.append(_unpacked(value(row, "places"), "<i4"))
+                    cuts.append((value(row, "part"), value(row, "at"), len(totals[-1])))
 
 
 def _slices(length: np.ndarray, most: int) -> list[tuple[slice, slice]]:
@@ -254,44 +292,42 @@ def later(length: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _expected(model: Model, ranges: int):
+def _expected(model: Model):
     """Expected counts of the words of each block, in parts by range; a row with part -1 per task has the starts, moves, sums and
     losses per state and log likelihood."""
-    names = ["part", "block", "places", "counts", "data"]
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()),
+                        ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(STATES * (STATES + 3) + 1)
-        for row, found, emit in _read_blocks(batches, model):
-            learned, length = found["learned"], found["lengths"]
-            symbol = found["tokens"][np.repeat(learned, length)]
-            count = np.bincount(symbol, minlength=len(emit))
-            pieces, goes_on = stretches(length[learned], STRETCH), later(length[learned], STRETCH)
-            emitted, now = np.zeros((len(emit), STATES)), hmm.Model(model.start, model.move, emit.astype("f4"))
-            for some, tokens in _slices(pieces, TOKENS_AT_ONCE):
-                start, move, more, likelihood = hmm.expect(now, symbol[tokens], pieces[some], goes_on[some], model.shares())
-                emitted += more
-                sums[:STATES] += start
-                sums[STATES:STATES * (STATES + 1)] += move.ravel()
-                sums[-1] += likelihood
-            sums[-1 - 2 * STATES:-1] += np.append(emitted.sum(axis=0), lean(found["totals"]) @ emitted)
-            shares = (emitted / np.maximum(count, 1)[:, None]).astype("<f2")
-            numbers, at = np.split(found["cuts"], [len(found["cuts"]) // 2])
-            places, count = found["places"], count.astype("<i4")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers), pa.array(np.full(len(numbers), row.column("block")[0].as_py()), pa.int64()),
-                 *[pa.array([packed(array[i:j]) for i, j in zip(at, at[1:])], pa.binary())
-                   for array, packed in ((places, _packed), (count, _packed), (shares, np.ndarray.tobytes))]], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()),
-                                          pa.array([b""], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=names)
+        for words, rows in _read_blocks(batches, model, "f4"):
+            now = hmm.Model(model.start, model.move, words.emit)
+            emitted, count = np.zeros(words.emit.shape), np.zeros(len(words.emit), np.int64)
+            for _, learned, length, token in rows:
+                symbol = token[np.repeat(learned, length)]
+                count += np.bincount(symbol, minlength=len(count))
+                pieces, goes_on = stretches(length[learned], STRETCH), later(length[learned], STRETCH)
+                for some, tokens in _slices(pieces, TOKENS_AT_ONCE):
+                    start, move, _, likelihood = hmm.expect(now, symbol[tokens], pieces[some], goes_on[some], model.shares(), emitted)
+                    sums[:STATES] += start
+                    sums[STATES:STATES * (STATES + 1)] += move.ravel()
+                    sums[-1] += likelihood
+            sums[-1 - 2 * STATES:-1] += np.append(emitted.sum(axis=0), lean(words.totals) @ emitted)
+            for part, at, n in words.cuts:
+                some = slice(at, at + n)
+                shares = (emitted[some] / np.maximum(count[some], 1)[:, None]).astype("<f2")
+                yield _row(schema, part=part, block=words.block, at=at, places=_packed(words.places[some]),
+                           counts=_packed(count[some].astype("<i4")), data=shares.tobytes())
+        yield _row(schema, part=-1, block=-1, at=0, data=sums.tobytes())
     return run
 
 
 def _added(table: pa.Table) -> pa.Table:
     """The expected counts of one range's words over all blocks, as every block needs them; or the sums of all tasks in one row."""
-    blocks, part = table.column("block").to_pylist(), table.column("part")[0].as_py()
+    blocks, at, part = table.column("block").to_pylist(), table.column("at").to_pylist(), table.column("part")[0].as_py()
     if part < 0:
         data = [np.sum([np.frombuffer(d, "<f8") for d in table.column("data").to_pylist()], axis=0).tobytes()]
-        blocks = [-1]
+        blocks, at = [-1], [0]
     else:
         places = [_unpacked(p, "<i4") for p in table.column("places").to_pylist()]
         total = np.zeros((max(int(p.max()) for p in places) + 1, STATES))
@@ -302,31 +338,28 @@ def _added(table: pa.Table) -> pa.Table:
         total = total.astype("<f2")
         data = [total[p].tobytes() for p in places]
     return pa.table({"part": pa.array([part] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()),
-                     "data": pa.array(data, pa.binary())})
+                     "at": pa.array(at, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
 def _scored(model: Model):
     """Scores of the texts of blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, found, emit in _read_blocks(batches, model):
-            length, token, total = found["lengths"], found["tokens"], found["totals"]
-            base = np.log10(model.marginal(total))
-            first = np.cumsum(length) - length
-            now = hmm.Model(model.start, model.move, emit)
-            score = np.concatenate([hmm.log_likelihood(now, token[tokens], length[some])
-                                    for some, tokens in _slices(length, TOKENS_AT_ONCE)]) / np.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [row.column("keys").flatten(), pa.array(~found["learned"]), pa.array(length),
-                 pa.array(np.add.reduceat((total > 0)[token].astype(np.int64), first)),
-                 pa.array(np.full(len(length), model.tokens, np.int64)), pa.array(np.add.reduceat(base[token], first)),
-                 pa.array(score)],
-                names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for words, rows in _read_blocks(batches, model, "f8" if model.freed is None else "f4"):
+            base, known = np.log10(model.marginal(words.totals)), (words.totals > 0).astype(np.int64)
+            now = hmm.Model(model.start, model.move, words.emit)
+            for keys, learned, length, token in rows:
+                first = np.cumsum(length) - length
+                yield pa.RecordBatch.from_arrays(
+                    [keys.flatten(), pa.array(~learned), pa.array(length), pa.array(np.add.reduceat(known[token], first)),
+                     pa.array(np.full(len(length), model.tokens, np.int64)), pa.array(np.add.reduceat(base[token], first)),
+                     pa.array(hmm.log_likelihood(now, token, length) / np.log(10))],
+                    names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
 
 @contextmanager
-def _block_by_block(spark: SparkSession) -> Iterator[None]:
-    """Rows are blocks here: they go to the workers one at a time, so that memory holds one and not all of a partition."""
+def _row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Rows are large here: they go to the workers one at a time, so that memory holds one and not all of a partition."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, "1")
@@ -336,13 +369,16 @@ def _block_by_block(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _with_counts(blocks: DataFrame, added: DataFrame | None) -> DataFrame:
-    """Blocks with the expected counts of their words."""
-    if added is None:
-        return blocks
-    parts = (added.where("block >= 0").groupBy(F.col("block").alias("_block"))
-             .agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts")))
-    return blocks.join(parts, F.col("block") == F.col("_block")).drop("_block")
+def _rows_kept(df: DataFrame, folder: str) -> DataFrame:
+    """Large rows, written a few at a time: by default a writer looks at what it holds once in 100 rows."""
+    return kept_at(df, folder, **{"parquet.block.size": ROWS_BYTES, "parquet.page.size.row.check.min": 1,
+                                  "parquet.page.size.row.check.max": 4})
+
+
+def _by_block(*tables: DataFrame) -> DataFrame:
+    """The rows of each block together: first what is known of its words, then its texts."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return rows.repartition("block").sortWithinPartitions("block", "kind", "at")
 
 
 def _emptied(spark: SparkSession, folder: str, *tables: str) -> None:
@@ -350,55 +386,52 @@ def _emptied(spark: SparkSession, folder: str, *tables: str) -> None:
         kept_at(spark.createDataFrame([], "block bigint"), f"{folder}/{table}")
 
 
-def train(blocks: DataFrame, model: Model, ranges: int, folder: str, passes: int = PASSES) -> tuple[Model, DataFrame, list[float]]:
-    """The model after some passes over all blocks, the blocks with their words' expected counts, and the log likelihood before
-    each pass. ``blocks`` lie in ``folder``/counted."""
-    added, seen = None, []
+def train(blocks: DataFrame, totals: DataFrame, model: Model, folder: str, passes: int = PASSES) -> tuple[Model, DataFrame, list[float]]:
+    """The model after some passes over all blocks, the blocks with their words' totals and expected counts, and the log likelihood
+    before each pass. ``blocks`` lie in ``folder``/blocks."""
+    totals = totals.where("block >= 0").select("block", F.lit(TOTALS).cast("bigint").alias("kind"), "at", "part", "totals", "places")
+    rows, seen = _by_block(blocks.drop("counts", "words"), totals), []
     for k in range(passes if model.tokens else 0):
-        sent = kept_at(_with_counts(blocks, added).mapInArrow(
-            _expected(model, ranges), "part bigint, block bigint, places binary, counts binary, data binary"), f"{folder}/sent")
+        sent = _rows_kept(rows.mapInArrow(
+            _expected(model), "part bigint, block bigint, at bigint, places binary, counts binary, data binary"), f"{folder}/sent")
         if not k:  # hashes were for this pass
-            blocks = kept_at(blocks.drop("hashes"), f"{folder}/blocks")
-            _emptied(blocks.sparkSession, folder, "counted")
+            texts_only = blocks.where(F.col("kind") == TEXTS).drop("hashes", "counts", "words")
+            blocks = _rows_kept(texts_only, f"{folder}/texts")
+            _emptied(blocks.sparkSession, folder, "blocks")
         # The sums of the pass before are in what was sent: theirs is the place of the new ones.
-        added = kept_at(sent.groupBy("part").applyInArrow(_added, "part bigint, block bigint, data binary"), f"{folder}/pass")
+        added = _rows_kept(sent.groupBy("part").applyInArrow(_added, "part bigint, block bigint, at bigint, data binary"),
+                           f"{folder}/pass")
         sums = np.frombuffer(added.where("block < 0").first()["data"], "<f8")
         start, move, weight, freed, likelihood = np.split(sums, np.cumsum([STATES, STATES * STATES, STATES, STATES]))
         seen.append(float(likelihood[0]))
         model = Model(*hmm.next_moves(start, move.reshape(STATES, STATES)), model.tokens, model.words, weight + 1,
                       model.leaning, freed + 1)
-    return model, _with_counts(blocks, added), seen
+        shares = added.where("block >= 0").select("block", F.lit(SHARES).cast("bigint").alias("kind"), "at", "data")
+        rows = _by_block(blocks, totals, shares)
+    return model, rows, seen
 
 
-def counted_blocks(docs: DataFrame, key: str, text: str, held_out, folder: str) -> tuple[DataFrame, Model, int]:
-    """Blocks with the training counts of their words, the first model, and the number of ranges."""
+def counted_blocks(docs: DataFrame, key: str, text: str, held_out, folder: str) -> tuple[DataFrame, DataFrame, Model]:
+    """Blocks, the training counts of their words by range, and the first model."""
     rows = docs.select(named(key).alias("key"), held_out.alias("held_out"), named(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    blocks = kept_at(rows.mapInArrow(_blocks, (
-        f"block bigint, keys array<{kind}>, learned binary, lengths binary, tokens binary, hashes binary, counts binary, "
-        "words bigint")), f"{folder}/blocks")
+    blocks = _rows_kept(rows.mapInArrow(_blocks, (
+        f"block bigint, kind bigint, at bigint, keys array<{kind}>, learned binary, lengths binary, tokens binary, hashes binary, "
+        "counts binary, words bigint")), f"{folder}/blocks")
     entries = blocks.agg(F.sum("words")).first()[0] or 0
     ranges = max(1, -(-entries // WORDS_PER_RANGE))
-    totals = kept_at(
-        blocks.select("block", "hashes", "counts")
-        .mapInArrow(_cut(ranges), "part bigint, block bigint, hashes binary, counts binary")
-        .groupBy("part").applyInArrow(
-            _totals, "part bigint, block bigint, totals binary, places binary, sums array<double>"), f"{folder}/totals")
-    parts = (totals.where("block >= 0").groupBy(F.col("block").alias("_block"))
-             .agg(F.array_sort(F.collect_list(F.struct("part", "totals", "places"))).alias("parts")))
-    with _block_by_block(docs.sparkSession):
-        counted = kept_at(
-            blocks.join(parts, F.col("block") == F.col("_block"))
-            .select("block", "keys", "learned", "lengths", "tokens", "hashes", "parts")
-            .mapInArrow(_joined(ranges), f"block bigint, keys array<{kind}>, learned binary, lengths binary, tokens binary, "
-                                         "hashes binary, totals binary, places binary, cuts binary"), f"{folder}/counted")
+    with _row_by_row(docs.sparkSession):
+        totals = _rows_kept(
+            blocks.where(F.col("kind") == HASHES).select("block", "at", "hashes", "counts")
+            .mapInArrow(_cut(ranges), "part bigint, block bigint, at bigint, hashes binary, counts binary")
+            .groupBy("part").applyInArrow(
+                _totals, "part bigint, block bigint, at bigint, totals binary, places binary, sums array<double>"), f"{folder}/totals")
     found = totals.where("block < 0").agg(*[F.sum(F.col("sums")[i]) for i in range(4 + 2 * STATES)]).first()
-    _emptied(docs.sparkSession, folder, "blocks", "totals")
     tokens, words, own_tokens, own, *by_state = [x or 0.0 for x in found]
     all_counts = tokens + SMOOTH * (words + 1)
     weight = (np.array(by_state[:STATES]) + SMOOTH * np.array(by_state[STATES:]) + SMOOTH) / all_counts
     leaning = (own_tokens + SMOOTH * own + SMOOTH) / all_counts
-    return counted, Model(*hmm.first_moves(STATES), int(tokens), int(words), weight, leaning), ranges
+    return blocks, totals, Model(*hmm.first_moves(STATES), int(tokens), int(words), weight, leaning)
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", passes: int = PASSES,
@@ -410,10 +443,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", passes
     """
     folder = folder or fresh_folder(docs.sparkSession, "hidden-markov")
     held_out = F.crc32(F.coalesce(named(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    blocks, first, ranges = counted_blocks(docs, key, text, held_out, folder)
+    blocks, totals, first = counted_blocks(docs, key, text, held_out, folder)
     kind = docs.schema[key].dataType.simpleString()
-    with _block_by_block(docs.sparkSession):
-        model, blocks, _ = train(blocks, first, ranges, folder, passes)
+    with _row_by_row(docs.sparkSession):
+        model, blocks, _ = train(blocks, totals, first, folder, passes)
         scored = kept_at(blocks.mapInArrow(_scored(model), (
             f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
             "score double")), f"{folder}/scores")

@@ -53,15 +53,16 @@ def stepwise(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def expect(model: Model, symbols: np.ndarray, length: np.ndarray, later: np.ndarray | None = None,
-           shares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+           shares: np.ndarray | None = None, emitted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of starts, moves and emissions, and the log likelihood (natural).
 
-    Sequences marked ``later`` go on from the middle of another: they begin with the states' ``shares`` and are no starts.
+    Sequences marked ``later`` go on from the middle of another: they begin with the states' ``shares`` and are no starts. Emissions
+    are added to ``emitted`` if given.
     """
     states, kind = len(model.start), np.float32
     order, begin, rank = stepwise(length)
     symbol = symbols[order]
-    emit = model.emit.astype(kind)[symbol]
+    emit = model.emit.astype(kind, copy=False)[symbol]
     real = np.ones(len(length), bool) if later is None else ~later[rank]
     opening = np.where(real[:, None], model.start, model.start if shares is None else shares).astype(kind)
     move, ones = model.move.astype(kind), np.ones(states, kind)
@@ -85,7 +86,10 @@ def expect(model: Model, symbols: np.ndarray, length: np.ndarray, later: np.ndar
         # What the step before needs; the array then holds the state's probability.
         back = emit[at] * behind / scale[at][:, None]
         forward[at] *= behind
-    emitted = np.stack([np.bincount(symbol, weights=forward[:, k], minlength=len(model.emit)) for k in range(states)], axis=1)
+    if emitted is None:
+        emitted = np.zeros((len(model.emit), states))
+    for k in range(states):
+        emitted[:, k] += np.bincount(symbol, weights=forward[:, k], minlength=len(model.emit))
     started = forward[:begin[1]][real].sum(axis=0, dtype=float) if steps else np.zeros(states)
     return started, moved * model.move, emitted, float(np.log(scale.astype(float)).sum())
 
