@@ -210,6 +210,15 @@ def test_later_stretches_are_no_starts():
     assert emit == pytest.approx(alone[0][2] + alone[1][2], rel=1e-4) and all_ == pytest.approx(alone[0][3] + alone[1][3], rel=1e-4)
 
 
+def test_halves_are_the_nearest_16_bit_floats():
+    every = np.arange(0x3C01, dtype="<u2").view("<f2").astype(float)  # 0 to 1
+    between = (every[1:] + every[:-1]) / 2
+    some = np.random.default_rng(1)
+    for values in (every, between, np.nextafter(between, 0), np.nextafter(between, 1), some.uniform(0, 1, 10000), 10 ** some.uniform(-12, 0, 10000)):
+        assert (hidden_markov.halves(values) == values.astype("<f2").view("<u2")).all()
+    assert (hidden_markov._HALVES[hidden_markov.halves(every)] == every).all()
+
+
 def test_scores(spark, folder, documents, odd, none):
     for docs in (documents, odd):
         found = hidden_markov.score_texts(docs).collect()
