@@ -314,7 +314,7 @@ def _expected(model: Model):
         sums = np.zeros(STATES * (STATES + 3) + 1)
         for words, rows in _read_blocks(batches, model, "f4"):
             now = hmm.Model(model.start, model.move, words.emit)
-            emitted, count = np.zeros(words.emit.shape), np.zeros(len(words.emit), np.int64)
+            emitted, count = np.zeros(words.emit.shape, order="F"), np.zeros(len(words.emit), np.int64)
             for _, learned, length, token in rows:
                 symbol = token[np.repeat(learned, length)]
                 count += np.bincount(symbol, minlength=len(count))

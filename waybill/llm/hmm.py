@@ -61,8 +61,8 @@ def expect(model: Model, symbols: np.ndarray, length: np.ndarray, later: np.ndar
     """
     states, kind = len(model.start), np.float32
     order, begin, rank = stepwise(length)
-    symbol = symbols[order]
-    emit = model.emit.astype(kind, copy=False)[symbol]
+    symbol = symbols[order].astype(np.intp)
+    emit = model.emit.astype(kind, copy=False).take(symbol, axis=0)
     real = np.ones(len(length), bool) if later is None else ~later[rank]
     opening = np.where(real[:, None], model.start, model.start if shares is None else shares).astype(kind)
     move, ones = model.move.astype(kind), np.ones(states, kind)
@@ -87,7 +87,7 @@ def expect(model: Model, symbols: np.ndarray, length: np.ndarray, later: np.ndar
         back = emit[at] * behind / scale[at][:, None]
         forward[at] *= behind
     if emitted is None:
-        emitted = np.zeros((len(model.emit), states))
+        emitted = np.zeros((len(model.emit), states), order="F")
     for k in range(states):
         emitted[:, k] += np.bincount(symbol, weights=forward[:, k], minlength=len(model.emit))
     started = forward[:begin[1]][real].sum(axis=0, dtype=float) if steps else np.zeros(states)
@@ -97,12 +97,12 @@ def expect(model: Model, symbols: np.ndarray, length: np.ndarray, later: np.ndar
 def log_likelihood(model: Model, symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The exact natural log of each sequence's probability, by the scaled forward recursion."""
     order, begin, rank = stepwise(length)
-    symbol = symbols[order]
+    symbol = symbols[order].astype(np.intp)
     total = np.zeros(len(length))
     ones = np.ones(len(model.start))
     now = None
     for t in range(len(begin) - 1):
-        emit = model.emit[symbol[begin[t]:begin[t + 1]]]
+        emit = model.emit.take(symbol[begin[t]:begin[t + 1]], axis=0)
         now = emit * (model.start if t == 0 else now[:len(emit)] @ model.move)
         scale = now @ ones
         now /= scale[:, None]
